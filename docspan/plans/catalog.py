@@ -6,7 +6,7 @@ import importlib
 
 from docspan.fixtures import with_fixtures
 
-MODULES = ("notes",)
+MODULES = ("notes", "versions", "diff")
 
 
 def _modules():
