@@ -6,7 +6,7 @@ import importlib
 
 from docspan.fixtures import with_fixtures
 
-MODULES = ("notes", "versions", "diff")
+MODULES = ("notes", "versions", "diff", "drift")
 
 
 def _modules():
