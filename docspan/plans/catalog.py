@@ -6,7 +6,7 @@ import importlib
 
 from docspan.fixtures import with_fixtures
 
-MODULES = ("notes", "versions", "diff", "drift", "access")
+MODULES = ("notes", "versions", "diff", "drift", "access", "sources")
 
 
 def _modules():
