@@ -90,6 +90,25 @@ SELECT c_custkey * 10 AS github_id, c_name AS login,
   CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE concat('u', cast(c_custkey % 1000 AS string), '@example.com') END AS email
 FROM customer"""
 
+FIXTURES["fx_modules"] = r"""
+SELECT p_partkey AS file_id, CASE p_partkey % 4 WHEN 0 THEN concat('lib/ctl', cast(p_partkey AS string), '.js') WHEN 1 THEN 'lib/box.ts' WHEN 2 THEN 'app/view.tsx' ELSE 'lib/broken.ts' END AS file_name,
+  CASE p_partkey % 4
+  WHEN 0 THEN concat('// @desc    List ', p_brand, chr(10), '// @route   GET /api/', cast(p_size AS string), '/:id', chr(10), '// @access  Private (', p_type, ')', chr(10),
+    'exports.list', cast(p_partkey AS string), ' = asyncHandler(async (req, res) => {', chr(10), '  const { size, name: n } = req.body;', chr(10),
+    '  if (!req.params.id) return res.status(404).json({ ok: false });', chr(10), '  res.status(200).json({ ok: true, q: req.query.page });', chr(10),
+    '  res.json({ again: ', cast(p_size AS string), ' });', chr(10), '});', chr(10),
+    'function helper(x) { throw fail; }', chr(10), 'module.exports = { helper, total: (a, b) => a + b };', chr(10))
+  WHEN 1 THEN concat('/**', chr(10), ' * Holds ', p_name, '.', chr(10), ' * @deprecated', chr(10), ' */', chr(10), 'export class Box', cast(p_partkey AS string), ' extends Base {', chr(10),
+    '  static limit: number = ', cast(p_size AS string), ';', chr(10), '  add(item: string, { note }: { note?: string }): Promise<void> {', chr(10),
+    '    throw new RangeError(', chr(39), 'full ', cast(p_size AS string), chr(39), ');', chr(10), '  }', chr(10), '}', chr(10),
+    'export interface Shape', cast(p_partkey AS string), ' { id: string; tags?: string[]; run(): void }', chr(10), 'export type Kind = ''a'' | ''b'';', chr(10))
+  WHEN 2 THEN concat(chr(39), 'use client', chr(39), ';', chr(10), 'import React, { useMemo as memo } from ', chr(39), 'react', chr(39), ';', chr(10), 'import * as api from "./api', cast(p_size AS string), '";', chr(10),
+    '/** Shows ', p_name, '. */', chr(10), 'export default function View', cast(p_partkey AS string), '({ title, size = 1 }: { title: string; size?: number }) {', chr(10),
+    '  // keep the total', chr(10), '  const total = useMemo(() => size + ', cast(p_size AS string), ', [size]);', chr(10),
+    '  return (<Panel.Body><button onClick={() => { api.save(total); done(); }}>go</button></Panel.Body>);', chr(10), '}', chr(10))
+  ELSE concat('export const x = (', cast(p_size AS string), ';', chr(10)) END AS content
+FROM part"""
+
 _NAME = re.compile(r"\bfx_[a-z_]+\b")
 # Strings may mention a fixture name only by accident; none does.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspan.operators.code import SIGNATURE_FACTS, code_facts, entry_rows
 from docspan.operators.signatures import diff_signatures, signature_hash
 
 # States in order of severity and the texts that stand in for unknown differences.
@@ -58,6 +59,21 @@ def drift_files(bindings: DataFrame, old_entries: DataFrame, new_entries: DataFr
                     "d.drift_state", "d.changed_functions"))
 
 
+def content_drift(bindings: DataFrame, contents: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Drift from texts: ``contents`` has the current and ``blobs`` the bound text of each file (file_id,
+    file_name, content; NULL or absent if unavailable). Only files whose SHA moved are read for signatures."""
+    moved = bindings.filter(F.coalesce("snapshot_sha", "commit_sha") != F.col("commit_sha")).select("file_id").distinct()
+
+    def entries(files: DataFrame) -> DataFrame:
+        return entry_rows(code_facts(files.filter("content IS NOT NULL").join(moved, "file_id", "left_semi"), SIGNATURE_FACTS))
+
+    have_new = contents.filter("content IS NOT NULL").select("file_id", F.lit(True).alias("_new")).distinct()
+    have_old = blobs.filter("content IS NOT NULL").select("file_id", F.lit(True).alias("_old")).distinct()
+    flagged = bindings.join(have_new, "file_id", "left").join(have_old, "file_id", "left").withColumn(
+        "content_ok", F.coalesce("_new", F.lit(False))).withColumn("old_ok", F.coalesce("_old", F.lit(False)))
+    return drift_files(flagged, entries(blobs), entries(contents))
+
+
 def worst_drift(docs: DataFrame, files: DataFrame) -> DataFrame:
     """Worst state per document; documents without changed files are current."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("drift_state"))
