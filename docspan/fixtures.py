@@ -109,6 +109,14 @@ SELECT p_partkey AS file_id, CASE p_partkey % 4 WHEN 0 THEN concat('lib/ctl', ca
   ELSE concat('export const x = (', cast(p_size AS string), ';', chr(10)) END AS content
 FROM part"""
 
+FIXTURES["fx_mixed_markdown"] = r"""
+SELECT doc_id, concat(
+  replace(replace(replace(replace(replace(replace(text, ' the ', concat(chr(10), '- ')), ' of ', concat(chr(10), '---', chr(10))), ' and ', concat(chr(10), ' ***', chr(10))),
+    ' is ', concat(chr(10), '| a | b |', chr(10))), ' to ', concat(chr(10), '|:--|', chr(10))), ' in ', concat(chr(10), '## ')), chr(10),
+  CASE doc_id % 4 WHEN 0 THEN concat('```js', chr(10), '# x', chr(10)) WHEN 1 THEN concat('> q', chr(10), '| a', chr(10), 'x', chr(10)) ELSE '' END,
+  replace(replace(replace(text, ' with ', concat(chr(10), '> ')), ' it ', concat(chr(10), '```', chr(10))), ' a ', concat(chr(10), chr(10)))) AS content
+FROM documents"""
+
 _NAME = re.compile(r"\bfx_[a-z_]+\b")
 # Strings may mention a fixture name only by accident; none does.
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspan.operators.code import SIGNATURE_FACTS, code_facts, entry_rows
-from docspan.operators.signatures import diff_signatures, signature_hash
+from docspan.operators.code import SIGNATURE_FACTS, code_facts, with_signatures
+from docspan.operators.signatures import change_label, compare_names, diff_signatures, signature_hash
 
 # States in order of severity and the texts that stand in for unknown differences.
 STATES = ["current", "implementation_changed", "signature_changed"]
@@ -61,17 +61,26 @@ def drift_files(bindings: DataFrame, old_entries: DataFrame, new_entries: DataFr
 
 def content_drift(bindings: DataFrame, contents: DataFrame, blobs: DataFrame) -> DataFrame:
     """Drift from texts: ``contents`` has the current and ``blobs`` the bound text of each file (file_id,
-    file_name, content; NULL or absent if unavailable). Only files whose SHA moved are read for signatures."""
-    moved = bindings.filter(F.coalesce("snapshot_sha", "commit_sha") != F.col("commit_sha")).select("file_id").distinct()
-
-    def entries(files: DataFrame) -> DataFrame:
-        return entry_rows(code_facts(files.filter("content IS NOT NULL").join(moved, "file_id", "left_semi"), SIGNATURE_FACTS))
+    file_name, content; NULL or absent if unavailable). Only files whose SHA moved are read for signatures,
+    and each text is read once: its hash travels with its entries."""
+    changed = bindings.withColumn("current_sha", F.coalesce("snapshot_sha", "commit_sha")).filter("current_sha <> commit_sha")
 
-    have_new = contents.filter("content IS NOT NULL").select("file_id", F.lit(True).alias("_new")).distinct()
-    have_old = blobs.filter("content IS NOT NULL").select("file_id", F.lit(True).alias("_old")).distinct()
-    flagged = bindings.join(have_new, "file_id", "left").join(have_old, "file_id", "left").withColumn(
-        "content_ok", F.coalesce("_new", F.lit(False))).withColumn("old_ok", F.coalesce("_old", F.lit(False)))
-    return drift_files(flagged, entries(blobs), entries(contents))
+    def side(files: DataFrame, n: int) -> DataFrame:
+        return files.filter("content IS NOT NULL").select(
+            F.struct("file_id", F.lit(n).alias("side")).alias("file_id"), "file_name", "content", F.col("file_id").alias("_id"))
+
+    texts = side(blobs, 0).unionByName(side(contents, 1)).join(changed.select(F.col("file_id").alias("_id")).distinct(), "_id", "left_semi")
+    entries = with_signatures(code_facts(texts, SIGNATURE_FACTS)).select(
+        "file_id.file_id", "file_id.side", F.when(F.col("file_id.side") == 1, F.col("signature_hash")).alias("new_hash"), F.posexplode_outer("entries").alias("pos", "e")
+    ).select("file_id", "side", "new_hash", "pos", "e.name", "e.sig")
+    per_name = compare_names(entries, F.max("new_hash").alias("new_hash"), F.max(F.col("side") == 0).alias("old_ok"), F.max(F.col("side") == 1).alias("content_ok"))
+    per_file = per_name.groupBy("file_id").agg(
+        F.array_sort(F.collect_list(change_label())).alias("changed_functions"), F.max("new_hash").alias("new_hash"),
+        F.max("old_ok").alias("old_ok"), F.max("content_ok").alias("content_ok"))
+    state = drift_state(F.col("content_requested"), F.coalesce("content_ok", F.lit(False)), F.coalesce("old_ok", F.lit(False)),
+                        F.col("signature_hash"), F.col("new_hash"), F.col("changed_functions"))
+    return changed.join(per_file, "file_id", "left").withColumn("d", state).select(
+        "doc_id", "path", F.col("commit_sha").alias("old_sha"), F.col("current_sha").alias("new_sha"), "d.drift_state", "d.changed_functions")
 
 
 def worst_drift(docs: DataFrame, files: DataFrame) -> DataFrame:

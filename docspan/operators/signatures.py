@@ -19,28 +19,34 @@ def signature_hash(entries: DataFrame, files: DataFrame) -> DataFrame:
         "file_id", hash_of(F.coalesce(F.col("sigs"), F.array().cast("array<string>"))).alias("signature_hash"))
 
 
-def changed_names(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(file_id, name, change) with change removed, signature changed or added; the later of equal names counts.
-
-    Both sides go through one aggregation by (file, name) rather than two aggregations and a full join."""
-    both = old.select("file_id", "name", F.lit(0).alias("side"), "pos", "sig").unionByName(
-        new.select("file_id", "name", F.lit(1).alias("side"), "pos", "sig"))
+def compare_names(entries: DataFrame, *more: Column) -> DataFrame:
+    """(file_id, name, change) for every name of entries with ``side`` 0 (old) or 1 (new): change is removed,
+    added, signature changed or NULL. The later of equal names counts."""
+    named = F.col("name").isNotNull()
 
     def last(side: int) -> Column:
         return F.max_by("sig", F.when(F.col("side") == side, F.col("pos")))
 
-    pairs = both.groupBy("file_id", "name").agg(
+    pairs = entries.groupBy("file_id", "name").agg(
         last(0).alias("old_sig"), last(1).alias("new_sig"),
-        F.max(F.col("side") == 0).alias("in_old"), F.max(F.col("side") == 1).alias("in_new"))
-    change = (F.when(~F.col("in_new"), "removed").when(~F.col("in_old"), "added")
+        F.max((F.col("side") == 0) & named).alias("in_old"), F.max((F.col("side") == 1) & named).alias("in_new"), *more)
+    change = (F.when(F.col("in_old") & ~F.col("in_new"), "removed").when(F.col("in_new") & ~F.col("in_old"), "added")
               .when(F.col("old_sig") != F.col("new_sig"), "signature changed"))
-    return pairs.select("file_id", "name", change.alias("change")).filter(F.col("change").isNotNull())
+    return pairs.withColumn("change", change).drop("old_sig", "new_sig", "in_old", "in_new")
+
+
+def change_label() -> Column:
+    """NULL for names without a change, which ``collect_list`` leaves out."""
+    return F.when(F.col("change").isNotNull(), F.concat(F.col("name"), F.lit(" ("), F.col("change"), F.lit(")")))
 
 
 def diff_signatures(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Sorted list of changed names per file; files without changes have no row."""
-    text = F.concat(F.col("name"), F.lit(" ("), F.col("change"), F.lit(")"))
-    return changed_names(old, new).groupBy("file_id").agg(F.array_sort(F.collect_list(text)).alias("changed_functions"))
+    """Sorted list of changed names per file; files without changes have no row. Both sides go through one
+    aggregation by (file, name) rather than two aggregations and a full join."""
+    both = old.select("file_id", "name", F.lit(0).alias("side"), "pos", "sig").unionByName(
+        new.select("file_id", "name", F.lit(1).alias("side"), "pos", "sig"))
+    changed = compare_names(both).filter(F.col("change").isNotNull())
+    return changed.groupBy("file_id").agg(F.array_sort(F.collect_list(change_label())).alias("changed_functions"))
 
 
 def attach_hashes(bindings: DataFrame, hashes: DataFrame) -> DataFrame:
