@@ -126,7 +126,9 @@ def _of_span(x: Column, toks: Column) -> Column:
         (head.startswith("export") | head.startswith("module.") | x["in_object"]).alias("exported"),
         x["line"].alias("line"), params(inside).alias("params"),
         type_name(F.regexp_extract(head, PARAM_TAIL, 2)).alias("return_type"),
-        throws(body).alias("throws"), leading_comment(x["before"], toks).alias("raw_doc"), body.alias("body"),
+        throws(body).alias("throws"),
+        # a comment above "export default" belongs to the export, not to what is exported
+        F.when(~head.rlike(r"\Aexport\s+default\b"), leading_comment(x["before"], toks)).alias("raw_doc"), body.alias("body"),
         F.transform(extract_all(F.regexp_replace(text, rf"(?:{MARK}[0-9]+{MARK}\s*)+\z", ""), rf"{MARK}([0-9]+){MARK}", 1),
                     lambda n: F.get(toks, n.cast("int"))).alias("inner_comments"))
 
@@ -246,21 +248,35 @@ def marking_names(exported: Column) -> Column:
 
 # ---- classes and interfaces ----------------------------------------------------------------------------
 
-CLASS = rf"{EDGE}class\s+({NAME})\s*{GENERIC}(?:extends\s+([\w$.]+)\s*{GENERIC}(?:{ROUND}\s*)?)?(?:implements\s+[^{{]+)?({CURLY})"
+MARKS = rf"(?:{MARK}[0-9]+{MARK}\s*)*"
+CLASS = (rf"({MARKS}){EDGE}((?:export\s+)?(?:default\s+)?)(?:abstract\s+)?class\s+({NAME})\s*{GENERIC}"
+         rf"(?:extends\s+([\w$.]+)\s*{GENERIC}(?:{ROUND}\s*)?)?(?:implements\s+[^{{]+)?({CURLY})")
 _MODIFIERS = r"(?:(?:public|private|protected|static|async|override|abstract|readonly|declare|get|set)\s+)*"
+METHOD_HEAD = rf"{_MODIFIERS}\*?\s*{NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*\{{"
 METHOD = rf"{_MODIFIERS}\*?\s*{NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*{CURLY}"
 FIELD = rf"{_MODIFIERS}{NAME}\s*[?!]?\s*(?::\s*(?:[^=;\n{{}}]|=>|{CURLY})+)?(?:=\s*(?:{CURLY}|{ROUND}|{STRING}|[^;\n])*+)?(?:;|\n|\z)"
 
 
-def class_list(code: Column) -> Column:
-    """ARRAY<STRUCT<name, super_class, methods, properties>>."""
+def _unmarked(text: Column) -> Column:
+    return F.regexp_replace(text, f"{MARK}[0-9]+{MARK}", "")
+
+
+def _marked_comments(text: Column, toks: Column) -> Column:
+    return F.transform(extract_all(text, rf"{MARK}([0-9]+){MARK}", 1), lambda n: F.get(toks, n.cast("int")))
+
+
+def class_list(marked: Column, toks: Column) -> Column:
+    """ARRAY<STRUCT<name, super_class, raw_doc, methods, properties>>; methods have the shape of ``function_list``."""
     def method(m: Column) -> Column:
-        head = F.regexp_extract(m, rf"\A{_MODIFIERS}\*?\s*{NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*\{{", 0)
+        text = F.regexp_replace(m, rf"\A{MARKS}", "")
+        head, clean = F.regexp_extract(text, rf"\A{METHOD_HEAD}", 0), _unmarked(text)
         return F.struct(
-            F.regexp_extract(head, rf"\A{_MODIFIERS}\*?\s*({NAME})", 1).alias("name"),
-            head.rlike(r"\A(?:\w+\s+)*?async\s").alias("is_async"),
+            F.regexp_extract(head, rf"\A{_MODIFIERS}\*?\s*({NAME})", 1).alias("name"), F.lit("method").alias("kind"),
+            head.rlike(r"\A(?:\w+\s+)*?async\s").alias("is_async"), F.lit(False).alias("exported"), F.lit(None).cast("int").alias("line"),
             params(F.regexp_replace(F.regexp_extract(head, PARAM_TAIL, 1), r"\A\(|\)\z", "")).alias("params"),
-            type_name(F.regexp_extract(head, PARAM_TAIL, 2)).alias("return_type"), throws(m).alias("throws"))
+            type_name(F.regexp_extract(head, PARAM_TAIL, 2)).alias("return_type"), throws(clean).alias("throws"),
+            leading_comment(F.regexp_extract(m, rf"\A{MARKS}", 0), toks).alias("raw_doc"), clean.alias("body"),
+            _marked_comments(text, toks).alias("inner_comments"))
 
     def field(f: Column) -> Column:
         return F.struct(
@@ -268,40 +284,43 @@ def class_list(code: Column) -> Column:
             type_name(F.regexp_extract(f, rf"\A{_MODIFIERS}{NAME}\s*[?!]?\s*:((?:[^=;\n]|=>)+)", 1)).alias("type"),
             f.rlike(r"\A(?:\w+\s+)*?static\s").alias("static"))
 
-    def one(name: Column, parent: Column, body: Column) -> Column:
-        members = extract_all(F.regexp_replace(body, r"\A\{|\}\z", ""), rf"(?<![\w$.#@])(?:{METHOD}|{FIELD})")
-        trimmed = F.transform(members, trim)
-        is_method = lambda m: m.rlike(rf"\A{METHOD}\z")
-        return bind(trimmed, lambda ms: F.struct(
-            name.alias("name"), F.when(parent.rlike(rf"\A{NAME}\z"), parent).alias("super_class"),
-            F.transform(F.filter(ms, is_method), method).alias("methods"),
-            F.transform(F.filter(ms, lambda m: ~is_method(m)), field).alias("properties")))
+    def one(r: Column) -> Column:
+        members = extract_all(F.regexp_replace(r["b"], r"\A\{|\}\z", ""), rf"(?<![\w$.#@]){MARKS}(?:{METHOD}|{FIELD})")
+        is_method = lambda m: m.rlike(rf"\A{MARKS}{METHOD}\z")
+        fields = lambda ms: F.transform(F.filter(ms, lambda m: ~is_method(m)), lambda m: trim(_unmarked(m)))
+        return bind(F.transform(members, trim), lambda ms: F.struct(
+            r["n"].alias("name"), F.when(r["p"].rlike(rf"\A{NAME}\z"), r["p"]).alias("super_class"),
+            F.when(~F.contains(r["e"], F.lit("default")), leading_comment(r["c"], toks)).alias("raw_doc"), F.transform(F.filter(ms, is_method), method).alias("methods"),
+            F.transform(F.filter(fields(ms), lambda f: f.rlike(rf"\A{FIELD}\z")), field).alias("properties")))
 
-    rows = F.arrays_zip(extract_all(code, CLASS, 1).alias("n"), extract_all(code, CLASS, 2).alias("p"), extract_all(code, CLASS, 3).alias("b"))
-    return F.transform(rows, lambda r: one(r["n"], r["p"], r["b"]))
+    rows = F.arrays_zip(*[extract_all(marked, CLASS, g).alias(n) for g, n in ((1, "c"), (2, "e"), (3, "n"), (4, "p"), (5, "b"))])
+    return F.transform(rows, one)
 
 
 INTERFACE = rf"{EDGE}interface\s+{NAME}\s*{GENERIC}(?:extends\s+[^{{]+)?{CURLY}|{EDGE}type\s+{NAME}\s*{GENERIC}="
+DOCUMENTED_INTERFACE = rf"({MARKS})(?:export\s+)?(?:default\s+)?(?:declare\s+)?({INTERFACE})"
 
 
-def interface_list(code: Column) -> Column:
-    """ARRAY<STRUCT<name, kind, members>>; type aliases have no members, members other than plain properties are
-    called ``member``."""
+def interface_list(marked: Column, toks: Column) -> Column:
+    """ARRAY<STRUCT<name, kind, members, raw_doc>>; type aliases have no members, members other than plain
+    properties are called ``member``."""
     def member(m: Column) -> Column:
         plain = m.rlike(rf"\A(?:readonly\s+)?{NAME}\??\s*(?::|\z)")
         p = _property(m)
         return F.struct(F.when(plain, p["name"]).otherwise("member").alias("name"), F.when(plain, p["type"]).alias("type"),
                         (plain & p["optional"]).alias("optional"))
 
-    def one(s: Column) -> Column:
+    def one(comment: Column, text: Column) -> Column:
+        s = _unmarked(text)
         body = F.regexp_extract(s, rf"({CURLY})\z", 1)
         members = F.transform(pieces(F.regexp_replace(body, r"\A\{|\}\z", ""), r";,\n"), member)
         return F.struct(
             F.regexp_extract(s, rf"\A(?:interface|type)\s+({NAME})", 1).alias("name"),
             F.when(s.startswith("interface"), "interface").otherwise("type").alias("kind"),
-            F.when(s.startswith("interface"), members).otherwise(F.array().cast(EMPTY_PROPERTIES)).alias("members"))
+            F.when(s.startswith("interface"), members).otherwise(F.array().cast(EMPTY_PROPERTIES)).alias("members"),
+            leading_comment(comment, toks).alias("raw_doc"))
 
-    return F.transform(extract_all(code, INTERFACE), one)
+    return F.zip_with(extract_all(marked, DOCUMENTED_INTERFACE, 1), extract_all(marked, DOCUMENTED_INTERFACE, 2), one)
 
 
 # ---- UI facts ------------------------------------------------------------------------------------------

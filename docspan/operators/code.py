@@ -15,6 +15,7 @@ from docspan.functions import declarations as D
 from docspan.functions import source as S
 from docspan.functions.doctags import comment_description, doc_tags
 from docspan.functions.text import language
+from docspan.operators.rows import elements, inlined, with_position
 from docspan.operators.signatures import hash_of
 
 # Request methods whose exported names make a file an endpoint.
@@ -43,6 +44,20 @@ def _finished(fn: Column, names: Column) -> Column:
         notes.alias("notes"), api.alias("api")))
 
 
+def _description(raw: Column) -> Column:
+    return F.coalesce(doc_tags(raw)["description"], comment_description(raw))
+
+
+def _finished_class(c: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.struct(c["name"].alias("name"), c["super_class"].alias("super_class"), F.transform(c["methods"], lambda m: _finished(m, none)).alias("methods"),
+                    c["properties"].alias("properties"), _description(c["raw_doc"]).alias("doc"))
+
+
+def _finished_interface(i: Column) -> Column:
+    return F.struct(i["name"].alias("name"), i["kind"].alias("kind"), i["members"].alias("members"), _description(i["raw_doc"]).alias("doc"))
+
+
 # How each fact column follows from the text columns. The expressions are large and do not depend on the
 # table, so each is built once per Spark context and used again.
 _EXPRESSIONS = {
@@ -51,9 +66,10 @@ _EXPRESSIONS = {
     "imports": lambda: D.imports(F.col("code")),
     "exports": lambda: D.exports(F.col("code")),
     "raw_functions": lambda: D.function_list(F.col("parts"), F.col("code"), F.col("tokens")),
-    "functions": lambda: F.transform("raw_functions", lambda f: _finished(f, F.col("marking"))),
-    "classes": lambda: D.class_list(F.col("code")),
-    "interfaces": lambda: D.interface_list(F.col("code")),
+    # bound, or the optimiser would move the export list into the lambda and read it once per function
+    "functions": lambda: S.bind(D.marking_names(F.col("exports")), lambda names: F.transform("raw_functions", lambda f: _finished(f, names))),
+    "classes": lambda: F.transform(D.class_list(F.col("marked"), F.col("tokens")), _finished_class),
+    "interfaces": lambda: F.transform(D.interface_list(F.col("marked"), F.col("tokens")), _finished_interface),
     "comments": lambda: S.comments(F.col("tokens")),
     "hooks": lambda: D.hooks(F.col("code")),
     "jsx_elements": lambda: D.jsx_elements(F.col("code")),
@@ -79,8 +95,7 @@ def code_facts(files: DataFrame, wanted: tuple[str, ...] = FACTS) -> DataFrame:
     if {"functions", "exports"} & set(wanted):
         df = df.withColumn("exports", _built("exports", context_id))
     if "functions" in wanted:
-        df = (df.withColumn("parts", D.spans(F.col("marked"))).withColumn("raw_functions", _built("raw_functions", context_id))
-              .withColumn("marking", D.marking_names(F.col("exports"))))
+        df = df.withColumn("parts", D.spans(F.col("marked"))).withColumn("raw_functions", _built("raw_functions", context_id))
     return df.select("file_id", "file_name", "content", *[
         F.col("exports") if w == "exports" else _built(w, context_id).alias(w) for w in wanted])
 
@@ -95,7 +110,7 @@ def quarantine(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def import_edges(facts: DataFrame) -> DataFrame:
-    return facts.select("file_id", F.inline("imports"))
+    return inlined(facts, ["file_id"], "imports")
 
 
 def reverse_dependencies(facts: DataFrame) -> DataFrame:
@@ -103,19 +118,19 @@ def reverse_dependencies(facts: DataFrame) -> DataFrame:
 
 
 def export_list(facts: DataFrame) -> DataFrame:
-    return facts.select("file_id", F.inline("exports"))
+    return inlined(facts, ["file_id"], "exports")
 
 
 def function_catalogue(facts: DataFrame) -> DataFrame:
-    return facts.select("file_id", F.inline("functions"))
+    return inlined(facts, ["file_id"], "functions")
 
 
 def class_catalogue(facts: DataFrame) -> DataFrame:
-    return facts.select("file_id", F.inline("classes"))
+    return inlined(facts, ["file_id"], "classes")
 
 
 def interface_catalogue(facts: DataFrame) -> DataFrame:
-    return facts.select("file_id", F.inline("interfaces"))
+    return inlined(facts, ["file_id"], "interfaces")
 
 
 def ui_facts(facts: DataFrame) -> DataFrame:
@@ -124,12 +139,12 @@ def ui_facts(facts: DataFrame) -> DataFrame:
 
 
 def throw_inventory(facts: DataFrame) -> DataFrame:
-    return facts.select("file_id", F.explode("functions").alias("f")).select(
-        "file_id", F.col("f.name").alias("function_name"), F.explode("f.throws").alias("thrown"))
+    functions = elements(facts, ["file_id"], F.col("functions"), "f")
+    return elements(functions, ["file_id", F.col("f.name").alias("function_name")], F.col("f.throws"), "thrown")
 
 
 def handler_surface(facts: DataFrame) -> DataFrame:
-    return facts.select("file_id", F.explode("functions").alias("f")).filter("f.api IS NOT NULL").select(
+    return elements(facts, ["file_id"], F.col("functions"), "f").filter("f.api IS NOT NULL").select(
         "file_id", F.col("f.name").alias("function_name"), "f.api.*")
 
 
@@ -139,12 +154,12 @@ def response_shapes(handlers: DataFrame) -> DataFrame:
 
 
 def doc_tag_catalogue(facts: DataFrame) -> DataFrame:
-    return facts.select("file_id", F.explode("functions").alias("f")).filter("f.tags IS NOT NULL").select(
+    return elements(facts, ["file_id"], F.col("functions"), "f").filter("f.tags IS NOT NULL").select(
         "file_id", F.col("f.name").alias("function_name"), "f.tags.*")
 
 
 def comment_inventory(facts: DataFrame) -> DataFrame:
-    return facts.select("file_id", F.posexplode("comments").alias("pos", "comment"))
+    return with_position(facts, ["file_id"], F.col("comments"), "comment")
 
 
 def route_catalogue(facts: DataFrame) -> DataFrame:
@@ -157,7 +172,7 @@ def duplicate_routes(routes: DataFrame) -> DataFrame:
 
 def env_inventory(facts: DataFrame) -> DataFrame:
     """(env_var, file_id) pairs; names per document follow from a distinct over its files."""
-    return facts.select("file_id", F.explode("env_vars").alias("env_var"))
+    return elements(facts, ["file_id"], F.col("env_vars"), "env_var")
 
 
 def env_totals(facts: DataFrame) -> DataFrame:
@@ -264,4 +279,4 @@ def with_signatures(facts: DataFrame) -> DataFrame:
 
 def entry_rows(facts: DataFrame) -> DataFrame:
     """(file_id, pos, name, sig) rows for comparisons between two states of a file."""
-    return _with_entries(facts).select("file_id", F.posexplode("entries").alias("pos", "e")).select("file_id", "pos", "e.name", "e.sig")
+    return with_position(_with_entries(facts), ["file_id"], F.col("entries"), "e").select("file_id", "pos", "e.name", "e.sig")

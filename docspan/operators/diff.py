@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from docspan.functions.lcs import edit_script, lcs_length, line_ids
 from docspan.functions.text import lines_of
+from docspan.operators.rows import elements, with_position
 
 _SCRIPT = T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("op", "old_line", "new_line")])
 
@@ -48,8 +49,8 @@ def diff_lines(pairs: DataFrame) -> DataFrame:
     same = F.transform(F.col("_news"), lambda _, i: F.struct(F.lit(0).alias("op"), (i + 1).alias("old_line"), (i + 1).alias("new_line")))
     script = _texts(pairs).withColumn("_s", _script("_a", "_b")).select(
         *keys, "_same", "_s", lines_of(F.col("_old")).alias("_olds"), lines_of(F.col("_new")).alias("_news"))
-    rows = script.select(*keys, "_olds", "_news", F.posexplode(
-        F.when(F.col("_same"), same).otherwise(F.arrays_zip("_s.op", "_s.old_line", "_s.new_line"))).alias("pos", "d"))
+    rows = with_position(script, [*keys, "_olds", "_news"], F.when(F.col("_same"), same).otherwise(
+        F.arrays_zip("_s.op", "_s.old_line", "_s.new_line")), "d")
     has_old, has_new = F.col("d.old_line") > 0, F.col("d.new_line") > 0
     return rows.select(
         *keys, (F.col("pos") + 1).alias("line_no"),
@@ -61,8 +62,8 @@ def diff_lines(pairs: DataFrame) -> DataFrame:
 def line_delta(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Additions and deletions when order is ignored: surplus occurrences per distinct line. Bounds the exact
     statistics from below; counts per (pair, line) are combined before the exchange."""
-    sides = pairs.select(*keys, F.explode(lines_of(F.col("from_content"))).alias("text"), F.lit(-1).alias("side")).unionByName(
-        pairs.select(*keys, F.explode(lines_of(F.col("to_content"))).alias("text"), F.lit(1).alias("side")))
+    sides = elements(pairs, keys, lines_of(F.col("from_content")), "text").withColumn("side", F.lit(-1)).unionByName(
+        elements(pairs, keys, lines_of(F.col("to_content")), "text").withColumn("side", F.lit(1)))
     surplus = sides.groupBy(*keys, "text").agg(F.sum("side").alias("d"))
     return surplus.groupBy(*keys).agg(
         F.sum(F.greatest(F.col("d"), F.lit(0))).alias("additions"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("deletions"))

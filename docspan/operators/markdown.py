@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from docspan.functions.markdown import md_tokens as tokens_of
 from docspan.functions.text import strip_inline
+from docspan.operators.rows import with_position
 
 
 def md_tokens(docs: DataFrame) -> DataFrame:
     """doc_id, token_no and the token's columns."""
-    return docs.select("doc_id", F.posexplode(tokens_of(F.col("content"))).alias("pos", "t")).select(
+    return with_position(docs, ["doc_id"], tokens_of(F.col("content")), "t").select(
         "doc_id", (F.col("pos") + 1).alias("token_no"), "t.*")
 
 
@@ -21,8 +22,9 @@ def md_outline(tokens: DataFrame) -> DataFrame:
 
 def md_tables(tokens: DataFrame) -> DataFrame:
     """One row per table cell."""
-    rows = tokens.filter("type = 'table'").select("doc_id", "token_no", F.posexplode("rows").alias("row_no", "cells"))
-    return rows.select("doc_id", "token_no", "row_no", F.posexplode("cells").alias("col_no", "cell")).withColumn("cell", strip_inline(F.col("cell")))
+    rows = with_position(tokens.filter("type = 'table'"), ["doc_id", "token_no"], F.col("rows"), "cells").withColumnRenamed("pos", "row_no")
+    cells = with_position(rows, ["doc_id", "token_no", "row_no"], F.col("cells"), "cell").withColumnRenamed("pos", "col_no")
+    return cells.withColumn("cell", strip_inline(F.col("cell")))
 
 
 def missing_units(units: DataFrame, tokens: DataFrame) -> DataFrame:

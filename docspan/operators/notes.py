@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspan.functions.notes import RULES, Rule, best_rule, note_blocks, section_of, words_of
+from docspan.operators.rows import with_position
 
 
 def segment_notes(notes: DataFrame) -> DataFrame:
     """note_id, block_no, text, is_code."""
-    return notes.select("note_id", F.posexplode(note_blocks(F.col("content"))).alias("pos", "b")).select(
+    return with_position(notes, ["note_id"], note_blocks(F.col("content")), "b").select(
         "note_id", (F.col("pos") + 1).alias("block_no"), F.col("b.text").alias("text"), F.col("b.is_code").alias("is_code")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspan.functions.text import version_source
+from docspan.operators.rows import inlined
 from docspan.operators.skew import HOT_ROWS, number_within
 
 
@@ -166,7 +167,7 @@ def _chain(entries: DataFrame, segment: int, levels: int) -> DataFrame:
                 F.concat(acc["out"], F.array(F.struct(e["n"].cast("bigint").alias("n"), _linked(acc["last"], e["digest"]).alias("local")))).alias("out"))))
         .select("doc_id", "seg", F.col("links.last").alias("last"), F.col("links.out").alias("out"))
     )
-    local = folded.select("doc_id", "seg", F.inline("out"))
+    local = inlined(folded, ["doc_id", "seg"], "out")
     if levels == 1:
         return local.select("doc_id", "n", F.col("local").alias("chained"))
     anchors = _chain(folded.select("doc_id", F.col("seg").alias("n"), F.col("last").alias("digest")), segment, levels - 1)

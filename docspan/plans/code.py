@@ -9,6 +9,7 @@ from docspan.functions.types import type_name
 from docspan.operators import code as C
 from docspan.operators import drift as D
 from docspan.operators.access import stage
+from docspan.operators.rows import with_position
 from docspan.plans.inputs import fixture, spread, sql_input
 
 TYPES_SQL = """
@@ -98,7 +99,7 @@ def handler_surface(spark, sf):
 
 
 def response_shapes(spark, sf):
-    rows = C.handler_surface(_modules(spark, sf, "functions")).select("file_id", "function_name", F.posexplode("responses").alias("pos", "r"))
+    rows = with_position(C.handler_surface(_modules(spark, sf, "functions")), ["file_id", "function_name"], F.col("responses"), "r")
     return C.response_shapes(rows.select("file_id", "function_name", "pos", "r.status", "r.shape"))
 
 
@@ -243,8 +244,7 @@ SELECT p_partkey AS file_id, concat('list', {_K}) AS function_name, 'size,name'
 SELECT p_partkey AS file_id, concat('list', {_K}) AS function_name, 200 AS status, '{{ ok: true, q: req.query.page }}' AS shape FROM {_M} = 0
 UNION ALL SELECT p_partkey, concat('list', {_K}), 404, '{{ ok: false }}' FROM {_M} = 0""",
     "doc_tag_catalogue": f"""
-SELECT p_partkey AS file_id, concat('list', {_K}) AS function_name, concat('List ', p_brand) AS description, 'GET' AS method, concat('/api/', p_size, '/:id') AS path, concat('Private (', p_type, ')') AS access FROM {_M} = 0
-UNION ALL SELECT p_partkey, concat('View', {_K}), concat('Shows ', p_name, '.'), '—', '—', '—' FROM {_M} = 2""",
+SELECT p_partkey AS file_id, concat('list', {_K}) AS function_name, concat('List ', p_brand) AS description, 'GET' AS method, concat('/api/', p_size, '/:id') AS path, concat('Private (', p_type, ')') AS access FROM {_M} = 0""",
     "comment_inventory": f"""
 SELECT p_partkey AS file_id, 0 AS pos, concat('@desc    List ', p_brand) AS comment FROM {_M} = 0 UNION ALL SELECT p_partkey, 1, concat('@route   GET /api/', p_size, '/:id') FROM {_M} = 0
 UNION ALL SELECT p_partkey, 2, concat('@access  Private (', p_type, ')') FROM {_M} = 0 UNION ALL SELECT p_partkey, 0, concat('Holds ', p_name, '. @deprecated') FROM {_M} = 1

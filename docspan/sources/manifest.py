@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspan.functions.text import author_name, document_path, http_date, short_commit, slug
+from docspan.operators.rows import with_position
 from docspan.schemas import MANIFEST_DDL
 
 GENERATOR = "docspan"
@@ -19,7 +20,7 @@ def parse_manifest(json: Column) -> Column:
 def flatten(manifests: DataFrame, column: str = "json") -> DataFrame:
     """One row per (doc_path, source); entries without sources keep one row with an empty source."""
     keep = [c for c in manifests.columns if c != column]
-    entries = manifests.select(*keep, F.posexplode(parse_manifest(F.col(column))).alias("entry_no", "e")).filter("e.doc_path IS NOT NULL")
+    entries = with_position(manifests, keep, parse_manifest(F.col(column)), "e").withColumnRenamed("pos", "entry_no").filter("e.doc_path IS NOT NULL")
     return entries.select(*keep, "entry_no", "e.doc_path", "e.generated_at", "e.generator", "e.author_login", "e.version",
                           F.explode_outer("e.sources").alias("s")).select("*", "s.*").drop("s")
 
