@@ -6,7 +6,7 @@ import importlib
 
 from docspan.fixtures import with_fixtures
 
-MODULES = ("notes", "versions", "diff", "drift", "access", "sources", "code", "markdown", "assembly")
+MODULES = ("notes", "versions", "diff", "drift", "access", "sources", "code", "markdown", "assembly", "streaming")
 
 
 def _modules():
