@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docspan.functions.source import (ANGLE, CURLY, CUT, EDGE, MARK, NAME, ROUND, STRING, bind, extract_all, json_string,
+from docspan.functions.source import (ANGLE, CURLY, CUT, EDGE, MARK, NAME, ROUND, STRING, bind, extract_all, having, json_string,
                                       leading_comment, missing, newlines, piece, pieces, trim)
 from docspan.functions.types import type_name
 
@@ -142,7 +142,7 @@ def _span_rows(parts: Column) -> Column:
 
 def _object_rows(code: Column) -> Column:
     """Functions written inside ``module.exports = {…}``; their lines are not known."""
-    body = F.regexp_extract(F.regexp_extract(code, CJS_OBJECT, 0), r"\{([\s\S]*)\}\z", 1)
+    body = F.regexp_extract(F.regexp_extract(having(code, "module.exports"), CJS_OBJECT, 0), r"\{([\s\S]*)\}\z", 1)
     listed = F.filter(pieces(body), lambda p: p.rlike(rf"\A{NAME}\s*:\s*{_WRAPPED}"))
     return F.transform(listed, lambda p: F.struct(
         p.alias("span"), F.regexp_extract(p, rf"\A{NAME}\s*:\s*{_WRAPPED}", 0).alias("head"), F.lit(None).cast("int").alias("line"),
@@ -162,7 +162,8 @@ IMPORT = rf"""(?<![^\n;])[ \t]*import\s+(?:type\s+)?(?:([\w$\s{{}},*]+?)\s+from\
 
 def imports(code: Column) -> Column:
     """ARRAY<STRUCT<source, default_name, namespace, named>>; ``named`` holds the imported names."""
-    clauses, sources = extract_all(code, IMPORT, 1), extract_all(code, IMPORT, 2)
+    text = having(code, "import")
+    clauses, sources = extract_all(text, IMPORT, 1), extract_all(text, IMPORT, 2)
 
     def one(clause: Column, source: Column) -> Column:
         inside = F.regexp_extract(clause, r"\{([^}]*)\}", 1)
@@ -229,7 +230,7 @@ def _exports_of(s: Column) -> Column:
 
 def exports(code: Column) -> Column:
     """ARRAY<STRUCT<name, kind, is_default>> in source order. A CommonJS export of a name listed before is dropped."""
-    statements = extract_all(code, EXPORT)
+    statements = extract_all(having(code, "export"), EXPORT)
     listed = F.flatten(F.transform(statements, lambda s: F.transform(_exports_of(s), lambda e: F.struct(
         e["name"].alias("name"), e["kind"].alias("kind"), e["is_default"].alias("is_default"), (~s.startswith("export")).alias("cjs")))))
 
@@ -293,8 +294,10 @@ def class_list(marked: Column, toks: Column) -> Column:
             F.when(~F.contains(r["e"], F.lit("default")), leading_comment(r["c"], toks)).alias("raw_doc"), F.transform(F.filter(ms, is_method), method).alias("methods"),
             F.transform(F.filter(fields(ms), lambda f: f.rlike(rf"\A{FIELD}\z")), field).alias("properties")))
 
-    rows = F.arrays_zip(*[extract_all(marked, CLASS, g).alias(n) for g, n in ((1, "c"), (2, "e"), (3, "n"), (4, "p"), (5, "b"))])
-    return F.transform(rows, one)
+    def groups(text: Column) -> Column:
+        return F.struct(*[F.regexp_extract(text, CLASS, g).alias(n) for g, n in ((1, "c"), (2, "e"), (3, "n"), (4, "p"), (5, "b"))])
+
+    return F.transform(F.transform(extract_all(having(marked, "class"), CLASS), groups), one)
 
 
 INTERFACE = rf"{EDGE}interface\s+{NAME}\s*{GENERIC}(?:extends\s+[^{{]+)?{CURLY}|{EDGE}type\s+{NAME}\s*{GENERIC}="
@@ -310,8 +313,8 @@ def interface_list(marked: Column, toks: Column) -> Column:
         return F.struct(F.when(plain, p["name"]).otherwise("member").alias("name"), F.when(plain, p["type"]).alias("type"),
                         (plain & p["optional"]).alias("optional"))
 
-    def one(comment: Column, text: Column) -> Column:
-        s = _unmarked(text)
+    def one(r: Column) -> Column:
+        comment, s = r["c"], r["s"]
         body = F.regexp_extract(s, rf"({CURLY})\z", 1)
         members = F.transform(pieces(F.regexp_replace(body, r"\A\{|\}\z", ""), r";,\n"), member)
         return F.struct(
@@ -320,7 +323,10 @@ def interface_list(marked: Column, toks: Column) -> Column:
             F.when(s.startswith("interface"), members).otherwise(F.array().cast(EMPTY_PROPERTIES)).alias("members"),
             leading_comment(comment, toks).alias("raw_doc"))
 
-    return F.zip_with(extract_all(marked, DOCUMENTED_INTERFACE, 1), extract_all(marked, DOCUMENTED_INTERFACE, 2), one)
+    def groups(text: Column) -> Column:
+        return F.struct(F.regexp_extract(text, DOCUMENTED_INTERFACE, 1).alias("c"), _unmarked(F.regexp_extract(text, DOCUMENTED_INTERFACE, 2)).alias("s"))
+
+    return F.transform(F.transform(extract_all(having(marked, "interface", "type"), DOCUMENTED_INTERFACE), groups), one)
 
 
 # ---- UI facts ------------------------------------------------------------------------------------------
@@ -339,7 +345,8 @@ def hooks(code: Column) -> Column:
         return F.struct(name.alias("name"), F.transform(parts, lambda a: F.when(
             F.length(a) > ARG_CAP, F.concat(F.left(a, F.lit(ARG_CAP)), F.lit("…"))).otherwise(a)).alias("args"))
 
-    return F.zip_with(extract_all(code, HOOK, 1), extract_all(code, HOOK, 2), one)
+    text = having(code, "use")
+    return F.zip_with(extract_all(text, HOOK, 1), extract_all(text, HOOK, 2), one)
 
 
 def jsx_elements(code: Column) -> Column:
@@ -358,7 +365,8 @@ def event_handlers(code: Column) -> Column:
         return F.struct(event.alias("event"), F.when(expr.rlike(rf"\A{NAME}\z"), F.array(expr)).otherwise(
             F.array_distinct(F.transform(found, call))).alias("calls"))
 
-    return F.zip_with(extract_all(code, HANDLER, 1), extract_all(code, HANDLER, 2), one)
+    text = having(code, "={")
+    return F.zip_with(extract_all(text, HANDLER, 1), extract_all(text, HANDLER, 2), one)
 
 
 # ---- request handlers ----------------------------------------------------------------------------------

@@ -42,6 +42,15 @@ def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def having(text: Column, *words: str) -> Column:
+    """The text if it holds one of the words, else the empty string: costly patterns then run only where they can
+    match at all."""
+    test = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        test = test | F.contains(text, F.lit(w))
+    return F.when(test, text).otherwise("")
+
+
 def bind(value: Column, use) -> Column:
     """``use`` applied to a value that is computed once, however often ``use`` refers to it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.operators.storage import new_path
+from docspan.operators.storage import is_directory, new_path
 from docspan.plans import drift as DR
 from docspan.plans.inputs import fixture, sql_input
 from docspan.streaming import jobs as J
 
 
 def source(spark, sf_dir: str, table: str) -> DataFrame:
-    """One of the given tables as a file stream."""
+    """One of the given tables as a file stream. Streams read folders, so a table that is one file is picked from
+    the folder it is in."""
     path = f"{sf_dir}/{table}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_directory(spark, path):
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def _saves(orders: DataFrame) -> DataFrame:
