@@ -178,7 +178,7 @@ def merge_generated(heads: DataFrame, unit_texts: DataFrame, docs: DataFrame, un
         F.lit("\n\n---\n\n## API Reference\n\n"), trim_all(body), F.coalesce(R.cat("\n\n", F.col("warning")), F.lit("")))).otherwise(""))
     content = R.cat(F.regexp_replace(collapse_blank(text), r"\s+\z", ""), "\n")
     lost = head.isNull() & body.isNull()
-    return joined.select("doc_id", F.when(~lost, content).alias("content"), F.when(~lost, F.coalesce(heading_title(head), F.col("title"))).alias("derived_title"),
+    return joined.select("doc_id", F.when(~lost, content).alias("content"), F.when(~lost, F.coalesce(R.missing(heading_title(trim_all(head))), F.col("title"))).alias("derived_title"),
                          F.when(lost, "Both synthesis passes returned empty.").alias("error"))
 
 

@@ -23,7 +23,7 @@ def file_type(name: Column) -> Column:
 
 def read_source_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row per text file under a folder."""
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path))
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
                         file_type(F.col("_metadata.file_name")).alias("file_type"), F.col("value").alias("content"))
 

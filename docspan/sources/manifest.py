@@ -26,7 +26,7 @@ def flatten(manifests: DataFrame, column: str = "json") -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return flatten(spark.read.option("wholetext", True).text(path).select(F.col("value").alias("json")))
+    return flatten(spark.read.text(path, wholetext=True).select(F.col("value").alias("json")))
 
 
 def manifest_entries(docs: DataFrame, users: DataFrame) -> DataFrame:
