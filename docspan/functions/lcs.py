@@ -34,6 +34,12 @@ def _common_prefix(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.argmax(differs)) if differs.any() else n
 
 
+def shared_lines(a: np.ndarray, b: np.ndarray) -> int:
+    """Lines in common when order is ignored, counted with their repetitions."""
+    size = int(max(a.max(), b.max())) + 1
+    return int(np.minimum(np.bincount(a, minlength=size), np.bincount(b, minlength=size)).sum())
+
+
 def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     """Length only: common ends count as they are, lines of one side alone count nothing."""
     start = _common_prefix(a, b)

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspan.functions.lcs import edit_script, lcs_length, line_ids
+from docspan.functions.lcs import edit_script, lcs_length, line_ids, shared_lines
 from docspan.functions.text import lines_of
-from docspan.operators.rows import elements, with_position
+from docspan.operators.rows import with_position
 
 _SCRIPT = T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("op", "old_line", "new_line")])
 
@@ -22,6 +22,11 @@ def _common_lines(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else lcs_length(*line_ids(a, b)) for a, b in zip(old, new)], dtype="Int32")
 
 
+@F.pandas_udf(T.IntegerType())
+def _shared_lines(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else shared_lines(*line_ids(a, b)) for a, b in zip(old, new)], dtype="Int32")
+
+
 @F.pandas_udf(_SCRIPT)
 def _script(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     scripts = [([], [], []) if a is None or b is None else edit_script(a, b) for a, b in zip(old, new)]
@@ -59,11 +64,10 @@ def diff_lines(pairs: DataFrame) -> DataFrame:
         F.when(has_old, F.col("d.old_line")).alias("old_line"), F.when(has_new, F.col("d.new_line")).alias("new_line"))
 
 
-def line_delta(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def line_delta(pairs: DataFrame) -> DataFrame:
     """Additions and deletions when order is ignored: surplus occurrences per distinct line. Bounds the exact
-    statistics from below; counts per (pair, line) are combined before the exchange."""
-    sides = elements(pairs, keys, lines_of(F.col("from_content")), "text").withColumn("side", F.lit(-1)).unionByName(
-        elements(pairs, keys, lines_of(F.col("to_content")), "text").withColumn("side", F.lit(1)))
-    surplus = sides.groupBy(*keys, "text").agg(F.sum("side").alias("d"))
-    return surplus.groupBy(*keys).agg(
-        F.sum(F.greatest(F.col("d"), F.lit(0))).alias("additions"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("deletions"))
+    statistics from below. Both texts are in one row, so nothing is exchanged."""
+    n, m = F.size(lines_of(F.col("_old"))), F.size(lines_of(F.col("_new")))
+    common = F.when(F.col("_same"), n).otherwise(F.col("_common"))
+    return _texts(pairs).withColumn("_common", _shared_lines("_a", "_b")).select(
+        *[c for c in pairs.columns if not c.endswith("_content")], (m - common).alias("additions"), (n - common).alias("deletions"))

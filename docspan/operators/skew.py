@@ -17,7 +17,7 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
 def number_within(df: DataFrame, key: str, order: list[Column], out: str, slice_by: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Dense numbers 1..n per key, as ``row_number`` would give.
 
-    ``slice_by`` must be non-decreasing along ``order`` (say, the hour of the ordering timestamp). Rows of hot
+    ``slice_by`` must be non-decreasing along ``order`` (say, the minute of the ordering timestamp). Rows of hot
     keys are partitioned by key and slice, each slice is numbered alone, and the slice's offset is a running
     sum over the key's slice counts. Other keys have one slice. The data is exchanged once either way.
     """

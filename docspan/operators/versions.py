@@ -13,7 +13,7 @@ from docspan.operators.skew import HOT_ROWS, number_within
 def number_versions(saves: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Dense version numbers per document in save order; ties are broken by event id."""
     return number_within(saves.withColumn("source", version_source(F.col("source"))), "doc_id",
-                         [F.col("saved_at"), F.col("event_id")], "version_no", F.date_trunc("hour", "saved_at"), hot_rows)
+                         [F.col("saved_at"), F.col("event_id")], "version_no", F.date_trunc("minute", "saved_at"), hot_rows)
 
 
 def current_docs(versions: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def apply_rollbacks(versions: DataFrame, rollbacks: DataFrame, hot_rows: int = H
     asked = rollbacks.join(target, ["doc_id", "version_no"], "left")
     errors = asked.filter(F.col("_hit").isNull()).select("doc_id", "version_no", "event_id", F.lit("not_found").alias("error"))
     found = asked.filter(F.col("_hit")).drop("_hit")
-    numbered = number_within(found, "doc_id", [F.col("at"), F.col("event_id")], "_nth", F.date_trunc("hour", "at"), hot_rows)
+    numbered = number_within(found, "doc_id", [F.col("at"), F.col("event_id")], "_nth", F.date_trunc("minute", "at"), hot_rows)
     last = versions.groupBy("doc_id").agg(F.max("version_no").alias("_last"))
     appended = numbered.join(last, "doc_id").select(
         "doc_id", (F.col("_last") + F.col("_nth")).cast("int").alias("version_no"), "content",

@@ -28,7 +28,7 @@ def diff_edit_lines(spark, sf):
 
 
 def line_multiset_delta(spark, sf):
-    return D.line_delta(_pairs(spark, sf, ASKED_SQL), ["doc_id", "from_version", "to_version"])
+    return D.line_delta(_pairs(spark, sf, ASKED_SQL))
 
 
 QUERIES = {"diff_statistics": diff_statistics, "diff_edit_lines": diff_edit_lines, "line_multiset_delta": line_multiset_delta}

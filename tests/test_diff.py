@@ -59,7 +59,7 @@ def test_rows_rebuild_both_texts_and_agree_with_the_statistics(spark):
     df = pairs(spark, *rows)
     lines = D.diff_lines(df).orderBy("pair", "line_no").collect()
     stats = {s.pair: s for s in D.diff_stats(df).collect()}
-    delta = {s.pair: s for s in D.line_delta(df, ["pair"]).collect()}
+    delta = {s.pair: s for s in D.line_delta(df).collect()}
     for i, (old, new) in enumerate(rows):
         mine = [x for x in lines if x.pair == i]
         assert "\n".join(x.text for x in mine if x.op != "add") == (old or "")
