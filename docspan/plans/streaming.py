@@ -11,6 +11,16 @@ from docspan.plans.inputs import fixture, sql_input
 from docspan.streaming import jobs as J
 
 
+def stream_session(spark):
+    """A session of its own for a stream: state is kept per shuffle partition for good, and more partitions than
+    cores only cost time here."""
+    own = spark.newSession()
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    own.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return own
+
+
 def source(spark, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables as a file stream. Streams read folders, so a table that is one file is picked from
     the folder it is in."""
@@ -30,19 +40,20 @@ def _saves(orders: DataFrame) -> DataFrame:
 
 def streamed_versions(spark, sf):
     store = new_path(spark, "versions")
-    J.stream_versions(_saves(source(spark, sf, "orders")), store, new_path(spark, "versions-log")).awaitTermination()
+    J.stream_versions(_saves(source(stream_session(spark), sf, "orders")), store, new_path(spark, "versions-log")).awaitTermination()
     return J.read_versions(spark, store).select("doc_id", "event_id", "version_no", "source", "message")
 
 
 def streamed_drift(spark, sf):
     """Every part is a push of the file it names."""
     f = (F.col("p_partkey") % 97)
-    pushes = source(spark, sf, "part").select(
+    own = stream_session(spark)
+    pushes = source(own, sf, "part").select(
         F.concat(F.lit("src/f"), f.cast("string"), F.lit(".ts")).alias("path"),
         F.when(f % 5 == 0, F.concat(F.lit("a"), f.cast("string"))).when(f % 17 == 0, F.lit(None)).otherwise(F.concat(F.lit("b"), f.cast("string"))).alias("snapshot_sha"),
         F.timestamp_seconds(F.col("p_size")).alias("pushed_at"), F.col("p_partkey").alias("push_id"))
     store = new_path(spark, "drift")
-    J.stream_drift(pushes, DR._hashed(spark, sf), fixture(spark, sf, "fx_entries_old"), fixture(spark, sf, "fx_entries_new"), store,
+    J.stream_drift(pushes, DR._hashed(own, sf), fixture(own, sf, "fx_entries_old"), fixture(own, sf, "fx_entries_new"), store,
                    new_path(spark, "drift-log")).awaitTermination()
     return J.read_drift(spark, store, sql_input(spark, sf, DR.DOCS_SQL))
 
@@ -53,7 +64,7 @@ def _feedback(events: DataFrame) -> DataFrame:
 
 def streamed_feedback(spark, sf):
     store = new_path(spark, "feedback")
-    J.stream_feedback(_feedback(source(spark, sf, "events")), store, new_path(spark, "feedback-log")).awaitTermination()
+    J.stream_feedback(_feedback(source(stream_session(spark), sf, "events")), store, new_path(spark, "feedback-log")).awaitTermination()
     return J.read_feedback(spark, store)
 
 

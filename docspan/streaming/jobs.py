@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docspan.operators.drift import drift_files, worst_drift
+from docspan.operators.storage import stored
 from docspan.operators.versions import number_versions
 
 VERSIONS = "doc_id bigint, event_id bigint, saved_at timestamp, source string, content string, message string, version_no int, batch bigint"
@@ -41,7 +42,9 @@ def stream_versions(saves: DataFrame, store: str, checkpoint: str, delay: str =
 
     def save(batch_df: DataFrame, batch: int) -> None:
         spark = batch_df.sparkSession
-        fresh = number_versions(batch_df.select("doc_id", "event_id", "saved_at", "source", "content", "message"))
+        # numbering reads its input more than once; the stateful part of the batch must run once
+        unique_saves = stored(batch_df, "saves")
+        fresh = number_versions(unique_saves.select("doc_id", "event_id", "saved_at", "source", "content", "message"))
         if _has_batches(spark, store):
             # only key columns of the log are read
             earlier = _read(spark, store, VERSIONS).filter(F.col("batch") < batch).groupBy("doc_id").agg(F.max("version_no").alias("_last"))
@@ -61,7 +64,7 @@ def stream_drift(pushes: DataFrame, bindings: DataFrame, old_entries: DataFrame,
     def judge(batch_df: DataFrame, batch: int) -> None:
         # the newest push of a binding within the batch counts
         keys = ["doc_id", "path"]
-        newest = batch_df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch_df.columns if c not in keys]), F.struct("pushed_at", "push_id")).alias("r")).select(*keys, "r.*")
+        newest = stored(batch_df, "pushes").groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch_df.columns if c not in keys]), F.struct("pushed_at", "push_id")).alias("r")).select(*keys, "r.*")
         states = drift_files(newest, old_entries, new_entries).select("doc_id", "path", "new_sha", "drift_state", "changed_functions")
         # a push back to the bound SHA makes the file current again
         out = newest.select(*keys, "pushed_at", "push_id", "snapshot_sha").join(states, keys, "left").select(
