@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docspan.llm.quality_rules import bound
 
 #: A text without any of these has no licence sentence; a sentence without any is skipped. Fixed values.
-HINT = r"licen[cs]|copyright|warrant|permission|redistribut|public domain|creative commons|cc by|cc0|spdx|as is|all rights reserved|without modification|liab|endorse"
+HINT = r"licen[cs]|copyright|\bwarrant|\bpermission|redistribut|\bpublic domain|creative commons|\bcc by|\bcc0|spdx|\bas is\b|all rights reserved|without modification|\bliable\b|\bliability|\bendorse"
 #: Ends of sentences: a line's end, or a full stop and the like before blanks. A version's stop has no blank behind it.
 SENTENCE_END = r"[.;!?:][ \t\r]+|[.;!?:]?[\r\n]+"
 #: Identifier and rule of known licence sentences, over normalised sentences, in order of trial; fixed values.
