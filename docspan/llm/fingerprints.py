@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docspan.llm.quality_rules import BLANKS, bound
 
-SAMPLES = 16
+SAMPLES = 32
 #: What the fingerprint of a text without words is.
 EMPTY = "empty"
 _LOW = 0xFFFFFFFF

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docspan.llm.batches import slices, strings
 from docspan.llm.gru import Network, probabilities, train
+from docspan.operators.storage import stored
 
 UNKNOWN = "und"
 WINDOW = 64
@@ -35,7 +36,8 @@ def sample_windows(docs: DataFrame, labels: Column, per_label: int, per_document
     evenly spread windows: rows (label, window). The ranking runs on ids alone and is cut in every task first."""
     marked = docs.select("doc_id", labels.alias("label")).filter("label IS NOT NULL AND doc_id IS NOT NULL")
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_label).select("doc_id", "label")
+    ranked = marked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_label).select("doc_id", "label")
+    chosen = stored(ranked, "language-sample")  # of known small size: the texts need no exchange to meet it
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspan.llm.batches import lists, slices, strings
+from docspan.operators.storage import stored
 
 BITS = 18
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -112,10 +113,8 @@ def features(docs: DataFrame, bits: int = BITS) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCUMENTS, bits: int = BITS) -> np.ndarray | None:
     """Weights learned from ``labels`` (doc_id, label 0 or 1). At most ``limit`` labelled ids are used, the first by a hash;
     a document labelled more than once counts with its lowest label. None where no labelled document exists."""
-    chosen = (
-        labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    )
+    lowest = labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
+    chosen = stored(lowest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit), "quality-sample")  # of known small size: texts are not exchanged
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id")
     labelled = features(texts.select("doc_id", "text"), bits).join(chosen, "doc_id")
     rows = sorted(labelled.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.slots))
