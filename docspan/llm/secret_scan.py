@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,8 +155,6 @@ def covered(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]
 def redact(docs: DataFrame, mask: str = "[SECRET]", how: Novelty = Novelty()) -> DataFrame:
     """The same rows and columns with every span in ``text`` replaced by ``mask`` (overlapping spans by one). A null text stays
     null, and a text without spans stays as it is."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
         meter, out = Meter(how), []
