@@ -35,7 +35,7 @@ def weighted_terms(text: Column) -> Column:
 
 def sample(term: Column, log_weight: Column, number: int) -> Column:
     """One sample's variate and choice as a long whose order is that of the variate: its quantised logarithm in the high half,
-    a hash of the word and its quantised weight in the low half."""
+    a hash of the word and its quantised weight in the low half. Null for a null term."""
     first = F.xxhash64(term, F.lit(number))
     second = F.xxhash64(first)
     unit = lambda bits, size: (bits.cast("double") + 0.5) / float(1 << size)
@@ -49,7 +49,7 @@ def sample(term: Column, log_weight: Column, number: int) -> Column:
     step = F.floor(log_weight / r + u[4])
     log_a = log_c - r * (step - u[4] + 1)
     order = F.least(F.greatest(F.floor((log_a + 400.0) * float(1 << 21)), F.lit(0)), F.lit((1 << 31) - 1))
-    return F.shiftleft(order, 32).bitwiseOR(F.xxhash64(term, step).bitwiseAND(F.lit(_LOW)))
+    return F.when(term.isNotNull(), F.shiftleft(order, 32).bitwiseOR(F.xxhash64(term, step).bitwiseAND(F.lit(_LOW))))
 
 
 def with_samples(df: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:

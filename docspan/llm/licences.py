@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from docspan.llm.quality_rules import bound
 
 #: A text without any of these has no licence sentence; a sentence without any is skipped. Fixed values.
-HINT = r"licen[cs]|copyright|\bwarrant|\bpermission|redistribut|\bpublic domain|creative commons|\bcc by|\bcc0|spdx|\bas is\b|all rights reserved|without modification|\bliable\b|\bliability|\bendorse"
+HINT = (
+    r"licen[cs]|copyright|redistribut|creative commons|spdx|all rights reserved|without modification|later version|in compliance with|public domain|"
+    r"(^|[^a-z])(warrant|permission|cc by|cc0|as is([^a-z]|$)|liable([^a-z]|$)|liability|endorse)"
+)
 #: Ends of sentences: a line's end, or a full stop and the like before blanks. A version's stop has no blank behind it.
-SENTENCE_END = r"[.;!?:][ \t\r]+|[.;!?:]?[\r\n]+"
+SENTENCE_END = r"[.;!?][ \t\r]+|[.;!?]?[\r\n]+"
 #: Identifier and rule of known licence sentences, over normalised sentences, in order of trial; fixed values.
 SENTENCES = (
     ("spdx-mit", r"spdx license identifier mit\b"),
@@ -59,7 +62,7 @@ SENTENCES = (
     ("isc", r"\bisc license\b"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("all-rights", r"all rights reserved"),
-    ("copyright", r"^copyright\b|^\(c\) "),
+    ("copyright", r"^copyright\b"),
 )
 UNKNOWN = "unknown"
 #: Licence and the identifiers that make it up, in order of trial: "a b" in a row, "b?" may be missing. Fixed values.
@@ -107,8 +110,8 @@ def normalised(sentence: Column) -> Column:
     """Lower case; British spelling as American; comment marks, quotes and other signs as blanks, but stops within versions;
     blanks as one space, none at the ends."""
     plain = F.regexp_replace(F.lower(sentence), "licence", "license")
-    plain = F.regexp_replace(plain, r"[^a-z0-9.()]+", " ")
-    plain = F.regexp_replace(plain, r"([a-z)])\.|\.([^0-9]|$)", "$1 $2")
+    plain = F.regexp_replace(plain, "[^a-z0-9.]+", " ")
+    plain = F.regexp_replace(plain, r"([a-z])\.|\.([^0-9]|$)", "$1 $2")
     return F.trim(F.regexp_replace(plain, " +", " "))
 
 
@@ -121,13 +124,17 @@ def identifier(sentence: Column) -> Column:
 
 
 def rule_pattern(parts: tuple[str, ...]) -> str:
-    """Pattern of a licence rule over identifiers that each end with a space."""
-    return "".join(f"(?:{p[:-1]} )?" if p.endswith("?") else f"{p} " for p in parts)
+    """Pattern of a licence rule over identifiers in angle brackets."""
+    return "".join(f"(?:<{p[:-1]}>)?" if p.endswith("?") else f"<{p}>" for p in parts)
+
+
+def any_rule() -> str:
+    """All licence rules in order of trial, as one group."""
+    return "(" + "|".join(rule_pattern(parts) for _, parts in LICENCES) + ")"
 
 
 def found_licences(sequence: Column) -> Column:
-    """Licences of an identifier sequence (each identifier ends with a space), from the left."""
-    anywhere = "|".join(f"(?:(?<=^| ){rule_pattern(parts)})" for _, parts in LICENCES)
+    """Licences of a sequence of identifiers in angle brackets, from the left."""
 
     def name(fit: Column) -> Column:
         out = None
@@ -136,7 +143,7 @@ def found_licences(sequence: Column) -> Column:
             out = F.when(own, licence) if out is None else out.when(own, licence)
         return out
 
-    return F.transform(F.regexp_extract_all(sequence, F.lit(f"({anywhere})"), F.lit(1)), name)
+    return F.transform(F.regexp_extract_all(sequence, F.lit(any_rule()), F.lit(1)), name)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -160,7 +167,8 @@ def scan(docs: DataFrame) -> DataFrame:
     ).select("doc_id", F.coalesce("_s", empty).alias("sentences"))
     ids = F.transform("sentences", lambda x: x["id"])
     rows = rows.select("doc_id", "sentences", F.array_join(ids, " ").alias("sequence"))
-    rows = rows.select("*", found_licences(F.concat("sequence", F.lit(" "))).alias("licences"))
+    bracketed = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
+    rows = rows.select("*", found_licences(bracketed).alias("licences"))
     return rows.select(
         "*", F.array_join(F.array_distinct("licences"), " AND ").alias("licence"),
         F.size(F.filter("sentences", lambda x: x["id"] == UNKNOWN)).cast("long").alias("n_unknown"),
