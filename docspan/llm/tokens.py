@@ -15,8 +15,8 @@ import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Bytes of pieces and ids a worker remembers before it starts anew.
-REMEMBERED_BYTES = 48 << 20
+#: Bytes of pieces and ids in a generation; a worker remembers two. What is met again moves to the younger one.
+REMEMBERED_BYTES = 80 << 20
 _LOADED: dict[tuple[str, str], object] = {}
 
 
@@ -56,6 +56,7 @@ class _Remembered:
 
         self.tokenizer = Tokenizer.from_str(text)
         self.table: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
         self.held = 0
 
     def encoded(self, texts: list[str]) -> list[bytes]:
@@ -66,9 +67,10 @@ class _Remembered:
         if not new:
             return
         if self.held > REMEMBERED_BYTES:
-            self.table.clear()
-            self.held, new = 0, pieces
-        for piece, ids in self.known(list(new)):
+            self.before, self.table, self.held, new = self.table, {}, 0, pieces
+        again = [(p, self.before[p]) for p in new if p in self.before]
+        missing = [p for p in new if p not in self.before] if self.before else list(new)
+        for piece, ids in [*again, *self.known(missing)]:
             self.table[piece] = ids
             self.held += 160 + len(piece) + len(ids or b"")
 
