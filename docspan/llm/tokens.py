@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 #: Bytes of pieces and ids in a generation; a worker remembers two. What is met again moves to the younger one.
-REMEMBERED_BYTES = 80 << 20
+REMEMBERED_BYTES = 112 << 20
 _LOADED: dict[tuple[str, str], object] = {}
 
 
