@@ -80,17 +80,21 @@ def note_blocks(content: Column) -> Column:
 
 
 def required_literal(pattern: str) -> str:
-    """The longest run of plain characters that every match of a pattern must contain ('' if none is evident)."""
+    """The longest run of plain characters that every match of a pattern must contain ('' if none is evident). Written for the
+    fixed rules, whose patterns have no alternatives, nested groups or counted repetitions."""
     outside = re.sub(r"\[[^\]]*\](\{[^}]*\}|[*+?])?|\([^)]*\)[*+?]?", "\n", pattern.replace(r"\(", "\x01").replace(r"\)", "\x02"))
     outside = re.sub(r".[?*]", "\n", re.sub(r"\\[bs][*+?]?", "\n", outside))
     runs = re.sub(r"[+^$|]", "\n", outside.replace("\\", "")).split("\n")
     return max(runs, key=len).replace("\x01", "(").replace("\x02", ")")
 
 
+LITERALS = {pattern: required_literal(pattern) for rule in RULES for pattern, _ in rule.patterns}
+
+
 def pattern_hit(line: Column, lower: Column, pattern: str, ignore_case: bool) -> Column:
     """Pattern test behind a plain substring test, which most lines fail at a fraction of the cost."""
     hit = line.rlike(("(?i)" if ignore_case else "") + ascii_edges(pattern))
-    literal = required_literal(pattern)
+    literal = LITERALS.get(pattern)  # rules of a user's own have no such test
     if not literal:
         return hit
     return F.contains(lower if ignore_case else line, F.lit(literal.lower() if ignore_case else literal)) & hit

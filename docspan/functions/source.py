@@ -145,8 +145,17 @@ def json_string(literal: Column) -> Column:
 
 
 def balanced(masked: Column) -> Column:
-    """Every bracket kind opens as often as it closes."""
-    def count(ch: str) -> Column:
-        return F.length(masked) - F.length(F.replace(masked, F.lit(ch), F.lit("")))
-
-    return (count("(") == count(")")) & (count("[") == count("]")) & (count("{") == count("}"))
+    """Every bracket kind closes as often as it opens, and never before."""
+    def pairs(opening: str, closing: str) -> Column:
+        marks = F.regexp_replace(masked, rf"[^\{opening}\{closing}]+", "")
+        depths = F.aggregate(
+            F.split(marks, ""), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least")),
+            lambda s, c: F.struct(
+                (s["depth"] + F.when(c == opening, 1).when(c == closing, -1).otherwise(0)).alias("depth"),
+                F.least(s["least"], s["depth"] - (c == closing).cast("int")).alias("least"),
+            ),
+            lambda s: (s["depth"] == 0) & (s["least"] == 0),
+        )
+        return (marks == "") | depths
+
+    return pairs("(", ")") & pairs("[", "]") & pairs("{", "}")

@@ -19,7 +19,7 @@ def effective_roles(projects: DataFrame, members: DataFrame) -> DataFrame:
     """One role per (project, user): the project's owner is owner, others have the role they were given."""
     claims = projects.select("project_id", F.col("owner_id").alias("user_id"), F.lit("owner").alias("role"), F.lit(0).alias("rank")).unionByName(
         members.select("project_id", "user_id", "role", F.lit(1).alias("rank")))
-    return claims.filter(F.col("user_id").isNotNull()).groupBy("project_id", "user_id").agg(F.min_by("role", "rank").alias("role"))
+    return claims.filter(F.col("user_id").isNotNull()).groupBy("project_id", "user_id").agg(F.min_by("role", F.struct("rank", "role")).alias("role"))
 
 
 def accessible_projects(projects: DataFrame, roles: DataFrame, user_id) -> DataFrame:

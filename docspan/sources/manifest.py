@@ -25,8 +25,12 @@ def flatten(manifests: DataFrame, column: str = "json") -> DataFrame:
                           F.explode_outer("e.sources").alias("s")).select("*", "s.*").drop("s")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return flatten(spark.read.text(path, wholetext=True).select(F.col("value").alias("json")))
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entries of every file under ``path``: one JSON array a file, or with ``lines`` what ``write_manifest`` writes."""
+    json = F.col("value")
+    if lines:
+        json = F.concat(F.lit("["), F.regexp_replace(F.regexp_replace(json, r"\s+\z", ""), r"\r?\n", ","), F.lit("]"))
+    return flatten(spark.read.text(path, wholetext=True).select(json.alias("json")))
 
 
 def manifest_entries(docs: DataFrame, users: DataFrame) -> DataFrame:

@@ -67,3 +67,23 @@ def test_literals_really_are_required():
             for s in samples:
                 if re.search(pattern, s, re.I if ignore else 0):
                     assert literal.lower() in s.lower()
+
+
+def test_patterns_of_a_users_own_rules_lose_no_match(spark):
+    from pyspark.sql import functions as F
+
+    from docspan.functions.notes import pattern_hit
+
+    cases = [("todo|fixme", "a todo here"), (r"\bv\d+\b", "see v12 now"), ("ab{0,1}c", "xacx"), ("(a(b)c)d", "abcd")]
+    for pattern, line in cases:
+        col = F.lit(line)
+        assert spark.range(1).select(pattern_hit(col, F.lower(col), pattern, True)).first()[0], pattern
+
+
+def test_brackets_close_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from docspan.functions.source import balanced
+
+    for text, good in (("", True), ("f(a[0]) { g() }", True), ("x ) (", False), ("((", False), ("}{", False), ("plain", True)):
+        assert spark.range(1).select(balanced(F.lit(text))).first()[0] is good, text

@@ -74,3 +74,15 @@ def test_validation_keeps_the_first_message_per_field(spark):
     assert [[(e.field, e.message) for e in r.errors] for r in bad.orderBy("project_name").collect()] == [
         [("project_name", "Project name is required"), ("description", "String must contain at most 1000 character(s)")],
         [("project_name", "String must contain at most 140 character(s)")]]
+
+
+def test_written_manifest_is_read_again(spark, tmp_path):
+    from docspan.sources.manifest import read_manifest, write_manifest
+
+    source = "named_struct('repo', 'r', 'path', 'src/a.ts', 'commit_sha', 's', 'signature_hash', 'h')"
+    entries = spark.sql(
+        f"SELECT 'docs/' || id || '.md' AS doc_path, array({source}) AS sources, 'line\\nend' AS author_login, 'g' AS generator, 1 AS version, 0 AS part, id AS entry_no FROM range(3)"
+    )
+    write_manifest(entries, f"{tmp_path}/m")
+    rows = read_manifest(spark, f"{tmp_path}/m", lines=True).select("doc_path", "path", "author_login").collect()
+    assert sorted(map(tuple, rows)) == [(f"docs/{i}.md", "src/a.ts", "line\nend") for i in range(3)]
