@@ -6,7 +6,8 @@ form a bucket, from which a loader draws batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from docspan.llm.tokens import Vocabulary, WordTokens
 
 LONGEST = 2048
 END = 1
-SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids array<int>"
+SCHEMA = "doc_id long, start long, length long, doc_tokens long"
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -27,9 +28,17 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * whole + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, path: str, longest: int = LONGEST, end: int = END) -> DataFrame:
+def checksums(values: np.ndarray, lengths: Iterable[int]) -> pa.Array:
+    """CRC-32 of consecutive runs of ids, each as little-endian unsigned 32-bit integers."""
+    ends = np.cumsum(np.asarray(lengths, dtype=np.int64))
+    raw = memoryview(np.ascontiguousarray(values, dtype="<u4")).cast("B")
+    return pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.int64())
+
+
+def pack(docs: DataFrame, path: str, longest: int = LONGEST, end: int = END, digest: bool = False) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): doc_id, start, length, doc_tokens, ids, bucket (log2 of the length),
-    sequence_id, offset (always 0: a piece is a whole sequence).
+    sequence_id, offset (always 0: a piece is a whole sequence). With ``digest``, ids_crc32 stands in place of ids: the ids
+    of a piece are summed up where they are cut and never leave the worker.
 
     A null text counts as empty: its one id is the end id. Repeated rows and equal ids are packed once per row. A
     sequence_id is unique; it numbers the rows of each task, so a repeated task may give other numbers but no number twice.
@@ -48,16 +57,18 @@ def pack(docs: DataFrame, path: str, longest: int = LONGEST, end: int = END) ->
             lengths = np.asarray([n for p in pieces for n in p], dtype=np.int64)
             starts = np.concatenate([np.cumsum([0, *p[:-1]]) for p in pieces])
             rows = np.repeat(np.arange(len(ids)), counts)
+            every = np.concatenate(ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(rows)), pa.array(starts, pa.int64()), pa.array(lengths),
                     pa.array(np.asarray([len(x) for x in ids], dtype=np.int64)[rows]),
-                    lists(np.concatenate(ids).astype(np.int32), lengths, pa.int32()),
+                    checksums(every, lengths) if digest else lists(every.astype(np.int32), lengths, pa.int32()),
                 ],
-                ["doc_id", "start", "length", "doc_tokens", "ids"],
+                ["doc_id", "start", "length", "doc_tokens", content],
             )
 
-    cuts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, SCHEMA)
+    content, kind = ("ids_crc32", "long") if digest else ("ids", "array<int>")
+    cuts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, f"{SCHEMA}, {content} {kind}")
     return cuts.select(
         "*", F.log2("length").cast("int").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
@@ -67,20 +78,3 @@ def pack(docs: DataFrame, path: str, longest: int = LONGEST, end: int = END) ->
 def write_buckets(packed: DataFrame, path: str) -> None:
     """Sequences in one folder per length (at most twelve for the usual longest length), ready for a loader."""
     packed.write.partitionBy("bucket").parquet(path)
-
-
-def with_checksums(df: DataFrame, ids: str = "ids") -> DataFrame:
-    """``ids_crc32``: CRC-32 of the ids as little-endian unsigned 32-bit integers, in place of ``ids``."""
-    import zlib
-
-    kept = [f for f in df.schema.fields if f.name != ids]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", ids_crc32 long"
-
-    def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(ids)
-            values, offsets = np.asarray(column.values).astype("<u4"), np.asarray(column.offsets)
-            crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(crc, pa.int64())], [*(f.name for f in kept), "ids_crc32"])
-
-    return df.mapInArrow(checksums, schema)

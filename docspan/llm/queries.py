@@ -18,8 +18,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER))
-    return packing.with_checksums(packed).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+    packed = packing.pack(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER), digest=True)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_store.write_tokens(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER), path)
-    return packing.with_checksums(token_store.read_tokens(spark, path))
+    return token_store.read_tokens(spark, path, digest=True)
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

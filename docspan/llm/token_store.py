@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspan.llm.batches import lists, slices, strings
+from docspan.llm.packing import checksums
 from docspan.llm.tokens import Vocabulary, WordTokens
 
 MAGIC = b"DAC1"
@@ -149,8 +150,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end: int = END
     ordered.mapInArrow(segments, SCHEMA).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document from the files: doc_id, start (ids of all documents before), n_tokens, ids.
+def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """One row per document from the files: doc_id, start (ids of all documents before), n_tokens, ids; with ``digest``,
+    ids_crc32 (CRC-32 of the ids, taken where they are read) in place of ids.
 
     The starts of the parts are running sums over one row per part, of which there are as many as shuffle partitions."""
     files = spark.read.schema(SCHEMA).parquet(path)
@@ -165,18 +167,19 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 codes, ends = Codes(data), [*starts[1:], n]
                 for at in range(0, len(doc_ids), 256):
                     own = [codes.read(a, b) for a, b in zip(starts[at:at + 256], ends[at:at + 256])]
-                    sizes = [len(x) for x in own]
+                    sizes, every = [len(x) for x in own], np.concatenate(own)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([part] * len(own), pa.int32()), pa.array(doc_ids[at:at + 256], pa.int64()),
                             pa.array([base + s for s in starts[at:at + 256]], pa.int64()), pa.array(sizes, pa.int64()),
-                            lists(np.concatenate(own).astype(np.int32), sizes, pa.int32()),
+                            checksums(every, sizes) if digest else lists(every.astype(np.int32), sizes, pa.int32()),
                         ],
-                        ["part", "doc_id", "at", "n_tokens", "ids"],
+                        ["part", "doc_id", "at", "n_tokens", content],
                     )
 
-    read = files.drop("segment").mapInArrow(documents, "part int, doc_id long, at long, n_tokens long, ids array<int>")
-    return read.join(bases, F.col("part") == F.col("of_part")).select("doc_id", (F.col("at") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    content, kind = ("ids_crc32", "long") if digest else ("ids", "array<int>")
+    read = files.drop("segment").mapInArrow(documents, f"part int, doc_id long, at long, n_tokens long, {content} {kind}")
+    return read.join(bases, F.col("part") == F.col("of_part")).select("doc_id", (F.col("at") + F.col("part_start")).alias("start"), "n_tokens", content)
 
 
 def token_at(files: DataFrame, doc_id: int, position: int) -> int | None:
