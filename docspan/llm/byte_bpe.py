@@ -40,7 +40,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = False
         tokens = vocabulary.load(ByteTokens)
         for batch in slices(batches, "text"):
             texts = strings(batch, "text")
-            ids = [np.frombuffer(tokens.ids(t), dtype="<u4").astype(np.int32) for t in texts]
+            ids = [np.frombuffer(own, dtype="<u4").astype(np.int32) for own in tokens.many(texts)]
             sizes = [len(x) for x in ids]
             columns = {"doc_id": batch.column("doc_id"), "ids": lists(np.concatenate(ids), sizes, pa.int32())}
             if offsets:

@@ -51,7 +51,7 @@ def pack(docs: DataFrame, path: str, longest: int = LONGEST, end: int = END, dig
         tokens = vocabulary.load(WordTokens)
         last = np.asarray([end], dtype="<u4").tobytes()
         for batch in slices(batches, "text"):
-            ids = [np.frombuffer(tokens.ids(t) + last, dtype="<u4") for t in strings(batch, "text")]
+            ids = [np.frombuffer(own + last, dtype="<u4") for own in tokens.many(strings(batch, "text"))]
             pieces = [piece_lengths(len(x), longest) for x in ids]
             counts = [len(p) for p in pieces]
             lengths = np.asarray([n for p in pieces for n in p], dtype=np.int64)

@@ -133,8 +133,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end: int = END
             )
 
         for batch in slices(batches, "text"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch, "text")):
-                own = tokens.ids(text) + last
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), tokens.many(strings(batch, "text"))):
+                own += last
                 held.append(doc_id)
                 starts.append(size)
                 ids.append(own)

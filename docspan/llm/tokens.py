@@ -1,7 +1,8 @@
 """Public tokenizers inside tasks: the vocabulary is read once on the driver and sent as a text of fixed size.
 
 Invented or natural prose repeats its words, so ids are looked up by the piece between two spaces, and only new pieces
-go through the tokenizers library. Cutting at these spaces never changes an id: see ``WordTokens`` and ``ByteTokens``.
+go through the tokenizers library, many in one text with a mark behind each. Cutting at these spaces never changes an id:
+see ``WordTokens`` and ``ByteTokens``.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +19,10 @@ from pyspark.sql import SparkSession
 
 #: Bytes of pieces and ids in a generation; a worker remembers two. What is met again moves to the younger one.
 REMEMBERED_BYTES = 112 << 20
+#: Stands, after a space, behind each of the pieces that are encoded together; a piece that holds it is encoded alone.
+MARK = "|"
+#: Pieces that are encoded together.
+TOGETHER = 64
 _LOADED: dict[tuple[str, str], object] = {}
 
 
@@ -58,6 +64,8 @@ class _Remembered:
         self.table: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
         self.held = 0
+        mark = self.tokenizer.encode(" " + MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,24 +76,41 @@ class _Remembered:
             return
         if self.held > REMEMBERED_BYTES:
             self.before, self.table, self.held, new = self.table, {}, 0, pieces
-        again = [(p, self.before[p]) for p in new if p in self.before]
-        missing = [p for p in new if p not in self.before] if self.before else list(new)
-        for piece, ids in [*again, *self.known(missing)]:
-            self.table[piece] = ids
-            self.held += 160 + len(piece) + len(ids or b"")
+        again = {p: self.before[p] for p in new if p in self.before}
+        found = again | dict(self.known([p for p in new if p not in again]))
+        self.table.update(found)
+        self.held += 160 * len(found) + sum(map(len, found)) + sum(map(len, filter(None, found.values())))
 
-    def known(self, pieces: list[str]):
-        return zip(pieces, self.encoded(pieces))
+    def ids(self, text: str) -> bytes:
+        return self.many([text])[0]
+
+    def apart(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each piece with the ids it has behind a space. The mark's id spells the mark, so no piece without it has that id."""
+        plain = [p for p in pieces if MARK not in p] if self.mark is not None else []
+        runs = [plain[at:at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+        texts = ["".join(f" {p} {MARK}" for p in run) for run in runs]
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.asarray(found.ids, dtype="<u4")
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(run, np.flatnonzero(ids == self.mark).tolist(), strict=True):
+                yield piece, raw[4 * start:4 * end]
+                start = end + 1
+        alone = [p for p in pieces if MARK in p] if self.mark is not None else pieces
+        yield from zip(alone, self.encoded([" " + p for p in alone]))
+
+    def known(self, pieces: list[str]) -> Iterator[tuple[str, bytes | None]]:
+        return self.apart(pieces)
 
 
 class WordTokens(_Remembered):
     """A tokenizer that drops white space and whose matches hold none: every space and line feed is a safe cut. Neither
     composes with its neighbours under NFC, and both end a word for lower-casing."""
 
-    def ids(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        self.learn(set(pieces))
-        return b"".join([self.table[p] for p in pieces])
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts; new pieces of all of them are encoded together."""
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        self.learn(set().union(*cut))
+        return [b"".join(map(self.table.__getitem__, pieces)) for pieces in cut]
 
 
 class ByteTokens(_Remembered):
@@ -96,19 +121,21 @@ class ByteTokens(_Remembered):
         super().__init__(text)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
 
-    def known(self, pieces: list[str]):
+    def known(self, pieces: list[str]) -> Iterator[tuple[str, bytes | None]]:
         safe = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        yield from zip(safe, self.encoded([" " + p for p in safe]))
+        yield from self.apart(safe)
         for p in set(pieces).difference(safe):
             yield p, None
 
-    def ids(self, text: str) -> bytes:
-        pieces = text.split(" ")
-        self.learn(set(pieces))
-        found = [self.table[p] for p in pieces[1:]]
-        if None in found or self.table[pieces[0]] is None:
-            return b"".join(self.encoded(self._segments(pieces)))
-        return b"".join(self.encoded(pieces[:1]) + found)
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts; new pieces of all of them are encoded together. No space precedes a text's first piece."""
+        cut = [text.split(" ") for text in texts]
+        self.learn(set().union(*cut))
+        out = []
+        for pieces, first in zip(cut, self.encoded([pieces[0] for pieces in cut])):
+            found = [*map(self.table.__getitem__, pieces)]
+            out.append(b"".join(self.encoded(self._segments(pieces)) if None in found else [first, *found[1:]]))
+        return out
 
     @staticmethod
     def _segments(pieces: list[str]) -> list[str]:
