@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspan.functions import source as S
 from docspan.operators.code import SIGNATURE_FACTS, code_facts, with_signatures
 from docspan.operators.signatures import change_label, compare_names, diff_signatures, signature_hash
 
@@ -61,8 +62,8 @@ def drift_files(bindings: DataFrame, old_entries: DataFrame, new_entries: DataFr
 
 def content_drift(bindings: DataFrame, contents: DataFrame, blobs: DataFrame) -> DataFrame:
     """Drift from texts: ``contents`` has the current and ``blobs`` the bound text of each file (file_id,
-    file_name, content; NULL or absent if unavailable). Only files whose SHA moved are read for signatures,
-    and each text is read once: its hash travels with its entries."""
+    file_name, content; NULL or absent if unavailable). A text whose brackets do not pair up counts as unavailable.
+    Only files whose SHA moved are read for signatures, and each text is read once: its hash travels with its entries."""
     changed = bindings.withColumn("current_sha", F.coalesce("snapshot_sha", "commit_sha")).filter("current_sha <> commit_sha")
 
     def side(files: DataFrame, n: int) -> DataFrame:
@@ -70,7 +71,8 @@ def content_drift(bindings: DataFrame, contents: DataFrame, blobs: DataFrame) ->
             F.struct("file_id", F.lit(n).alias("side")).alias("file_id"), "file_name", "content", F.col("file_id").alias("_id"))
 
     texts = side(blobs, 0).unionByName(side(contents, 1)).join(changed.select(F.col("file_id").alias("_id")).distinct(), "_id", "left_semi")
-    entries = with_signatures(code_facts(texts, SIGNATURE_FACTS)).select(
+    readable = texts.filter(S.balanced(S.masked_code(S.tokens(F.col("content")))))
+    entries = with_signatures(code_facts(readable, SIGNATURE_FACTS)).select(
         "file_id.file_id", "file_id.side", F.when(F.col("file_id.side") == 1, F.col("signature_hash")).alias("new_hash"), F.posexplode_outer("entries").alias("pos", "e")
     ).select("file_id", "side", "new_hash", "pos", "e.name", "e.sig")
     per_name = compare_names(entries, F.max("new_hash").alias("new_hash"), F.max(F.col("side") == 0).alias("old_ok"), F.max(F.col("side") == 1).alias("content_ok"))

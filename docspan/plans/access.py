@@ -38,10 +38,10 @@ FROM lineitem JOIN supplier ON s_suppkey = l_suppkey"""
 CHANGES_SQL = """
 SELECT o_custkey % 25 AS project_id, o_custkey AS user_id, concat('new', cast(o_custkey AS string)) AS login,
   CASE WHEN o_orderkey % 3 = 0 THEN 'add' ELSE 'remove' END AS action, year(o_orderdate) AS yr, o_orderkey AS seq
-FROM orders WHERE o_orderstatus <> 'P'"""
+FROM orders"""
 GONE_SQL = "SELECT n_nationkey AS project_id FROM nation WHERE n_regionkey < 3"
 VERSIONS_SQL = "SELECT o_custkey AS doc_id FROM orders"
-NOTES_SQL = "SELECT doc_id % 25 AS project_id FROM documents WHERE lang = 'en'"
+NOTES_SQL = "SELECT doc_id % 25 AS project_id FROM documents"
 FILES_SQL = "SELECT p_partkey % 25 AS project_id FROM part"
 LEAVERS_SQL = "SELECT c_custkey AS user_id FROM customer WHERE c_mktsegment = 'BUILDING'"
 STAGED_SQL = "SELECT p_type AS file_key, p_partkey AS seq, p_name AS name, p_size AS size FROM part"

@@ -18,7 +18,7 @@ SELECT doc_id, title, CASE WHEN doc_id % 3 = 0 THEN concat('org/repo', cast(doc_
 NOTES_SQL = "SELECT note_id AS doc_id, content FROM fx_notes"
 FILES_SQL = """
 SELECT file_id % 97 AS doc_id, 2 * file_id AS file_no, file_id, file_name, content FROM fx_modules
-UNION ALL SELECT file_id % 97, 2 * file_id + 1, file_id, file_name, content FROM fx_source_files WHERE file_id % 97 < 50"""
+UNION ALL SELECT file_id % 97, 2 * file_id + 1, file_id, file_name, content FROM fx_source_files"""
 HEADS_SQL = "SELECT doc_id, concat('# Head ', cast(doc_id AS string), chr(10), chr(10), chr(10), 'Overview ') AS head FROM documents WHERE doc_id % 2 = 0"
 UNIT_TEXTS_SQL = "SELECT doc_id, content AS unit_text FROM fx_markdown WHERE doc_id % 3 <> 0"
 VARIANTS_SQL = "SELECT doc_id, text AS rule_text, CASE WHEN doc_id % 2 = 0 THEN concat('generated ', cast(doc_id AS string)) ELSE NULL END AS generated_text FROM documents"
@@ -130,7 +130,7 @@ files AS (
   SELECT p_partkey % 97, 2 * p_partkey + 1, concat({_braces(_lit(_PLAIN_HEAD, **_COLS))}, CASE WHEN p_partkey % 5 = 3 THEN concat('**Hooks:** useState', chr(10), chr(10)) ELSE '' END,
     '**Functions**', chr(10), chr(10), {_lit(_FN, **_COLS)}, CASE p_partkey % 5 WHEN 1 THEN {_lit(_GET)} WHEN 3 THEN {_lit(_USE)} ELSE '' END) AS text
   FROM (SELECT *, CASE p_partkey % 5 WHEN 0 THEN 'Next.js Page' WHEN 1 THEN 'Next.js Route Handler' WHEN 3 THEN 'React Hook' ELSE 'Utility Module' END AS role FROM part) p
-  JOIN fx_source_files f ON f.file_id = p_partkey WHERE p_partkey % 97 < 50)"""
+  JOIN fx_source_files f ON f.file_id = p_partkey)"""
 _TITLES = " ".join(f"WHEN '{r.rule_id}' THEN '{r.title}'" for r in NT.RULES)
 _NOTE_SECTIONS = f"""
 note_sections AS (
@@ -155,11 +155,11 @@ UNION ALL SELECT DISTINCT p_partkey % 97, 1099511627776, chr(10) FROM part WHERE
 
 ORACLES = {
     "composed_documents": NT.CLASSIFIED_SQL + f""", {_NOTE_SECTIONS}, {_FILES},
-env AS (SELECT DISTINCT p_partkey % 97 AS doc_id, concat('KEY_', p_size) AS v FROM part WHERE p_partkey % 97 < 50),
+env AS (SELECT DISTINCT p_partkey % 97 AS doc_id, concat('KEY_', p_size) AS v FROM part),
 totals AS (
   SELECT doc_id, count(*) AS files, sum(fns) AS fns, sum(cls) AS cls, sum(ifs) AS ifs FROM (
     SELECT p_partkey % 97 AS doc_id, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 2 THEN 1 ELSE 0 END AS fns, CASE WHEN p_partkey % 4 = 1 THEN 1 ELSE 0 END AS cls, CASE WHEN p_partkey % 4 = 1 THEN 2 ELSE 0 END AS ifs FROM part WHERE p_partkey % 4 < 3
-    UNION ALL SELECT p_partkey % 97, CASE WHEN p_partkey % 5 IN (1, 3) THEN 2 ELSE 1 END, 0, 0 FROM part WHERE p_partkey % 97 < 50) GROUP BY doc_id),
+    UNION ALL SELECT p_partkey % 97, CASE WHEN p_partkey % 5 IN (1, 3) THEN 2 ELSE 1 END, 0, 0 FROM part) GROUP BY doc_id),
 sections AS (
   SELECT doc_id, 0 AS part, 0 AS ord1, '' AS ord2, concat('# ', regexp_replace(title, '^\\n+|\\n+$', '', 'g'), chr(10), chr(10), '> Generated by docspan · {AT_TEXT}', chr(10), chr(10)) AS text FROM ({DOCS_SQL})
   UNION ALL SELECT doc_id, 1, ord1, '', text FROM note_sections

@@ -28,7 +28,7 @@ SELECT c_custkey AS user_id, c_custkey AS doc_id, c_name AS title, CASE WHEN c_c
 AUTHORS_SQL = "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS github_login, CASE WHEN c_custkey % 2 = 0 THEN 'm@example.com' ELSE NULL END AS email, 'Full Name' AS full_name FROM customer"
 EXPORT_DOCS_SQL = "SELECT doc_id, title, doc_id % 9 AS current_version FROM fx_documents"
 COMMITS_SQL = "SELECT o_custkey AS doc_id, o_orderkey AS version_no, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat('commit', cast(o_orderkey AS string), 'abcdef') END AS commit_hash FROM orders"
-PAGES_SQL = "SELECT page_id, concat('**', substr(url, 1, 30), '** and `code` <sub>x</sub> *it* ', html) AS line FROM pages"
+PAGES_SQL = "SELECT page_id, concat('**', url, '** and `code` <sub>x</sub> *it* ', html) AS line FROM pages"
 
 
 def source_file_types(spark, sf):

@@ -99,7 +99,7 @@ SELECT o_custkey AS doc_id, cast(min(o_orderkey) % 4 AS int) AS from_version, ca
 FROM orders GROUP BY o_custkey"""
 ROLLBACKS_SQL = """
 SELECT o_custkey AS doc_id, cast(o_orderkey % 12 + 1 AS int) AS version_no, o_orderkey AS event_id, o_orderdate AS at
-FROM orders WHERE o_orderpriority LIKE '1%'"""
+FROM orders"""
 COMMITS_SQL = """
 SELECT o_custkey AS doc_id, cast(count(*) AS int) AS version_no, concat('s', cast(o_custkey AS string)) AS sha,
   concat('https://repo.example/c/', cast(o_custkey AS string)) AS url FROM orders GROUP BY o_custkey"""
@@ -111,7 +111,7 @@ SELECT o_custkey AS doc_id, o_orderkey AS seq, year(o_orderdate) AS yr,
 USERS_SQL = "SELECT c_custkey AS user_id FROM customer"
 OWNED_SQL = """
 SELECT o_orderkey AS project_id, concat('Project ', cast(o_orderkey AS string)) AS project_name, o_custkey AS owner_id, o_orderdate AS created_at
-FROM orders WHERE o_orderstatus = 'F'"""
+FROM orders"""
 
 _D = "sha256(concat(length(version_no::varchar), ':', version_no, length(content), ':', content, length(message), ':', message))"
 _CHAIN = f"""

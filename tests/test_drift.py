@@ -42,3 +42,13 @@ def test_hash_ignores_order_and_empty_files_hash_the_empty_string(spark):
     files = spark.createDataFrame([(1,), (2,), (3,)], "file_id int")
     got = {r.file_id: r.signature_hash for r in S.signature_hash(e, files).collect()}
     assert got[1] == got[2] == hashlib.sha256(b"sa|sb").hexdigest() and got[3] == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_text_that_cannot_be_read_counts_as_unavailable(spark):
+    ddl = "doc_id int, file_id int, path string, commit_sha string, snapshot_sha string, signature_hash string, content_requested boolean"
+    bindings = spark.createDataFrame([(1, k, f"f{k}.ts", "a", "b", "h" if k < 3 else None, True) for k in (1, 2, 3)], ddl)
+    good, broken = "export function f(a: string) { return a }", "export function f(a: string {"
+    text = lambda rows: spark.createDataFrame([(k, f"f{k}.ts", t) for k, t in rows], "file_id int, file_name string, content string")
+    found = D.content_drift(bindings, text([(1, broken), (2, good), (3, good)]), text([(1, good), (2, ") ("), (3, broken)]))
+    assert {r.path: (r.drift_state, r.changed_functions) for r in found.collect()} == {
+        "f1.ts": (SIG, [D.CONTENT_UNAVAILABLE]), "f2.ts": (SIG, [D.DETAILS_UNAVAILABLE]), "f3.ts": (IMPL, [])}
