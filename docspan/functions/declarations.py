@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docspan.functions.source import (ANGLE, CURLY, CUT, EDGE, MARK, NAME, ROUND, STRING, bind, extract_all, having, json_string,
-                                      leading_comment, missing, newlines, piece, pieces, trim)
+from docspan.functions.source import (ANGLE, CLOSED, CURLY, CUT, EDGE, HEAD_END, MARK, NAME, OPEN, OPENED, ROUND, SHUT, STRING, bind, block,
+                                      extract_all, having, inside, json_string, leading_comment, leveled, leveled_piece, missing, newlines,
+                                      pieces, plain, shallow, trim)
 from docspan.functions.types import type_name
 
 RETURNS = rf"(?:\s*:\s*((?:[^{{}}<>=;\n]|{ANGLE}|{CURLY})+?))?"
@@ -24,6 +25,10 @@ HEAD = (
 HEAD_NAME = rf"\A(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+|(?:module\.)?exports\.|(?:async\s+)?function\s*\*?\s*)?({NAME})"
 PARAM_TAIL = rf"({ROUND}){RETURNS}\s*(?:\{{|=>)\z"
 
+# A function inside another one, in leveled text: an arrow, or a name (or "function") with parameters, and a block.
+NESTED = (rf"(?:=>[\s{HEAD_END}]*|{EDGE}(?!(?:if|for|while|switch|catch|with|await)\b){NAME}\s*\*?\s*{GENERIC}{ROUND}"
+          rf"(?:\s*:[^{OPEN};=\n]+)?[\s{HEAD_END}]*){block(1)}")
+
 EMPTY_PROPERTIES = "array<struct<name:string,type:string,optional:boolean>>"
 
 
@@ -97,9 +102,14 @@ def throws(body: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, label)))
 
 
+def own_throws(text: Column) -> Column:
+    """Labels of the throw statements of a leveled function text, without those of functions inside it."""
+    return throws(_unmarked(plain(F.regexp_replace(text, NESTED, " "))))
+
+
 def spans(marked: Column) -> Column:
-    """The marked text cut before every function head: the text before the first, then one span per head."""
-    return F.split(F.regexp_replace(marked, rf"({HEAD})", rf"{CUT}$1"), CUT, -1)
+    """The marked text, leveled and cut before every function head: the text before the first, then one span per head."""
+    return F.split(leveled(F.regexp_replace(marked, rf"({HEAD})", rf"{CUT}$1{HEAD_END}")), CUT, -1)
 
 
 def span_lines(parts: Column) -> Column:
@@ -110,43 +120,67 @@ def span_lines(parts: Column) -> Column:
 
 
 def _of_span(x: Column, toks: Column) -> Column:
-    head, span = x["head"], x["span"]
+    head, after = plain(x["head"]), x["after"]
+    opened = F.regexp_extract(x["head"], rf"{OPEN}\d+{OPENED}\z", 0)
+    # from the brace of the body on, where there is one; the body ends at the next closing brace of its height
+    start = F.concat(opened, after)
+    height = F.regexp_extract(start, rf"\A\s*{OPEN}(\d+){OPENED}", 1)
+    end = F.concat(F.lit(SHUT), height, F.lit(CLOSED))
+    text = (F.when(height != "", F.concat(F.call_function("substring_index", start, end, F.lit(1)), end))
+            .when(head.endswith("{"), after)
+            .otherwise(F.coalesce(missing(F.regexp_extract(after, rf"\A{leveled_piece(';')}", 0)), after)))
+    return bind(F.struct(head.alias("head"), text.alias("text")), lambda y: _function(x, y["head"], y["text"], toks))
+
+
+def _function(x: Column, head: Column, text: Column, toks: Column) -> Column:
     tail = F.regexp_extract(head, PARAM_TAIL, 1)
-    inside = F.when(tail != "", F.regexp_replace(tail, r"\A\(|\)\z", "")).otherwise(F.regexp_extract(head, rf"({NAME})\s*=>\z", 1))
-    rest = F.substr(span, F.length(head) + 1)
-    block = F.when(head.endswith("{"), F.regexp_extract(F.concat(F.lit("{"), rest), rf"\A{CURLY}", 0)).when(
-        rest.rlike(r"\A\s*\{"), F.regexp_extract(rest, rf"\A\s*{CURLY}", 0)).otherwise(F.regexp_extract(rest, rf"\A{piece(';')}", 0))
-    # a block cut short by a declaration inside it has no end here: it runs to that declaration
-    text = F.coalesce(missing(block), rest)
-    body = F.regexp_replace(text, f"{MARK}[0-9]+{MARK}", "")
+    between = F.when(tail != "", F.regexp_replace(tail, r"\A\(|\)\z", "")).otherwise(F.regexp_extract(head, rf"({NAME})\s*=>\z", 1))
     return F.struct(
         F.regexp_extract(head, HEAD_NAME, 1).alias("name"),
         F.when(head.endswith("=>"), "arrow").otherwise("function").alias("kind"),
         head.rlike(r"(?:\A|[\s=(:,])async[\s(]").alias("is_async"),
         (head.startswith("export") | head.startswith("module.") | x["in_object"]).alias("exported"),
-        x["line"].alias("line"), params(inside).alias("params"),
+        x["line"].alias("line"), params(between).alias("params"),
         type_name(F.regexp_extract(head, PARAM_TAIL, 2)).alias("return_type"),
-        throws(body).alias("throws"),
+        own_throws(text).alias("throws"),
         # a comment above "export default" belongs to the export, not to what is exported
-        F.when(~head.rlike(r"\Aexport\s+default\b"), leading_comment(x["before"], toks)).alias("raw_doc"), body.alias("body"),
-        F.transform(extract_all(F.regexp_replace(text, rf"(?:{MARK}[0-9]+{MARK}\s*)+\z", ""), rf"{MARK}([0-9]+){MARK}", 1),
-                    lambda n: F.get(toks, n.cast("int"))).alias("inner_comments"))
+        F.when(~head.rlike(r"\Aexport\s+default\b"), leading_comment(x["before"], toks)).alias("raw_doc"), _unmarked(plain(text)).alias("body"),
+        _marked_comments(F.regexp_replace(text, rf"(?:{MARK}[0-9]+{MARK}\s*)+\z", ""), toks).alias("inner_comments"))
+
+
+def _cut_span(span: Column) -> tuple[Column, Column]:
+    """Head and the rest of a span."""
+    head = F.substring_index(span, HEAD_END, 1)
+    return head, F.substr(span, F.length(head) + 2)
 
 
 def _span_rows(parts: Column) -> Column:
+    def row(s: Column, i: Column, at: Column) -> Column:
+        head, rest = _cut_span(s)
+        later = F.array_join(F.slice(parts, i + 3, F.greatest(F.size(parts) - i - 2, F.lit(0))), "")
+        return F.struct(head.alias("head"), F.concat(rest, later).alias("after"), F.get(at, i + 1).alias("line"),
+                        F.get(parts, i).alias("before"), F.lit(False).alias("in_object"))
+
     return bind(span_lines(parts), lambda at: F.transform(
-        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda s, i: F.struct(s.alias("span"), F.regexp_extract(s, rf"\A{HEAD}", 0).alias("head"), F.get(at, i + 1).alias("line"),
-                              F.get(parts, i).alias("before"), F.lit(False).alias("in_object"))))
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s, i: row(s, i, at)))
 
 
 def _object_rows(code: Column) -> Column:
     """Functions written inside ``module.exports = {…}``; their lines are not known."""
-    body = F.regexp_extract(F.regexp_extract(having(code, "module.exports"), CJS_OBJECT, 0), r"\{([\s\S]*)\}\z", 1)
-    listed = F.filter(pieces(body), lambda p: p.rlike(rf"\A{NAME}\s*:\s*{_WRAPPED}"))
-    return F.transform(listed, lambda p: F.struct(
-        p.alias("span"), F.regexp_extract(p, rf"\A{NAME}\s*:\s*{_WRAPPED}", 0).alias("head"), F.lit(None).cast("int").alias("line"),
-        F.lit("").alias("before"), F.lit(True).alias("in_object")))
+    def row(p: Column) -> Column:
+        head, rest = _cut_span(p)
+        return F.struct(head.alias("head"), rest.alias("after"), F.lit(None).cast("int").alias("line"), F.lit("").alias("before"),
+                        F.lit(True).alias("in_object"))
+
+    listed = F.filter(cjs_items(code), lambda p: p.rlike(rf"\A{NAME}\s*:\s*{_WRAPPED}"))
+    cut = F.transform(listed, lambda p: leveled(F.regexp_replace(p, rf"\A({NAME}\s*:\s*{_WRAPPED})", rf"$1{HEAD_END}")))
+    return F.transform(cut, row)
+
+
+def cjs_items(code: Column) -> Column:
+    """Entries of the object that is assigned to ``module.exports``."""
+    body = F.regexp_extract(leveled(having(code, "module.exports")), rf"(?<![^\n])module\.exports\s*=\s*({block(2)})", 1)
+    return F.transform(pieces(shallow(inside(body))), plain)
 
 
 def function_list(parts: Column, code: Column, toks: Column) -> Column:
@@ -230,7 +264,9 @@ def _exports_of(s: Column) -> Column:
 
 def exports(code: Column) -> Column:
     """ARRAY<STRUCT<name, kind, is_default>> in source order. A CommonJS export of a name listed before is dropped."""
-    statements = extract_all(having(code, "export"), EXPORT)
+    # an object's functions may be as deep as they like: only its outer levels matter here
+    outer = F.when(F.contains(code, F.lit("module.exports")), shallow(leveled(code))).otherwise(having(code, "export"))
+    statements = extract_all(outer, EXPORT)
     listed = F.flatten(F.transform(statements, lambda s: F.transform(_exports_of(s), lambda e: F.struct(
         e["name"].alias("name"), e["kind"].alias("kind"), e["is_default"].alias("is_default"), (~s.startswith("export")).alias("cjs")))))
 
@@ -251,7 +287,7 @@ def marking_names(exported: Column) -> Column:
 
 MARKS = rf"(?:{MARK}[0-9]+{MARK}\s*)*"
 CLASS = (rf"({MARKS}){EDGE}((?:export\s+)?(?:default\s+)?)(?:abstract\s+)?class\s+({NAME})\s*{GENERIC}"
-         rf"(?:extends\s+([\w$.]+)\s*{GENERIC}(?:{ROUND}\s*)?)?(?:implements\s+[^{{]+)?({CURLY})")
+         rf"(?:extends\s+([\w$.]+)\s*{GENERIC}(?:{ROUND}\s*)?)?(?:implements\s+[^{OPEN}]+)?({block(6)})")
 _MODIFIERS = r"(?:(?:public|private|protected|static|async|override|abstract|readonly|declare|get|set)\s+)*"
 METHOD_HEAD = rf"{_MODIFIERS}\*?\s*{NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*\{{"
 METHOD = rf"{_MODIFIERS}\*?\s*{NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*{CURLY}"
@@ -270,13 +306,14 @@ def class_list(marked: Column, toks: Column) -> Column:
     """ARRAY<STRUCT<name, super_class, raw_doc, methods, properties>>; methods have the shape of ``function_list``."""
     def method(m: Column) -> Column:
         text = F.regexp_replace(m, rf"\A{MARKS}", "")
-        head, clean = F.regexp_extract(text, rf"\A{METHOD_HEAD}", 0), _unmarked(text)
+        shown = F.regexp_extract(text, rf"\A{METHOD_HEAD}", 0)
+        head, body = plain(shown), leveled(plain(F.substr(text, F.length(shown))))
         return F.struct(
             F.regexp_extract(head, rf"\A{_MODIFIERS}\*?\s*({NAME})", 1).alias("name"), F.lit("method").alias("kind"),
             head.rlike(r"\A(?:\w+\s+)*?async\s").alias("is_async"), F.lit(False).alias("exported"), F.lit(None).cast("int").alias("line"),
             params(F.regexp_replace(F.regexp_extract(head, PARAM_TAIL, 1), r"\A\(|\)\z", "")).alias("params"),
-            type_name(F.regexp_extract(head, PARAM_TAIL, 2)).alias("return_type"), throws(clean).alias("throws"),
-            leading_comment(F.regexp_extract(m, rf"\A{MARKS}", 0), toks).alias("raw_doc"), clean.alias("body"),
+            type_name(F.regexp_extract(head, PARAM_TAIL, 2)).alias("return_type"), own_throws(body).alias("throws"),
+            leading_comment(F.regexp_extract(m, rf"\A{MARKS}", 0), toks).alias("raw_doc"), plain(_unmarked(text)).alias("body"),
             _marked_comments(text, toks).alias("inner_comments"))
 
     def field(f: Column) -> Column:
@@ -286,9 +323,9 @@ def class_list(marked: Column, toks: Column) -> Column:
             f.rlike(r"\A(?:\w+\s+)*?static\s").alias("static"))
 
     def one(r: Column) -> Column:
-        members = extract_all(F.regexp_replace(r["b"], r"\A\{|\}\z", ""), rf"(?<![\w$.#@]){MARKS}(?:{METHOD}|{FIELD})")
+        members = extract_all(shallow(inside(r["b"])), rf"(?<![\w$.#@]){MARKS}(?:{METHOD}|{FIELD})")
         is_method = lambda m: m.rlike(rf"\A{MARKS}{METHOD}\z")
-        fields = lambda ms: F.transform(F.filter(ms, lambda m: ~is_method(m)), lambda m: trim(_unmarked(m)))
+        fields = lambda ms: F.transform(F.filter(ms, lambda m: ~is_method(m)), lambda m: plain(trim(_unmarked(m))))
         return bind(F.transform(members, trim), lambda ms: F.struct(
             r["n"].alias("name"), F.when(r["p"].rlike(rf"\A{NAME}\z"), r["p"]).alias("super_class"),
             F.when(~F.contains(r["e"], F.lit("default")), leading_comment(r["c"], toks)).alias("raw_doc"), F.transform(F.filter(ms, is_method), method).alias("methods"),
@@ -297,10 +334,10 @@ def class_list(marked: Column, toks: Column) -> Column:
     def groups(text: Column) -> Column:
         return F.struct(*[F.regexp_extract(text, CLASS, g).alias(n) for g, n in ((1, "c"), (2, "e"), (3, "n"), (4, "p"), (5, "b"))])
 
-    return F.transform(F.transform(extract_all(having(marked, "class"), CLASS), groups), one)
+    return F.transform(F.transform(extract_all(leveled(having(marked, "class")), CLASS), groups), one)
 
 
-INTERFACE = rf"{EDGE}interface\s+{NAME}\s*{GENERIC}(?:extends\s+[^{{]+)?{CURLY}|{EDGE}type\s+{NAME}\s*{GENERIC}="
+INTERFACE = rf"{EDGE}interface\s+{NAME}\s*{GENERIC}(?:extends\s+[^{OPEN}]+)?{block(3)}|{EDGE}type\s+{NAME}\s*{GENERIC}="
 DOCUMENTED_INTERFACE = rf"({MARKS})(?:export\s+)?(?:default\s+)?(?:declare\s+)?({INTERFACE})"
 
 
@@ -308,15 +345,15 @@ def interface_list(marked: Column, toks: Column) -> Column:
     """ARRAY<STRUCT<name, kind, members, raw_doc>>; type aliases have no members, members other than plain
     properties are called ``member``."""
     def member(m: Column) -> Column:
-        plain = m.rlike(rf"\A(?:readonly\s+)?{NAME}\??\s*(?::|\z)")
+        named = m.rlike(rf"\A(?:readonly\s+)?{NAME}\??\s*(?::|\z)")
         p = _property(m)
-        return F.struct(F.when(plain, p["name"]).otherwise("member").alias("name"), F.when(plain, p["type"]).alias("type"),
-                        (plain & p["optional"]).alias("optional"))
+        return F.struct(F.when(named, p["name"]).otherwise("member").alias("name"), F.when(named, plain(p["type"])).alias("type"),
+                        (named & p["optional"]).alias("optional"))
 
     def one(r: Column) -> Column:
         comment, s = r["c"], r["s"]
-        body = F.regexp_extract(s, rf"({CURLY})\z", 1)
-        members = F.transform(pieces(F.regexp_replace(body, r"\A\{|\}\z", ""), r";,\n"), member)
+        body = F.regexp_extract(s, rf"({block(2)})\z", 1)
+        members = F.transform(pieces(shallow(inside(body)), r";,\n"), member)
         return F.struct(
             F.regexp_extract(s, rf"\A(?:interface|type)\s+({NAME})", 1).alias("name"),
             F.when(s.startswith("interface"), "interface").otherwise("type").alias("kind"),
@@ -326,14 +363,14 @@ def interface_list(marked: Column, toks: Column) -> Column:
     def groups(text: Column) -> Column:
         return F.struct(F.regexp_extract(text, DOCUMENTED_INTERFACE, 1).alias("c"), _unmarked(F.regexp_extract(text, DOCUMENTED_INTERFACE, 2)).alias("s"))
 
-    return F.transform(F.transform(extract_all(having(marked, "interface", "type"), DOCUMENTED_INTERFACE), groups), one)
+    return F.transform(F.transform(extract_all(leveled(having(marked, "interface", "type")), DOCUMENTED_INTERFACE), groups), one)
 
 
 # ---- UI facts ------------------------------------------------------------------------------------------
 
 HOOK = rf"{EDGE}(?<!function\s{{1,4}})(use[A-Z][\w$]*)\s*(?:{ANGLE}\s*)?(?=({ROUND}))"
 ELEMENT = r"(?<![\w$)\]])<((?:[A-Za-z_$][\w$-]*)(?:[.:][\w$-]+)*)(?=[\s/>])(?!>\s*\()"
-HANDLER = rf"(?<![\w$.])(on[A-Z][\w$]*)=(?=({CURLY}))"
+HANDLER = rf"(?<![\w$.])(on[A-Z][\w$]*)=(?=({block(3)}))"
 ARG_CAP = 60
 _KEYWORDS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "new")
 
@@ -360,12 +397,12 @@ def event_handlers(code: Column) -> Column:
         return (F.when((F.size(parts) == 2) & ~c.startswith("this."), c).otherwise(F.element_at(parts, -1)))
 
     def one(event: Column, braces: Column) -> Column:
-        expr = trim(F.regexp_replace(braces, r"\A\{|\}\z", ""))
+        expr = trim(plain(inside(braces)))
         found = F.filter(extract_all(expr, r"(?<![\w$.])((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*\(", 1), lambda c: ~c.isin(*_KEYWORDS))
         return F.struct(event.alias("event"), F.when(expr.rlike(rf"\A{NAME}\z"), F.array(expr)).otherwise(
             F.array_distinct(F.transform(found, call))).alias("calls"))
 
-    text = having(code, "={")
+    text = leveled(having(code, "={"))
     return F.zip_with(extract_all(text, HANDLER, 1), extract_all(text, HANDLER, 2), one)
 
 

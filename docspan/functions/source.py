@@ -1,7 +1,7 @@
 """Lexical views of JavaScript and TypeScript files, as native regular expressions over one row's text.
 
-Everything here is an inventory by pattern, not a grammar: nesting is followed to a fixed depth and a
-function's text ends where the next declaration begins.
+Everything here is an inventory by pattern, not a grammar. Blocks in braces are found at any depth: ``leveled`` writes the
+height of a block beside both of its braces, so a block ends at the next closing brace of its own height.
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ EDGE = r"(?<![\w$.])"
 STRING = r"""(?:"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\[\s\S]|[^`\\])*+`)"""
 COMMENT = r"(?://[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)"
 TOKEN = rf"""{STRING}|{COMMENT}|[^"'`/]++|[\s\S]"""
-MARK, CUT = "\x02", "\x01"
+MARK, CUT, HEAD_END = "\x02", "\x01", "\x07"
+OPEN, OPENED, SHUT, CLOSED = "\x03", "\x04", "\x05", "\x06"
+#: Stand for braces that do not count: those in strings, and those below the levels that ``shallow`` keeps.
+QUIET = "\x0e\x0f"
 
 
 def nested(open_: str, close: str, depth: int = 6) -> str:
@@ -38,6 +41,16 @@ def piece(separators: str) -> str:
     return rf"(?:=>|{STRING}|{ROUND}|{CURLY}|{SQUARE}|{ANGLE}|[^{separators}(){{}}\[\]<>])++"
 
 
+def block(group: int) -> str:
+    """A block of leveled text; ``group`` is the number of the group that takes its height."""
+    return rf"{OPEN}(\d+){OPENED}[\s\S]*?{SHUT}\{group}{CLOSED}"
+
+
+def leveled_piece(separators: str) -> str:
+    """``piece`` for leveled text; its first group is taken."""
+    return rf"(?:=>|{STRING}|{ROUND}|{block(1)}|{SQUARE}|{ANGLE}|[^{separators}(){{}}\[\]<>{OPEN}{SHUT}])++"
+
+
 def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -61,6 +74,47 @@ def pieces(text: Column, separators: str = ",") -> Column:
     return F.filter(trimmed, lambda p: p != "")
 
 
+def leveled(text: Column) -> Column:
+    """The text with heights at its braces: a block without blocks in it has height 1. Each step writes the heights of all
+    blocks whose inner blocks have theirs, so there are as many steps as levels. Braces without a partner stay plain."""
+    strings = extract_all(text, rf"""{STRING}|[^"'`]++|["'`]""")
+    quiet = F.array_join(F.transform(strings, lambda t: F.when(t.rlike(r"""\A["'`]"""), F.translate(t, "{}", QUIET)).otherwise(t)), "")
+
+    def deepest(t: Column) -> Column:
+        return F.aggregate(
+            F.split(F.regexp_replace(t, r"[^{}]++", ""), ""), F.struct(F.lit(0).alias("depth"), F.lit(1).alias("most")),
+            lambda s, c: F.struct(
+                (s["depth"] + F.when(c == "{", 1).when((c == "}") & (s["depth"] > 0), -1).otherwise(0)).alias("depth"),
+                F.greatest(s["most"], s["depth"] + (c == "{").cast("int")).alias("most")),
+            lambda s: s["most"])
+
+    def step(t: Column, height: Column) -> Column:
+        h = height.cast("string")
+        return F.regexp_replace(t, r"\{([^{}]*+)\}", F.concat(F.lit(OPEN), h, F.lit(f"{OPENED}$1{SHUT}"), h, F.lit(CLOSED)))
+
+    return bind(quiet, lambda t: F.aggregate(F.sequence(F.lit(1), deepest(t)), t, step))
+
+
+def plain(text: Column) -> Column:
+    """Leveled or shallow text as it was."""
+    shown = F.translate(text, QUIET + HEAD_END + CUT, "{}")
+    return F.regexp_replace(F.regexp_replace(shown, rf"{OPEN}\d+{OPENED}", "{"), rf"{SHUT}\d+{CLOSED}", "}")
+
+
+def inside(block_text: Column) -> Column:
+    """A leveled block without its own braces."""
+    return F.regexp_replace(block_text, rf"\A{OPEN}\d+{OPENED}|{SHUT}\d+{CLOSED}\z", "")
+
+
+def shallow(text: Column, levels: int = 3) -> Column:
+    """Leveled text with plain braces in its outer levels and quiet ones below, for patterns that look at the outer levels
+    only. Nothing is lost: ``plain`` gives all of it back."""
+    if levels == 0:
+        return F.regexp_replace(F.regexp_replace(text, rf"{OPEN}\d+{OPENED}", QUIET[0]), rf"{SHUT}\d+{CLOSED}", QUIET[1])
+    return F.array_join(F.transform(extract_all(text, rf"[^{OPEN}]++|{block(1)}"), lambda t: F.when(
+        t.startswith(OPEN), F.concat(F.lit("{"), shallow(inside(t), levels - 1), F.lit("}"))).otherwise(t)), "")
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, r"\A\s+|\s+\z", "")
 

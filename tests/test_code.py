@@ -178,3 +178,57 @@ def test_long_files_need_no_deep_stack(spark):
     df = spark.createDataFrame([("a", "a.ts", body)], "file_id string, file_name string, content string")
     r = C.code_facts(df, ("functions", "comments")).collect()[0]
     assert len(r.functions) == 3000 and r.functions[-1].line == 2 * 3000 - 1 and len(r.comments) == 3000
+
+
+DEEP = 12
+NESTS = """exports.list = wrap(async (req, res) => {
+  const pick = (x) => { throw pickError; };
+  const { a, b } = req.body;
+  if (!a) { throw new Error("no }a{"); }
+  [1].forEach(function (y) { throw anonymous; });
+  const o = { m(z) { throw method; } };
+  // after the inner functions
+  res.status(201).json({ ok: true });
+});
+function outer() { function inner() { throw innerError; } if (x) { throw outerError; } return "}"; }
+module.exports = { outer, deep: (q) => { %s throw q; %s } };
+const View = () => <a onClick={() => { %s save(); %s }}>x</a>;
+""" % (("if (q) { " * DEEP, " }" * DEEP) * 2)
+DEEP_CLASS = """class Deep { run() { %s throw new E('deep'); %s }
+  size = 3;
+  other(a: { b: { c: { d: { e: number } } } }) { return [1].map(() => { throw inner; }); } }
+interface Tree { root: %s leaf: string %s; name: string }
+""" % ("if (a) { " * DEEP, " }" * DEEP, "{ x: " * DEEP + "{", "}" + " }" * DEEP)
+
+
+@pytest.fixture(scope="module")
+def nests(spark):
+    df = spark.createDataFrame([("nests", "n.js", NESTS), ("deep", "d.ts", DEEP_CLASS)], "file_id string, file_name string, content string")
+    return {r.file_id: r for r in C.code_facts(df).collect()}
+
+
+def test_blocks_are_followed_to_any_depth(nests):
+    deep = nests["deep"].classes[0]
+    assert [(m.name, m.throws) for m in deep.methods] == [("run", ['new E("deep")']), ("other", [])]
+    assert [p.name for p in deep.properties] == ["size"] and [p.type for p in deep.methods[1].params] == ["{ … }"]
+    assert [(m.name, m.type) for m in nests["deep"].interfaces[0].members] == [("root", "{ … }"), ("name", "string")]
+    assert [(e.event, e.calls) for e in nests["nests"].event_handlers] == [("onClick", ["save"])]
+    assert [(e.name, e.kind) for e in nests["nests"].exports] == [("list", "variable"), ("outer", "reference"), ("deep", "variable")]
+
+
+def test_a_function_has_its_whole_text_but_not_the_throws_of_inner_ones(nests):
+    assert {f.name: f.throws for f in nests["nests"].functions} == {
+        "list": ['new Error("no }a{")'], "pick": ["pickError"], "outer": ["outerError"], "inner": ["innerError"], "View": [], "deep": ["q"]}
+    f = fn(nests, "nests", "list")
+    assert f.notes == ["after the inner functions"] and f.api.body_fields == ["a", "b"]
+    assert [(r.status, r.shape) for r in f.api.responses] == [(201, "{ ok: true }")]
+
+
+def test_texts_without_partners_for_their_braces(spark):
+    from pyspark.sql import functions as F
+
+    from docspan.functions import source as S
+    texts = ["", "}", "{", "}{", "{{}", "{}}", "a { b '{' { c } } `}` d", "{" * 40 + "}" * 40, "{}" * 300, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("l", S.leveled(F.col("t")))
+    rows = df.select("t", S.plain(F.col("l")).alias("again"), S.plain(S.shallow(F.col("l"))).alias("shallow")).collect()
+    assert all(r.again == r.t and r.shallow == r.t for r in rows)
