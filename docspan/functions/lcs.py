@@ -47,10 +47,16 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     end = _common_prefix(a[::-1], b[::-1])
     a, b = a[:len(a) - end], b[:len(b) - end]
     a, b = a[np.isin(a, b)], b[np.isin(b, a)]
-    row = np.zeros(len(b) + 1, dtype=np.int32)
-    for x in a[::-1]:
-        row = _row_above(x, b, row)
-    return start + end + int(row[0])
+    # one bit per new line: a bit is cleared where the length grows, so one addition moves a whole row of the table
+    places: dict[int, int] = {}
+    for j, x in enumerate(b.tolist()):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a.tolist():
+        hit = row & places[x]
+        row = (row + hit | row - hit) & full
+    return start + end + len(b) - row.bit_count()
 
 
 def matches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

@@ -11,10 +11,12 @@ _OWN: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only a session without one (a test on one machine) gets its own."""
+    """The folder of ``spark.checkpoint.dir``. Only a session on one machine (a test) may do without and gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = tempfile.mkdtemp(prefix="docspan-")

@@ -177,8 +177,10 @@ def _chain(entries: DataFrame, segment: int, levels: int) -> DataFrame:
 
 
 def chain(versions: DataFrame, segment: int = SEGMENT, levels: int = LEVELS) -> DataFrame:
-    """Commit id per version: a SHA-256 over the commit ids before it and the version's own digest. Only
-    digests move; contents stay where they were read."""
+    """Commit id per version. A version's link is a SHA-256 over the link before it in its segment and its own digest; its
+    id is a SHA-256 over the id of the segment before and that link, and ids of segments are made the same way. So every
+    id depends on all versions before it, at every length of the log. ``segment`` and ``levels`` belong to the definition
+    of an id: a log is checked with the ones it was written with. Only digests move; contents stay where they were read."""
     entries = versions.select("doc_id", (F.col("version_no") - 1).cast("bigint").alias("n"), entry_digest().alias("digest"))
     return _chain(entries, segment, levels).select("doc_id", (F.col("n") + 1).cast("int").alias("version_no"), F.col("chained").alias("commit_hash"))
 

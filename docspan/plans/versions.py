@@ -84,14 +84,14 @@ def default_projects(spark, sf):
 
 
 def commit_chain(spark, sf):
-    return V.chain(V.number_versions(fixture(spark, sf, "fx_saves")))
+    return V.chain(V.number_versions(fixture(spark, sf, "fx_saves")), SEGMENT)
 
 
 def commit_chain_breaks(spark, sf):
     versions = V.number_versions(fixture(spark, sf, "fx_saves"))
-    stored = versions.join(V.chain(versions), ["doc_id", "version_no"]).withColumn(
+    stored = versions.join(V.chain(versions, SEGMENT), ["doc_id", "version_no"]).withColumn(
         "content", F.when(F.col("event_id") % 10 == 0, F.lit("tampered")).otherwise(F.col("content")))
-    return V.verify_chain(stored)
+    return V.verify_chain(stored, SEGMENT)
 
 
 PAIRS_SQL = """
@@ -114,13 +114,40 @@ SELECT o_orderkey AS project_id, concat('Project ', cast(o_orderkey AS string))
 FROM orders"""
 
 _D = "sha256(concat(length(version_no::varchar), ':', version_no, length(content), ':', content, length(message), ':', message))"
+# Documents of the fixture have some dozens of versions; a short segment takes them over all three levels.
+SEGMENT = 4
+
+
+def _folded(name: str, entries: str, restart: str) -> str:
+    """Links of a log, each over the one before; a link for which ``restart`` holds begins anew."""
+    return f"""
+{name} AS (
+  SELECT doc_id, n, sha256('>' || d) AS v FROM {entries} WHERE n = 0
+  UNION ALL
+  SELECT e.doc_id, e.n, sha256(CASE WHEN {restart} THEN '' ELSE p.v END || '>' || e.d) FROM {name} p JOIN {entries} e ON e.doc_id = p.doc_id AND e.n = p.n + 1)"""
+
+
+def _ends(name: str, links: str) -> str:
+    return f"{name} AS (SELECT doc_id, n // {SEGMENT} AS n, arg_max(v, n) AS d FROM {links} GROUP BY ALL)"
+
+
+def _anchored(name: str, links: str, chain: str) -> str:
+    return f"""
+{name} AS (SELECT l.doc_id, l.n, CASE WHEN c.v IS NULL THEN l.v ELSE sha256(c.v || '>' || l.v) END AS v
+  FROM {links} l LEFT JOIN {chain} c ON c.doc_id = l.doc_id AND c.n = l.n // {SEGMENT} - 1)"""
+
+
 _CHAIN = f"""
 WITH RECURSIVE numbered AS ({NUMBERED_SQL}),
-digests AS (SELECT doc_id, version_no, {_D} AS d, content, message, event_id FROM numbered),
-links AS (
-  SELECT doc_id, version_no, sha256('>' || d) AS commit_hash FROM digests WHERE version_no = 1
-  UNION ALL
-  SELECT n.doc_id, n.version_no, sha256(l.commit_hash || '>' || n.d) FROM links l JOIN digests n ON n.doc_id = l.doc_id AND n.version_no = l.version_no + 1)
+digests AS (SELECT doc_id, version_no, version_no - 1 AS n, {_D} AS d, content, message, event_id FROM numbered),
+{_folded("inner_links", "digests", f"e.n % {SEGMENT} = 0")},
+{_ends("inner_ends", "inner_links")},
+{_folded("middle_links", "inner_ends", f"e.n % {SEGMENT} = 0")},
+{_ends("middle_ends", "middle_links")},
+{_folded("outer_links", "middle_ends", "false")},
+{_anchored("middle_chain", "middle_links", "outer_links")},
+{_anchored("whole_chain", "inner_links", "middle_chain")},
+links AS (SELECT doc_id, cast(n + 1 AS int) AS version_no, v AS commit_hash FROM whole_chain)
 """
 
 QUERIES = {
