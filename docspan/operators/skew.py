@@ -1,7 +1,9 @@
-"""Numbering of rows within a key when a single key may hold a large share of all rows."""
+"""Joins and numbering when a single key may hold a large share of all rows."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,3 +41,41 @@ def number_within(df: DataFrame, key: str, order: list[Column], out: str, slice_
         .withColumn(out, (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_rank")).cast("int"))
         .select(*df.columns, out)
     )
+
+
+#: Most keys that count as hot; for larger inputs the threshold rises, so their list has a fixed bound and may be broadcast.
+MOST_HOT = 10_000
+
+
+def slices_of_hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame | None:
+    """The keys with more rows than a threshold, and _slices, the number of slices that brings them below it. The threshold is
+    ``hot_rows`` or, for larger inputs, all rows / ``MOST_HOT``. ``rows`` is the number of rows if it is known already; no key
+    can be hot among fewer than the threshold: then there is no list."""
+    rows = df.count() if rows is None else rows
+    limit = max(hot_rows, rows // MOST_HOT)
+    if rows <= limit:
+        return None
+    return df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("_slices"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
+    """Equi-join on columns that have the same names on both sides; ``how`` is inner or left, and ``left`` is the side that may
+    be skewed (``rows`` its number of rows, if known).
+
+    Rows of hot keys are spread over slices of their key, and the right rows of these keys are repeated once per slice. Left
+    rows with a null in a key meet nothing: they stay where they are and never go to one task together. Columns beside the keys
+    must have different names."""
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    whole = left.filter(known)
+    hot = slices_of_hot_keys(whole, keys, hot_rows, rows)
+    if hot is None:
+        met = whole.join(right, keys, how)
+    else:
+        hot = F.broadcast(hot)
+        spread_left = whole.join(hot, keys, "left").withColumn("_slice", F.coalesce((F.rand() * F.col("_slices")).cast("int"), F.lit(0))).drop("_slices")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)).alias("_slice")
+        spread_right = right.join(hot, keys, "left").select(*right.columns, copies)
+        met = spread_left.join(spread_right, [*keys, "_slice"], how).drop("_slice")
+    return met if how == "inner" else met.unionByName(left.filter(~known), allowMissingColumns=True)
