@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspan.llm import byte_bpe, fingerprints, language, licences, packing, quality, quality_rules, secret_scan, simhash, sql, token_store
+from docspan.llm import byte_bpe, fingerprints, language, licences, packing, quality, quality_rules, secret_scan, sentence_pieces, simhash, spelling, sql, token_store, whitening
 from docspan.operators.storage import new_path
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +24,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = public_tokenizers.path(BYTE_RANKS)
-    decoded = byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
-    return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +65,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_byte_bpe, op3_quality_classifier, op4_token_store, op5_licence_scan, op6_language_id, op7_fingerprints, op8_quality_rules,
-    op9_simhash, op10_secret_scan,
+    op9_simhash, op10_secret_scan, op11_sentence_pieces, op12_spelling_groups, op13_whitening,
 )}
 #: The others hash, train or use a tokenizer; tests hold them against brute-force versions and held-out rows.
-ORACLES = {"op5_licence_scan": sql.licence_scan_sql(), "op8_quality_rules": sql.quality_rules_sql()}
+ORACLES = {"op5_licence_scan": sql.licence_scan_sql(), "op8_quality_rules": sql.quality_rules_sql(), "op12_spelling_groups": sql.spelling_groups_sql()}

@@ -1,20 +1,21 @@
-"""SimHash near duplicates through a byte-position index.
+"""SimHash near duplicates through a byte-position index with count filtering.
 
-Two 64-bit fingerprints that differ in at most d bits share at least 8 - d of their eight bytes at the same position. The
-index posts every different fingerprint under each choice of 8 - d positions with its bytes there, so every such pair
-meets in a posting list. For a pair that meets, the shared bytes are tallied, pairs below the guaranteed number are left out,
-and the bit distance decides.
+Two 64-bit fingerprints that differ in at most d bits share at least m = 8 - d of their eight bytes at the same position. The
+index posts every different fingerprint under each choice of m - 1 positions with its bytes there: a pair that shares m bytes
+meets in at least m posting lists, one that shares fewer only in one or in none. So the meetings of a pair are counted over all
+lists, pairs below the guaranteed number are left out, and the bit distance decides.
 
 Lists of equal or near copies are not expanded into all their pairs. First every fingerprint is compared with the least one
 of its list, and the components of these links are found. Then only lists that still hold several components are compared
-pairwise, and only across components: all other links lie within one component already."""
+pairwise, and only across components: all other links lie within one component already. A pair of two components meets in such
+lists only, so its count is whole."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,15 @@ from pyspark.sql import functions as F
 
 from docspan.llm.batches import slices, strings
 from docspan.llm.components import components
+from docspan.operators.skew import HOT_ROWS, salted_join
 from docspan.operators.storage import stored
 
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 BYTES = 8
+#: Fingerprints that one task posts under all choices.
+POSTED_ROWS = 50_000
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 
@@ -72,22 +76,30 @@ def postings(codes: DataFrame, shared: int) -> DataFrame:
     return codes.select("code", F.explode(F.array(*choices)).alias("p")).select("p.choice", "p.kept", "code")
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """Positions at which two codes have the same byte."""
-    other = a.bitwiseXOR(b)
-    return reduce(lambda x, y: x + y, ((other.bitwiseAND(F.lit(_mask((p,)))) == 0).cast("int") for p in range(BYTES)))
+def is_link(a: Column, b: Column, max_bits: int) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= max_bits
 
 
-def is_link(a: Column, b: Column, max_bits: int) -> Column:
-    """Enough shared bytes, and then few enough different bits."""
-    return (shared_bytes(a, b) >= BYTES - max_bits) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
+def least_meetings(max_bits: int) -> tuple[int, int]:
+    """Positions of a posting, and the lists in which two codes within ``max_bits`` meet at least."""
+    shared = BYTES - max_bits
+    posted = max(shared - 1, 1)
+    return posted, comb(shared, posted)
+
 
+def candidates(left: DataFrame, right: DataFrame, meetings: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pairs code, code_2 of different roots that meet in at least ``meetings`` lists (choice, kept). Long lists are split."""
+    other = right.withColumnsRenamed({"code": "code_2", "root": "root_2"})
+    met = salted_join(left, other, ["choice", "kept"], hot_rows=hot_rows).filter("root < root_2")
+    return met.groupBy("code", "root", "code_2", "root_2").agg(F.count("*").alias("met")).filter(F.col("met") >= meetings)
 
-def groups(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+
+def groups(codes: DataFrame, max_bits: int = MAX_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """node and root for every code of ``codes`` (different longs) that is linked to another but for the roots."""
     if not 0 <= max_bits < BYTES:
         raise ValueError("the index needs at least one shared byte")
-    index = postings(codes, BYTES - max_bits)
+    posted, meetings = least_meetings(max_bits)
+    index = postings(codes.repartition(1 + codes.count() // POSTED_ROWS, "code"), posted)
     lists = index.groupBy("choice", "kept").agg(F.count("*").alias("n"), F.min("code").alias("pivot")).filter("n > 1").drop("n")
     lists = lists.withColumnsRenamed({"choice": "_c", "kept": "_k"})
     met = stored(index.join(lists, (F.col("choice") == F.col("_c")) & (F.col("kept") == F.col("_k"))).select("choice", "kept", "code", "pivot"), "postings")
@@ -97,8 +109,7 @@ def groups(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     named = met.join(first.withColumnRenamed("node", "code"), "code", "left").select("choice", "kept", "code", F.coalesce("root", "code").alias("root"))
     open_lists = named.groupBy("choice", "kept").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("choice", "kept")
     rest = stored(named.join(open_lists, ["choice", "kept"], "left_semi"), "open-postings")
-    other = rest.withColumnsRenamed({"code": "code_2", "root": "root_2"})
-    across = rest.join(other, ["choice", "kept"]).filter((F.col("root") < F.col("root_2")) & is_link(F.col("code"), F.col("code_2"), max_bits))
+    across = candidates(rest, rest, meetings, hot_rows).filter(is_link(F.col("code"), F.col("code_2"), max_bits))
     between = stored(across.select(F.col("root").alias("a"), F.col("root_2").alias("b")).distinct(), "links")
     return components(stars.select("a", "b").union(between)) if not between.isEmpty() else first
 
@@ -123,9 +134,17 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
 
 def first_of_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The row with the least doc_id of each group, with all its columns; of rows that share that id, the one with the least
-    text. Rows with a null id are kept, since they cannot be told apart."""
+    text. Rows with a null id are kept, since they cannot be told apart.
+
+    Only the ids that go, and those of several rows, are brought back to the texts; rows of other ids are not exchanged for
+    them while that list is small."""
     groups_of = near_groups(docs.select("doc_id", "text"), shingle, max_bits)
-    kept = groups_of.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    by_text = Window.partitionBy("doc_id").orderBy("text")
-    known = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").withColumn("_place", F.row_number().over(by_text))
-    return known.filter("_place = 1").drop("_place").unionByName(docs.filter("doc_id IS NULL"))
+    of_id = groups_of.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
+        (F.count("*") > 1).alias("_several"), F.max("component_id").alias("_least")
+    )
+    marked = stored(of_id.select("_id", (F.col("_id") != F.col("_least")).alias("_goes"), "_several").filter("_goes OR _several"), "going-ids")
+    left = docs.join(marked, F.col("doc_id") == F.col("_id"), "left").filter("_goes IS NULL OR NOT _goes")
+    single = left.filter("_several IS NULL").select(docs.columns)
+    again = docs.join(marked.filter("NOT _goes"), F.col("doc_id") == F.col("_id"))
+    ordered = again.withColumn("_place of its id", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return single.unionByName(ordered.filter("`_place of its id` = 1").select(docs.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspan.llm import licences, quality_rules
+from docspan.llm import licences, quality_rules, spelling
 
 _WORDS = r"len(list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
 
@@ -24,8 +24,8 @@ repeats AS (SELECT doc_id, sum(m) AS n FROM marks GROUP BY doc_id),
 raw AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
 lines AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS norm FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-frequent AS (SELECT source, norm, min(doc_id) AS first_doc FROM lines GROUP BY source, norm HAVING count(DISTINCT text) > {limit}),
-lost AS (SELECT l.doc_id, sum({_WORDS.format("l.line")}) AS n FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm AND l.doc_id <> f.first_doc GROUP BY l.doc_id),
+frequent AS (SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT doc_id) > {limit}),
+lost AS (SELECT l.doc_id, sum({_WORDS.format("l.line")}) AS n FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY l.doc_id),
 m AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines,
@@ -56,3 +56,33 @@ different AS (SELECT doc_id, string_agg(licence, ' AND ' ORDER BY k) AS licence
 SELECT d.doc_id, coalesce(different.licence, '') AS licence, coalesce(every.licences, '') AS licences, coalesce(g.sequence, '') AS sequence, coalesce(g.places, '') AS places,
   coalesce(g.n_unknown, 0) AS n_unknown
 FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN different USING (doc_id)"""
+
+
+def spelling_groups_sql() -> str:
+    """Rows of ``spelling_groups`` with its usual parameters. Neighbours are found by leaving out each code point of each word:
+    two words that are equal with the same place left out differ by a replacement, a word that equals another with one left out
+    by an insertion."""
+    return rf"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), '{spelling._UPPER}', '{spelling._LOWER}'), '[^{spelling.LETTERS}]+'),
+  lambda r: length(r) >= {spelling.LEAST_LENGTH})) AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs GROUP BY id, run),
+bytes AS (SELECT run, n, hex(encode(id || ':' || run)) AS h FROM counted),
+sums AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: CAST('0x' || h[2 * k + 1:2 * k + 2] AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+made AS (SELECT CASE WHEN h % {spelling.DAMAGED} = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM sums),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+places AS (SELECT word, unnest(range(length(word))) AS k FROM words),
+less AS MATERIALIZED (SELECT word, k, word[1:k] || word[k + 2:] AS rest FROM places),
+pairs AS (
+  SELECT x.word AS a, y.word AS b FROM less x JOIN less y ON x.rest = y.rest AND x.k = y.k AND x.word <> y.word
+  UNION SELECT x.word, w.word FROM less x JOIN words w ON x.rest = w.word
+  UNION SELECT w.word, x.word FROM less x JOIN words w ON x.rest = w.word
+),
+ranked AS (SELECT a, b, words.n AS n_b, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY words.n DESC, b) AS place FROM pairs JOIN words ON words.word = b),
+formed AS MATERIALIZED (SELECT word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN n_b >= {spelling.TIMES} * n THEN b END AS form, CASE WHEN n_b >= {spelling.TIMES} * n THEN n_b END AS form_n
+  FROM words LEFT JOIN ranked ON a = word AND place = 1),
+chain AS (SELECT word, coalesce(form, word) AS root FROM formed UNION SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NOT NULL),
+ends AS (SELECT chain.word, root FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NULL)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""

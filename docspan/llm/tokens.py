@@ -57,6 +57,9 @@ def _packed(ids: list[int]) -> bytes:
 class _Remembered:
     """Ids of pieces, as little-endian unsigned 32-bit integers in bytes."""
 
+    #: Share of the bytes that this kind may remember.
+    share = 1.0
+
     def __init__(self, text: str):
         from tokenizers import Tokenizer
 
@@ -74,7 +77,7 @@ class _Remembered:
         new = pieces.difference(self.table)
         if not new:
             return
-        if self.held > REMEMBERED_BYTES:
+        if self.held > REMEMBERED_BYTES * self.share:
             self.before, self.table, self.held, new = self.table, {}, 0, pieces
         again = {p: self.before[p] for p in new if p in self.before}
         found = again | dict(self.known([p for p in new if p not in again]))
@@ -117,6 +120,8 @@ class ByteTokens(_Remembered):
     """A byte-level tokenizer whose pattern takes one space before a word: a space between two characters that are no white
     space always starts a match, so the text is cut there. Pieces beside other white space stay together."""
 
+    share = 0.25
+
     def __init__(self, text: str):
         super().__init__(text)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text

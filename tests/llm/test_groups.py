@@ -65,6 +65,19 @@ def test_groups_lose_no_link(spark):
     assert got == {n: r for n, r in want.items() if n != r}
 
 
+def test_meetings_are_counted(spark):
+    """Pairs of two roots are candidates exactly if they share the guaranteed number of bytes, also in split lists."""
+    rng = random.Random(3)
+    codes = [int.from_bytes(bytes(rng.randrange(3) for _ in range(8)), "big") for _ in range(60)]
+    codes = sorted(set(codes))
+    posted, meetings = simhash.least_meetings(4)
+    assert (posted, meetings) == (3, 4)
+    lists = simhash.postings(spark.createDataFrame([(c,) for c in codes], "code long"), posted).selectExpr("choice", "kept", "code", "code AS root")
+    want = {(a, b) for a in codes for b in codes if a < b and sum(x == y for x, y in zip(a.to_bytes(8), b.to_bytes(8))) >= 4}
+    for hot in (1_000_000, 20):
+        assert {(r.code, r.code_2) for r in simhash.candidates(lists, lists, meetings, hot).collect()} == want
+
+
 def test_near_groups(spark, sf_dir, odd_docs, no_docs):
     for docs in (queries.documents(spark, sf_dir), odd_docs.filter("doc_id IS NOT NULL")):
         texts = {r.doc_id: r.text or "" for r in docs.collect()}

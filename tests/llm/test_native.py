@@ -46,7 +46,7 @@ def test_frequent_lines(spark, no_docs):
     rows += [(10 + i, f"{notice}\n{own(20, 8)}", "a") for i in range(3)]  # copies of one text, almost only the line
     rows += [(20, f"{notice}\n{own(20, 8)}", "b"), (21, f"{notice}\n{own(21, 8)}", None), (None, f"{notice}\n{own(22, 8)}", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    at = lambda limit: {(r.doc_id, r.source): r for r in quality_rules.quality_rules(docs, limit=limit, carry=("text", "source")).collect()}
+    at = lambda limit: {(r.doc_id, r.source): r for r in quality_rules.quality_rules(docs, limit=limit, carry=("text", "source"), copies_once=True, spare_first=True).collect()}
     few = at(6)
     assert few[0, "a"].kept and few[0, "a"].removed_words == 0  # the first of the host keeps the line
     assert all(few[i, "a"].kept and few[i, "a"].removed_words == 58 and few[i, "a"].text == own(i, 60) for i in range(1, 5))
@@ -56,6 +56,19 @@ def test_frequent_lines(spark, no_docs):
     assert quality_rules.quality_rules(no_docs).count() == 0
 
 
+def test_every_document_counts(spark):
+    """The plain method: all documents of a host that hold a frequent line lose it, copies and the first one too."""
+    own = lambda i, n: " ".join(f"{'abcdefghijklmn'[int(i, 36) % 14 if isinstance(i, str) else i]}x{k}" for k in range(n))
+    notice = "Read  this\tNotice 77 " + own("n", 20)
+    texts = [f"{notice}\n{own(i, 60)}\n\n{notice}\nend {"xyz"[i]}" for i in range(3)] + [f"{notice}\n{own(9, 60)}"] * 3 + [own(5, 70)]
+    docs = spark.createDataFrame([(i, t, "a", "k") for i, t in enumerate(texts)], "doc_id long, text string, source string, lines string")
+    docs = docs.union(docs.filter("doc_id = 6"))  # a repeated row is one document
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, limit=2, carry=("text", "lines")).collect()}
+    assert [got[i].text for i in range(3)] == [f"{own(i, 60)}\n\nend {"xyz"[i]}" for i in range(3)] and all(got[i].removed_words == 48 and got[i].kept and got[i].lines == "k" for i in range(3))
+    assert not any(got[i].kept or got[i].text for i in range(3, 6)) and got[6].kept and not got[6].removed_words
+    assert all(r.kept and not r.removed_words for r in quality_rules.quality_rules(docs, limit=6).collect())
+
+
 def test_registered_rules_equal_their_sql(spark, sf_dir):
     from docspan.plans.compare import compare, duck
 
