@@ -19,8 +19,9 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines that their host repeats too often."""
-    judged = quality_rules.quality_rules(docs, carry=COLUMNS)
+    """Documents that the quality rules keep, without the lines that their host repeats too often. Copies of a text count once and
+    a host's first document keeps its lines: near-duplicate removal, not this stage, chooses among copies."""
+    judged = quality_rules.quality_rules(docs, carry=COLUMNS, copies_once=True, spare_first=True)
     return judged.filter("kept").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
