@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docspan.functions.source import (ANGLE, CLOSED, CURLY, CUT, EDGE, HEAD_END, MARK, NAME, OPEN, OPENED, ROUND, SHUT, STRING, bind, block,
+from docspan.functions.source import (ALSO, ANGLE, CLOSED, CURLY, CUT, EDGE, HEAD_END, MARK, NAME, OPEN, OPENED, ROUND, SHUT, SQUARE, STRING, bind, block,
                                       extract_all, having, inside, json_string, leading_comment, leveled, leveled_piece, missing, newlines,
-                                      pieces, plain, shallow, trim)
+                                      pieces, plain, said, shallow, trim)
 from docspan.functions.types import type_name
 
 RETURNS = rf"(?:\s*:\s*((?:[^{{}}<>=;\n]|{ANGLE}|{CURLY})+?))?"
@@ -19,10 +19,13 @@ _VALUE = rf"(?:async\s+)?(?:{_FUNCTION}|{_ARROW})"
 _WRAPPED = rf"(?:[\w$.]+\(\s*(?:[^()]*?,\s*)?)?{_VALUE}"
 HEAD = (
     rf"{EDGE}(?:(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*\{{"
-    rf"|(?:export\s+)?(?:const|let|var)\s+{NAME}(?:\s*:\s*[^=;\n]+?)?\s*=\s*{_VALUE}"
+    rf"|(?:(?:export\s+)?(?:const|let|var)\s+|{ALSO}){NAME}(?:\s*:\s*[^=;\n]+?)?\s*=\s*{_VALUE}"
     rf"|(?<![^\n])(?:module\.)?exports\.{NAME}\s*=\s*{_WRAPPED})"
 )
-HEAD_NAME = rf"\A(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+|(?:module\.)?exports\.|(?:async\s+)?function\s*\*?\s*)?({NAME})"
+_NAMED_FUNCTION = rf"{NAME}(?:\s*:\s*[^=;\n]+?)?\s*=\s*{_VALUE}"
+#: A name and value of a list of declarations, up to the comma; it goes on where the last one ended.
+LISTED = rf"((?:\G(?<=,)|{EDGE}(?:const|let|var)\s)(?:=>|{STRING}|{ROUND}|{CURLY}|{SQUARE}|{ANGLE}|[^,;(){{}}\[\]<>])*+,)"
+HEAD_NAME = rf"\A{ALSO}?(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+|(?:module\.)?exports\.|(?:async\s+)?function\s*\*?\s*)?({NAME})"
 PARAM_TAIL = rf"({ROUND}){RETURNS}\s*(?:\{{|=>)\z"
 
 # A function inside another one, in leveled text: an arrow, or a name (or "function") with parameters, and a block.
@@ -109,7 +112,14 @@ def own_throws(text: Column) -> Column:
 
 def spans(marked: Column) -> Column:
     """The marked text, leveled and cut before every function head: the text before the first, then one span per head."""
-    return F.split(leveled(F.regexp_replace(marked, rf"({HEAD})", rf"{CUT}$1{HEAD_END}")), CUT, -1)
+    return F.split(leveled(F.regexp_replace(also_named(marked), rf"({HEAD})", rf"{CUT}$1{HEAD_END}")), CUT, -1)
+
+
+def also_named(marked: Column) -> Column:
+    """The text with a sign before the second and later names of a list of declarations whose values are functions."""
+    commas = F.regexp_replace(marked, LISTED, f"$1{ALSO}")
+    at_names = F.regexp_replace(commas, rf"{ALSO}((?:\s|{MARK}[0-9]+{MARK})*+)(?={_NAMED_FUNCTION})", f"$1{ALSO}")
+    return F.regexp_replace(at_names, rf"{ALSO}(?!{_NAMED_FUNCTION})", "")
 
 
 def span_lines(parts: Column) -> Column:
@@ -128,7 +138,7 @@ def _of_span(x: Column, toks: Column) -> Column:
     end = F.concat(F.lit(SHUT), height, F.lit(CLOSED))
     text = (F.when(height != "", F.concat(F.call_function("substring_index", start, end, F.lit(1)), end))
             .when(head.endswith("{"), after)
-            .otherwise(F.coalesce(missing(F.regexp_extract(after, rf"\A{leveled_piece(';')}", 0)), after)))
+            .otherwise(F.coalesce(missing(F.regexp_extract(after, rf"\A{leveled_piece(f';,{ALSO}')}", 0)), after)))
     return bind(F.struct(head.alias("head"), text.alias("text")), lambda y: _function(x, y["head"], y["text"], toks))
 
 
@@ -213,7 +223,7 @@ CJS_OBJECT = rf"(?<![^\n])module\.exports\s*=\s*{CURLY}"
 EXPORT = (
     rf"{EDGE}export\s+default\s+(?:(?:async\s+)?function\s*\*?\s*[\w$]*|(?:abstract\s+)?class\b\s*[\w$]*|[^\n]*)"
     rf"|{EDGE}export\s+(?:declare\s+|abstract\s+|async\s+)*(?:function\s*\*?\s*|class\s+|interface\s+|type\s+|enum\s+){NAME}"
-    rf"|{EDGE}export\s+(?:const|let|var)\s+[^;\n]*"
+    rf"|{EDGE}export\s+(?:const|let|var)\s+(?:,\s*+|=>|{STRING}|{ROUND}|{CURLY}|{SQUARE}|{ANGLE}|[^;\n(){{}}\[\]<>]|[<>])*+"
     rf"|{EDGE}export\s*(?:type\s*)?\{{[^}}]*\}}"
     rf"|{CJS_ONE}|{CJS_OBJECT}"
 )
@@ -380,7 +390,7 @@ def hooks(code: Column) -> Column:
     def one(name: Column, args: Column) -> Column:
         parts = pieces(F.regexp_replace(args, r"\A\(|\)\z", ""))
         return F.struct(name.alias("name"), F.transform(parts, lambda a: F.when(
-            F.length(a) > ARG_CAP, F.concat(F.left(a, F.lit(ARG_CAP)), F.lit("…"))).otherwise(a)).alias("args"))
+            F.length(a) > ARG_CAP, F.concat(F.left(said(a), F.lit(ARG_CAP)), F.lit("…"))).otherwise(said(a))).alias("args"))
 
     text = having(code, "use")
     return F.zip_with(extract_all(text, HOOK, 1), extract_all(text, HOOK, 2), one)
@@ -436,8 +446,8 @@ def responses(body: Column) -> Column:
     """ARRAY<STRUCT<status, shape>> by status; the first shape seen for a status counts."""
     def one(status: Column, args: Column) -> Column:
         first = F.get(pieces(F.regexp_replace(args, r"\A\(|\)\z", "")), F.lit(0))
-        return F.struct(F.when(status.rlike(r"\A[0-9]{1,9}\s*\z"), trim(status)).otherwise("200").cast("int").alias("status"),
-                        F.left(F.regexp_replace(F.coalesce(first, F.lit("")), r"\s+", " "), F.lit(SHAPE_CAP)).alias("shape"))
+        return F.struct(F.coalesce(F.when(status.rlike(r"\A[0-9]+\s*\z"), trim(status)).try_cast("int"), F.lit(200)).alias("status"),
+                        F.left(F.regexp_replace(said(F.coalesce(first, F.lit(""))), r"\s+", " "), F.lit(SHAPE_CAP)).alias("shape"))
 
     found = F.zip_with(extract_all(body, RESPONSE, 1), extract_all(body, RESPONSE, 2), one)
     return bind(found, lambda rs: F.array_sort(F.filter(

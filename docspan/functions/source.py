@@ -13,14 +13,25 @@ NAME = r"[A-Za-z_$][\w$]*"
 EDGE = r"(?<![\w$.])"
 STRING = r"""(?:"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\[\s\S]|[^`\\])*+`)"""
 COMMENT = r"(?://[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)"
-TOKEN = rf"""{STRING}|{COMMENT}|[^"'`/]++|[\s\S]"""
+#: A slash begins a pattern where a value may stand: after an operator, an opening bracket, a comma, or one of these words. After a
+#: name, a number or a closing bracket it divides; after an angle bracket it belongs to a tag.
+BEFORE_VALUE = r"(?<=(?:\A|[=(\[{,;:!?&|+*%~^-]|=>|(?<![\w$.])(?:return|typeof|case|in|of|do|else|void|delete|throw|yield|await))\s{0,40})"
+PATTERN = rf"(?:{BEFORE_VALUE}/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*+\]|[^/\\\[\n])++/[A-Za-z]*+)"
+TOKEN = rf"""{STRING}|{COMMENT}|{PATTERN}|[^"'`/]++|[\s\S]"""
 MARK, CUT, HEAD_END = "\x02", "\x01", "\x07"
 OPEN, OPENED, SHUT, CLOSED = "\x03", "\x04", "\x05", "\x06"
 #: Stand for braces that do not count: those in strings, and those below the levels that ``shallow`` keeps.
 QUIET = "\x0e\x0f"
+#: Stands before a further name of a list of declarations whose value is a function.
+ALSO = "\x10"
+#: Signs that mean something outside a pattern, and what stands for them inside one.
+SIGNS = "(){}[]<>\"'`,;=/"
+UNSAID = "".join(chr(0xE000 + k) for k in range(len(SIGNS)))
+#: Levels of brackets of one kind inside a pair, for the kinds that patterns have to balance.
+LEVELS = 12
 
 
-def nested(open_: str, close: str, depth: int = 6) -> str:
+def nested(open_: str, close: str, depth: int = LEVELS) -> str:
     """Inside of a bracket pair: anything, with pairs of the same kind balanced to ``depth`` levels. Brackets in
     strings do not count."""
     free = rf"""[^{open_}{close}"'`]++|{STRING}|["'`]"""
@@ -32,8 +43,8 @@ def nested(open_: str, close: str, depth: int = 6) -> str:
 
 ROUND = rf"\({nested(r'\(', r'\)')}\)"
 CURLY = rf"\{{{nested(r'\{', r'\}')}\}}"
-SQUARE = rf"\[{nested(r'\[', r'\]', 3)}\]"
-ANGLE = rf"<{nested('<', '>', 3)}>"
+SQUARE = rf"\[{nested(r'\[', r'\]')}\]"
+ANGLE = rf"<{nested('<', '>')}>"
 
 
 def piece(separators: str) -> str:
@@ -97,7 +108,7 @@ def leveled(text: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """Leveled or shallow text as it was."""
-    shown = F.translate(text, QUIET + HEAD_END + CUT, "{}")
+    shown = F.translate(text, QUIET + HEAD_END + CUT + ALSO, "{}")
     return F.regexp_replace(F.regexp_replace(shown, rf"{OPEN}\d+{OPENED}", "{"), rf"{SHUT}\d+{CLOSED}", "}")
 
 
@@ -128,8 +139,13 @@ def newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
+def said(text: Column) -> Column:
+    """Text as it was, with the signs inside patterns."""
+    return F.translate(text, UNSAID, SIGNS)
+
+
 def tokens(content: Column) -> Column:
-    """Strings, comments and the text between them, in order."""
+    """Strings, comments, patterns and the text between them, in order."""
     return extract_all(F.regexp_replace(F.coalesce(content, F.lit("")), "\r\n", "\n"), TOKEN)
 
 
@@ -137,11 +153,16 @@ def is_comment(token: Column) -> Column:
     return token.startswith("//") | token.startswith("/*")
 
 
+def is_pattern(token: Column) -> Column:
+    """A slash that divides is a token of its own; a pattern has at least three characters."""
+    return token.startswith("/") & (F.length(token) > 1) & ~is_comment(token)
+
+
 def marked_code(toks: Column) -> Column:
-    """The text with each comment replaced by a numbered mark and the line ends it held."""
+    """The text with each comment replaced by a numbered mark and the line ends it held, and without signs in patterns."""
     def one(t: Column, i: Column) -> Column:
         mark = F.concat(F.lit(MARK), i.cast("string"), F.lit(MARK), F.regexp_replace(t, r"[^\n]", ""))
-        return F.when(is_comment(t), mark).otherwise(t)
+        return F.when(is_comment(t), mark).when(is_pattern(t), F.translate(t, SIGNS, UNSAID)).otherwise(t)
 
     return F.array_join(F.transform(toks, one), "")
 
@@ -152,8 +173,8 @@ def clean_code(marked: Column) -> Column:
 
 
 def masked_code(toks: Column) -> Column:
-    """The text without comments and string contents, for counting brackets."""
-    return F.array_join(F.transform(toks, lambda t: F.when(is_comment(t) | t.rlike(rf"\A{STRING}\z"), "").otherwise(t)), "")
+    """The text without comments, patterns and string contents, for counting brackets."""
+    return F.array_join(F.transform(toks, lambda t: F.when(is_comment(t) | is_pattern(t) | t.rlike(rf"\A{STRING}\z"), "").otherwise(t)), "")
 
 
 def comment_value(raw: Column) -> Column:

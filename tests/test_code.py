@@ -232,3 +232,50 @@ def test_texts_without_partners_for_their_braces(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("l", S.leveled(F.col("t")))
     rows = df.select("t", S.plain(F.col("l")).alias("again"), S.plain(S.shallow(F.col("l"))).alias("shallow")).collect()
     assert all(r.again == r.t and r.shallow == r.t for r in rows)
+
+
+def of_text(spark, text, name="a.ts"):
+    return C.with_signatures(C.code_facts(spark.createDataFrame([(1, name, text)], "file_id int, file_name string, content string"))).first()
+
+
+def test_every_function_of_a_declaration_list(spark):
+    text = ("export const one = (x: number): number => x, /* twice */\n  two = async (y) => { throw y; },\n  limit = 3, three = function (z = f(1, 2)) { return z; };\n"
+            "let n = g(1, h = (k) => k), plain = 4\nconst last = (q) => q\nfor (let i = 0, m = list.length; i < m; i++) { const deep = () => i, deeper = () => m; }\n")
+    row = of_text(spark, text)
+    got = [(f.name, f.kind, f.is_async, f.exported, f.line, [p.name for p in f.params], f.throws) for f in row.functions]
+    assert got == [
+        ("one", "arrow", False, True, 1, ["x"], []), ("two", "arrow", True, True, 2, ["y"], ["y"]), ("three", "function", False, True, 3, ["z"], []),
+        ("last", "arrow", False, False, 5, ["q"], []), ("deep", "arrow", False, False, 6, [], []), ("deeper", "arrow", False, False, 6, [], []),
+    ]
+    assert [(e.name, e.kind) for e in row.exports] == [("one", "variable"), ("two", "variable"), ("limit", "variable"), ("three", "variable")]
+
+
+@pytest.mark.parametrize("depth", [1, 3, 6, 9, 12])
+def test_brackets_of_every_kind_nest(spark, depth):
+    calls, lists = "f(" * depth + "1, 2" + ")" * depth, "[" * depth + "1, 2" + "]" * depth
+    generic = "Map<string, " * (depth - 1) + "Set<number>" + ">" * (depth - 1)
+    text = f"export function deep(a = {calls}, b = {lists}, c: {generic}, d?: string): {generic} {{ return a; }}\nexport const arrow = (x = {calls}) => x;\n"
+    row = of_text(spark, text)
+    assert [(f.name, [(p.name, p.optional) for p in f.params]) for f in row.functions] == [
+        ("deep", [("a", True), ("b", True), ("c", False), ("d", True)]), ("arrow", [("x", True)])]
+    assert [e.name for e in row.entries] == ["deep", "arrow"]
+    good, bad = C.quarantine(spark.createDataFrame([(1, "a.ts", text), (2, "b.ts", text + "(")], "file_id int, file_name string, content string"))
+    assert [r.file_id for r in good.collect()] == [1] and [r.file_id for r in bad.collect()] == [2]
+
+
+@pytest.mark.parametrize("literal", [r"/[{]/", r"/\//g", r"/[/'\"]+(/", "/`/", r"/a{2,}\(/i"])
+def test_patterns_are_no_code(spark, literal):
+    text = (f"export function strip(s) {{ const r = {literal}; return s.replace({literal}, '') || {literal}.test(s) ? a / b : c / (d); }}\n"
+            f"export const half = (n) => n / 2, rest = (m) => m / 3;\nuseEffect({literal}, [a / b]);\n")
+    files = spark.createDataFrame([(1, "a.ts", text)], "file_id int, file_name string, content string")
+    good, bad = C.quarantine(files)
+    assert good.count() == 1 and bad.count() == 0
+    row = C.code_facts(files).first()
+    assert [(f.name, f.line) for f in row.functions] == [("strip", 1), ("half", 2), ("rest", 2)]
+    assert [h.args for h in row.hooks] == [[literal, "[a / b]"]]
+
+
+def test_tags_are_no_patterns(spark):
+    text = "export function View() {\n  return <A\n    b={1}\n  /> && <B c={x / 2} /><C /> && <i>it</i>;\n}\nexport function next(a) { return a; }\n"
+    row = of_text(spark, text, "v.tsx")
+    assert [f.name for f in row.functions] == ["View", "next"] and set(row.jsx_elements) >= {"A", "B", "C", "i"}
