@@ -20,7 +20,7 @@ SELECT c_nationkey AS project_id, c_custkey AS user_id, c_name AS login,
 FROM customer JOIN (SELECT c_nationkey AS nk, min(c_custkey) AS first_key FROM customer GROUP BY c_nationkey) f ON c_nationkey = nk"""
 
 FIXTURES["fx_documents"] = """
-SELECT doc_id, doc_id % 25 AS project_id, replace(substr(text, 1, 40), chr(10), ' ') AS title, text AS content FROM documents"""
+SELECT doc_id, doc_id % 25 AS project_id, split_part(text, chr(10), 1) AS title, text AS content FROM documents"""
 
 FIXTURES["fx_saves"] = """
 SELECT o_custkey AS doc_id, o_orderkey AS event_id, o_orderdate AS saved_at, o_orderkey % 5 AS author_id,
@@ -75,7 +75,7 @@ SELECT p_partkey AS file_id,
 FROM part"""
 
 FIXTURES["fx_markdown"] = """
-SELECT doc_id, concat('# ', replace(substr(text, 1, 20), chr(10), ' '), chr(10), chr(10), '> quoted', chr(10), '- one', chr(10), '- two', chr(10),
+SELECT doc_id, concat('# ', split_part(text, chr(10), 1), chr(10), chr(10), '> quoted', chr(10), '- one', chr(10), '- two', chr(10),
   chr(10), '| h | k |', chr(10), '| --- | --- |', chr(10), '| a | b |', chr(10), '---', chr(10), '```js', chr(10), 'x', chr(10), '```', chr(10),
   '### fn', cast(doc_id AS string), chr(10), text) AS content
 FROM documents"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspan.functions.text import truthy
+from docspan.operators.skew import HOT_ROWS, salted_join
 
 ROLES = ["owner", "editor"]
 
@@ -46,31 +47,32 @@ def audit_access(requests: DataFrame, docs: DataFrame, roles: DataFrame) -> Data
     return asked.select(*requests.columns, outcome.alias("outcome"))
 
 
-def resolve_identities(profiles: DataFrame, users: DataFrame) -> DataFrame:
-    """User behind each outside profile: by profile id, else by e-mail, else a new account."""
+def resolve_identities(profiles: DataFrame, users: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """User behind each outside profile: by profile id, else by e-mail, else a new account. Profiles without an id or an address
+    stay where they are; ids and addresses that very many share are joined in slices."""
     by_id = users.filter(F.col("github_id").isNotNull()).groupBy("github_id").agg(F.min("user_id").alias("_by_id"))
     by_email = users.filter(truthy(F.col("email")).isNotNull()).groupBy(F.lower("email").alias("_email")).agg(F.min("user_id").alias("_by_email"))
-    joined = (profiles.join(by_id, "github_id", "left")
-              .join(by_email, F.lower(truthy(profiles["email"])) == F.col("_email"), "left"))
+    rows, keyed = profiles.count(), profiles.withColumn("_email", F.lower(truthy(F.col("email"))))
+    joined = salted_join(salted_join(keyed, by_id, ["github_id"], "left", hot_rows, rows), by_email, ["_email"], "left", hot_rows, rows)
     user = F.coalesce("_by_id", "_by_email")
     action = F.when(F.col("_by_id").isNotNull(), "found-by-github-id").when(F.col("_by_email").isNotNull(), "found-by-email").otherwise("created")
-    email = F.lower(F.coalesce(profiles["email"], F.concat(profiles["login"], F.lit("@users.noreply.github.com"))))
+    email = F.lower(F.coalesce("email", F.concat("login", F.lit("@users.noreply.github.com"))))
     return joined.select("github_id", "login", user.alias("user_id"), action.alias("action"),
                          F.when(user.isNull(), email).alias("new_email"))
 
 
-def resolve_invites(invites: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_invites(invites: DataFrame, users: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Members for (project_id, identifier) invitations and the invitations nobody matches. A login is matched
-    without case; an e-mail address is tried only for identifiers with an @ sign."""
+    without case; an e-mail address is tried only for identifiers with an @ sign. Identifiers that very many invitations share
+    are joined in slices, and those without an address stay where they are."""
     by_login = users.filter(truthy(F.col("github_login")).isNotNull()).groupBy(F.lower("github_login").alias("_login")).agg(
         F.min_by(F.struct("user_id", "github_login", "email"), "user_id").alias("_l"))
     by_email = users.filter(F.col("email").isNotNull()).groupBy(F.col("email").alias("_email")).agg(
         F.min_by(F.struct("user_id", "github_login", "email"), "user_id").alias("_e"))
     as_email = F.when(F.contains("identifier", F.lit("@")), F.lower("identifier"))
-    joined = (invites.withColumn("_as_email", as_email)
-              .join(by_login, F.lower("identifier") == F.col("_login"), "left")
-              .join(by_email, F.col("_as_email") == F.col("_email"), "left")
-              .withColumn("_u", F.coalesce("_l", "_e")))
+    rows, keyed = invites.count(), invites.withColumns({"_email": as_email, "_login": F.lower("identifier")})
+    joined = salted_join(salted_join(keyed, by_login, ["_login"], "left", hot_rows, rows), by_email, ["_email"], "left", hot_rows, rows)
+    joined = joined.withColumn("_u", F.coalesce("_l", "_e"))
     members = joined.filter(F.col("_u").isNotNull()).select(
         "project_id", "identifier", F.col("_u.user_id").alias("user_id"), F.coalesce("_u.github_login", "_u.email").alias("login"), F.lit("editor").alias("role"))
     return members, joined.filter(F.col("_u").isNull()).select("project_id", "identifier", F.lit("not_found").alias("error"))
@@ -103,13 +105,14 @@ def apply_membership(members: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def project_summary(projects: DataFrame, members: DataFrame, docs: DataFrame, roles: DataFrame) -> DataFrame:
-    """One row per (user, accessible project): document and member counts and the user's role. Counts are made
-    once per project, not once per user."""
+    """One row per (user, accessible project): document and member counts, the user's role, and when the project was last
+    changed, newest first. Counts are made once per project, not once per user."""
     doc_counts = docs.groupBy("project_id").agg(F.count("*").alias("doc_count"))
     member_counts = members.groupBy("project_id").agg(F.count("*").alias("member_count"))
     per_project = projects.join(doc_counts, "project_id", "left").join(member_counts, "project_id", "left").select(
-        "project_id", "project_name", F.coalesce("doc_count", F.lit(0)).alias("doc_count"), F.coalesce("member_count", F.lit(0)).alias("member_count"))
-    return roles.join(per_project, "project_id").select("user_id", "project_id", "project_name", "doc_count", "member_count", "role")
+        "project_id", "project_name", F.coalesce("doc_count", F.lit(0)).alias("doc_count"), F.coalesce("member_count", F.lit(0)).alias("member_count"), "updated_at")
+    listed = roles.join(per_project, "project_id").select("user_id", "project_id", "project_name", "doc_count", "member_count", "role", "updated_at")
+    return listed.orderBy("user_id", F.col("updated_at").desc(), "project_id")
 
 
 def feedback_summary(feedback: DataFrame, by: list[str] | None = None) -> DataFrame:

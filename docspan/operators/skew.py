@@ -62,7 +62,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     """Equi-join on columns that have the same names on both sides; ``how`` is inner or left, and ``left`` is the side that may
     be skewed (``rows`` its number of rows, if known).
 
-    Rows of hot keys are spread over slices of their key, and the right rows of these keys are repeated once per slice. Left
+    Rows of hot keys are spread over slices of their key by a hash of all their columns (so no column may be a map), which a
+    repeated task finds again, and the right rows of these keys are repeated once per slice. Left
     rows with a null in a key meet nothing: they stay where they are and never go to one task together. Columns beside the keys
     must have different names."""
     if how not in ("inner", "left"):
@@ -74,7 +75,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
         met = whole.join(right, keys, how)
     else:
         hot = F.broadcast(hot)
-        spread_left = whole.join(hot, keys, "left").withColumn("_slice", F.coalesce((F.rand() * F.col("_slices")).cast("int"), F.lit(0))).drop("_slices")
+        spread_left = whole.join(hot, keys, "left").withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_slices")).cast("int"), F.lit(0))).drop("_slices")
         copies = F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)).alias("_slice")
         spread_right = right.join(hot, keys, "left").select(*right.columns, copies)
         met = spread_left.join(spread_right, [*keys, "_slice"], how).drop("_slice")

@@ -43,6 +43,15 @@ GONE_SQL = "SELECT n_nationkey AS project_id FROM nation WHERE n_regionkey < 3"
 VERSIONS_SQL = "SELECT o_custkey AS doc_id FROM orders"
 NOTES_SQL = "SELECT doc_id % 25 AS project_id FROM documents"
 FILES_SQL = "SELECT p_partkey % 25 AS project_id FROM part"
+DATED_SQL = "SELECT project_id, project_name, owner_id, 1000 + (project_id * 7919) % 1013 AS updated_at FROM fx_projects"
+PROJECT_ROWS_SQL = """
+SELECT p_partkey AS record_id, CASE p_partkey % 7 WHEN 0 THEN '  ' WHEN 1 THEN repeat(p_name, 6) WHEN 2 THEN NULL ELSE p_name END AS project_name,
+  CASE p_partkey % 5 WHEN 0 THEN repeat('d', 1001) WHEN 1 THEN concat(repeat('d', 1000), '  ') ELSE NULL END AS description FROM part"""
+VERSION_ROWS_SQL = "SELECT o_orderkey AS record_id, CASE o_orderkey % 9 WHEN 0 THEN repeat('m', 281) WHEN 1 THEN concat(repeat('m', 279), '  ') WHEN 2 THEN NULL ELSE o_orderpriority END AS message FROM orders"
+DOCUMENT_ROWS_SQL = "SELECT doc_id AS record_id, CASE doc_id % 3 WHEN 0 THEN title ELSE concat(' ', title, ' ') END AS title FROM fx_documents"
+COMMIT_ROWS_SQL = """
+SELECT l_orderkey * 10 + l_linenumber AS record_id, CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE l_shipmode END AS branch,
+  CASE l_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN repeat('c', 281) ELSE l_returnflag END AS message FROM lineitem"""
 LEAVERS_SQL = "SELECT c_custkey AS user_id FROM customer WHERE c_mktsegment = 'BUILDING'"
 STAGED_SQL = "SELECT p_type AS file_key, p_partkey AS seq, p_name AS name, p_size AS size FROM part"
 SIGNUPS_SQL = """
@@ -94,7 +103,7 @@ def membership_changes(spark, sf):
 
 def project_summaries(spark, sf):
     members = sql_input(spark, sf, MEMBERS_SQL)
-    return A.project_summary(fixture(spark, sf, "fx_projects"), members, sql_input(spark, sf, DOCS_SQL), _roles(spark, sf))
+    return A.project_summary(sql_input(spark, sf, DATED_SQL), members, sql_input(spark, sf, DOCS_SQL), _roles(spark, sf))
 
 
 def feedback_overall(spark, sf):
@@ -146,6 +155,22 @@ def rejected_users(spark, sf):
     return _bad(spark, sf, SIGNUPS_SQL, "users")
 
 
+def rejected_projects(spark, sf):
+    return _bad(spark, sf, PROJECT_ROWS_SQL, "projects")
+
+
+def rejected_versions(spark, sf):
+    return _bad(spark, sf, VERSION_ROWS_SQL, "versions")
+
+
+def rejected_documents(spark, sf):
+    return _bad(spark, sf, DOCUMENT_ROWS_SQL, "documents")
+
+
+def rejected_commits(spark, sf):
+    return _bad(spark, sf, COMMIT_ROWS_SQL, "commits")
+
+
 def rejected_feedback(spark, sf):
     return _bad(spark, sf, RATINGS_SQL, "feedback")
 
@@ -166,6 +191,7 @@ QUERIES = {f.__name__: f for f in (
     effective_roles, accessible_documents, access_audit, identity_resolution, invite_resolution, invite_errors, branch_resolution,
     membership_changes, project_summaries, feedback_overall, feedback_by_document, cascade_impact, cascade_documents,
     account_removal_plan, duplicate_emails, duplicate_version_keys, title_search, staged_files, author_names, rejected_users,
+    rejected_projects, rejected_versions, rejected_documents, rejected_commits,
     rejected_feedback, accepted_feedback, generation_requests, repository_tree)}
 
 _ROLES = f"""
@@ -207,7 +233,7 @@ FROM fx_members m FULL JOIN last l ON l.project_id = m.project_id AND l.user_id
 WHERE l.action IS NULL OR l.action = 'add' OR (m.role = 'owner' AND NOT l.ever_added)""",
     "project_summaries": _ROLES + f"""
 SELECT r.user_id, p.project_id, p.project_name, (SELECT count(*) FROM ({DOCS_SQL}) d WHERE d.project_id = p.project_id) AS doc_count,
-  (SELECT count(*) FROM m WHERE m.project_id = p.project_id) AS member_count, r.role FROM roles r JOIN fx_projects p ON p.project_id = r.project_id""",
+  (SELECT count(*) FROM m WHERE m.project_id = p.project_id) AS member_count, r.role, p.updated_at FROM roles r JOIN ({DATED_SQL}) p ON p.project_id = r.project_id""",
     "feedback_overall": "SELECT count(*) AS count, coalesce(round(avg(rating), 2), 0) AS average FROM fx_feedback",
     "feedback_by_document": "SELECT doc_id, count(*) AS count, coalesce(round(avg(rating), 2), 0) AS average FROM fx_feedback GROUP BY doc_id",
     "cascade_impact": f"""
@@ -229,6 +255,17 @@ SELECT record_id, concat_ws('; ', a, b) AS errors FROM (
   SELECT record_id, CASE WHEN length(trim(full_name)) < 2 THEN 'full_name: Enter your full name' WHEN length(trim(full_name)) > 120 THEN 'full_name: String must contain at most 120 character(s)' END AS a,
     CASE WHEN email IS NULL OR contains(email, '..') OR NOT regexp_full_match(email, '[A-Za-z0-9_.+-]+@([A-Za-z0-9-]+\\.)+[A-Za-z]+') THEN 'email: Enter a valid email address' END AS b
   FROM ({SIGNUPS_SQL})) WHERE a IS NOT NULL OR b IS NOT NULL""",
+    "rejected_projects": f"""
+SELECT record_id, concat_ws('; ', a, b) AS errors FROM (
+  SELECT record_id, CASE WHEN length(trim(coalesce(project_name, ''))) < 1 THEN 'project_name: Project name is required' WHEN length(trim(project_name)) > 140 THEN 'project_name: String must contain at most 140 character(s)' END AS a,
+    CASE WHEN length(trim(description)) > 1000 THEN 'description: String must contain at most 1000 character(s)' END AS b FROM ({PROJECT_ROWS_SQL})) WHERE a IS NOT NULL OR b IS NOT NULL""",
+    "rejected_versions": f"SELECT record_id, 'message: String must contain at most 280 character(s)' AS errors FROM ({VERSION_ROWS_SQL}) WHERE length(message) > 280",
+    "rejected_documents": rf"SELECT record_id, 'title: String must contain at most 200 character(s)' AS errors FROM ({DOCUMENT_ROWS_SQL}) WHERE length(regexp_replace(title, '^\s+|\s+$', '', 'g')) > 200",
+    "rejected_commits": f"""
+SELECT record_id, concat_ws('; ', a, b) AS errors FROM (
+  SELECT record_id, CASE WHEN coalesce(length(branch), 0) < 1 THEN 'branch: String must contain at least 1 character(s)' END AS a,
+    CASE WHEN coalesce(length(message), 0) < 1 THEN 'message: String must contain at least 1 character(s)' WHEN length(message) > 280 THEN 'message: String must contain at most 280 character(s)' END AS b
+  FROM ({COMMIT_ROWS_SQL})) WHERE a IS NOT NULL OR b IS NOT NULL""",
     "rejected_feedback": f"""
 SELECT record_id, concat_ws('; ', a, b) AS errors FROM (
   SELECT record_id, CASE WHEN rating IS NULL THEN 'rating: Required' WHEN rating < 1 THEN 'rating: Number must be greater than or equal to 1' WHEN rating > 5 THEN 'rating: Number must be less than or equal to 5' END AS a,

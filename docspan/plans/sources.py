@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspan.functions import text as X
+from docspan.operators.storage import new_path
 from docspan.plans.inputs import fixture, spread, sql_input
 from docspan.sources import collections as C
 from docspan.sources import manifest as M
+from docspan.sources import packed as P
 
 AS_OF = "1998-08-02 12:00:00"
 REPOS_SQL = """
@@ -19,6 +21,18 @@ _ENTRY = """concat('{"doc_path": "docs/', lower(p_brand), '.md", "sources": [{"r
 MANIFESTS_SQL = f"""
 SELECT p_partkey AS manifest_id, CASE p_partkey % 4 WHEN 0 THEN '{{"not": "an array"}}' WHEN 1 THEN 'broken [' ELSE concat('[', {_ENTRY}, ', ',
   '{{"doc_path": "docs/empty.md", "sources": [], "version": 1}}]') END AS json FROM part"""
+SCANNED_FILES_SQL = """
+SELECT replace(p_brand, '#', '-') AS brand, p_partkey AS file_id, CASE p_partkey % 5 WHEN 0 THEN '' ELSE replace(content, chr(10), ' ') END AS value
+FROM part JOIN fx_source_files ON file_id = p_partkey"""
+_USER_LINE = """concat('{"user_id": "', cast(c_custkey AS string), '", "full_name": "', c_name, '", "email": "u', cast(c_custkey AS string), '@example.com", "github_id": null}')"""
+USER_LINES_SQL = f"SELECT c_nationkey AS part, CASE WHEN c_custkey % 7 = 0 THEN substr({_USER_LINE}, 1, 30) ELSE {_USER_LINE} END AS value FROM customer"
+_MANIFEST_LINE = """concat('{"doc_path": "docs/', cast(p_partkey AS string), '.md", "sources": [', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('{"path": "src/', cast(p_partkey AS string),
+  '.ts", "commit_sha": "a', cast(p_size AS string), '"}') END, '], "version": ', cast(p_size AS string), '}')"""
+# Even parts hold one entry a line, some of them cut; odd parts are one array over several lines, every fifth of them cut.
+MANIFEST_LINES_SQL = f"""
+SELECT p_partkey % 20 AS part, p_partkey AS entry, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN substr({_MANIFEST_LINE}, 1, 25) ELSE {_MANIFEST_LINE} END
+  ELSE concat(CASE WHEN p_partkey < 20 THEN '[' ELSE ',' END, {_MANIFEST_LINE}) END AS value FROM part
+UNION ALL SELECT k, 1000000000000, CASE WHEN k = 5 THEN '' ELSE ']' END FROM (SELECT DISTINCT p_partkey % 20 AS k FROM part) t WHERE k % 2 = 1"""
 OLD_ENTRIES_SQL = "SELECT concat('docs/', cast(p_partkey AS string), '.md') AS doc_path, p_size AS version, p_partkey AS entry_no FROM part"
 NEW_ENTRIES_SQL = "SELECT concat('docs/', cast(p_partkey * 3 AS string), '.md') AS doc_path, 99 AS version, p_partkey AS entry_no FROM part"
 BOUND_DOCS_SQL = """
@@ -35,12 +49,68 @@ def source_file_types(spark, sf):
     return fixture(spark, sf, "fx_source_files").select("file_id", "file_name", C.file_type(F.col("file_name")).alias("file_type"))
 
 
+def source_file_scan(spark, sf):
+    """The files of every brand written as text files, with an empty and a cut one a brand, and scanned again by name."""
+    files = sql_input(spark, sf, SCANNED_FILES_SQL)
+    path = new_path(spark, "files")
+    files.repartition("brand").sortWithinPartitions("brand", "file_id").select("brand", "value").write.partitionBy("brand").text(path)
+    scanned = C.read_source_files(spark, path, "part-*.txt")
+    return scanned.select(F.regexp_extract("file_path", "brand=([^/]*)", 1).alias("brand"), "file_type", F.col("file_size").alias("n_bytes"), F.sha2("content", 256).alias("content_sha"))
+
+
+def user_scan(spark, sf):
+    """Users as JSON lines, every seventh cut off in the middle, among files that a scan by name leaves out."""
+    path = new_path(spark, "users")
+    lines = sql_input(spark, sf, USER_LINES_SQL)
+    lines.select("part", "value").repartition("part").write.partitionBy("part").text(path)
+    lines.filter("FALSE").select("value").coalesce(1).write.text(f"{path}/empty")
+    rows = C.scan(spark, "users", path, "part-*.txt")
+    return rows.select(F.coalesce("user_id", F.lit("—")).alias("user_id"), F.coalesce("email", F.lit("—")).alias("email"), F.coalesce(C.MALFORMED, F.lit("—")).alias("malformed"))
+
+
+def _manifest_files(spark, sf):
+    path = new_path(spark, "manifests")
+    lines = sql_input(spark, sf, MANIFEST_LINES_SQL)
+    lines.repartition("part").sortWithinPartitions("part", "entry").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+def manifest_scan(spark, sf):
+    """Entries of files in both forms: one entry a line, and one array a file."""
+    rows = M.read_manifest(spark, _manifest_files(spark, sf), glob="part-*")
+    return rows.select("doc_path", "version", F.coalesce("path", F.lit("—")).alias("path"), F.coalesce("commit_sha", F.lit("—")).alias("commit_sha"))
+
+
+def manifest_scan_errors(spark, sf):
+    return M.manifest_errors(spark, _manifest_files(spark, sf), glob="part-*").select(F.col("line_no").cast("int").alias("line_no"), F.regexp_replace("text", r"\s+\z", "").alias("text"))
+
+
 def documentable_nodes(spark, sf):
     return C.documentable(fixture(spark, sf, "fx_repo_tree"))
 
 
 def repository_page(spark, sf):
-    return C.list_repos(sql_input(spark, sf, REPOS_SQL), "ORG1", page=2, per_page=4).select("id", "full_name", "has_more")
+    return C.list_repos(sql_input(spark, sf, REPOS_SQL), "ORG", page=2, per_page=4).select("id", "full_name", "has_more")
+
+
+def repository_first_page(spark, sf):
+    """The search leaves out rows of the page; the page itself does not change."""
+    return C.list_repos(sql_input(spark, sf, REPOS_SQL), "1/", page=1, per_page=50).select("id", "full_name", "has_more")
+
+
+def packed_export(spark, sf):
+    """All documents written as packs and read back through their byte ranges."""
+    path = new_path(spark, "packed")
+    P.export_packed(fixture(spark, sf, "fx_documents"), path)
+    return P.read_packed(spark, path).select("doc_id", "slug", F.sha2("content", 256).alias("content_sha"))
+
+
+def packed_documents(spark, sf):
+    """Documents of the customers' ids, read from several packs."""
+    path = new_path(spark, "packed")
+    P.export_packed(fixture(spark, sf, "fx_documents"), path, packs=5)
+    wanted = sql_input(spark, sf, "SELECT c_custkey AS doc_id FROM customer")
+    return P.read_packed(spark, path, wanted).select("doc_id", F.length("content").cast("bigint").alias("n_chars"), F.sha2("content", 256).alias("content_sha"))
 
 
 def repository_search(spark, sf):
@@ -128,7 +198,7 @@ def repository_names(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    source_file_types, documentable_nodes, repository_page, repository_search, manifest_sources, snapshot_contents, manifest_upsert,
+    source_file_types, source_file_scan, user_scan, manifest_scan, manifest_scan_errors, documentable_nodes, repository_page, repository_first_page, repository_search, packed_export, packed_documents, manifest_sources, snapshot_contents, manifest_upsert,
     manifest_rows, export_index, slug_collisions, document_slugs, mirrored_paths, short_digests, relative_times, plain_text,
     document_titles, file_languages, capped_texts, repository_names)}
 
@@ -144,10 +214,29 @@ def _mirror(c: str) -> str:
 
 ORACLES = {
     "source_file_types": "SELECT file_id, file_name, regexp_extract(file_name, '[^.]*$') AS file_type FROM fx_source_files",
+    "source_file_scan": f"""
+SELECT brand, 'txt' AS file_type, cast(strlen(t) AS bigint) AS n_bytes, sha256(t) AS content_sha
+FROM (SELECT brand, string_agg(value || chr(10), '' ORDER BY file_id) AS t FROM ({SCANNED_FILES_SQL}) GROUP BY brand)""",
+    "user_scan": f"""
+SELECT CASE WHEN c_custkey % 7 = 0 THEN '—' ELSE cast(c_custkey AS varchar) END AS user_id, CASE WHEN c_custkey % 7 = 0 THEN '—' ELSE concat('u', c_custkey, '@example.com') END AS email,
+  CASE WHEN c_custkey % 7 = 0 THEN substr({_USER_LINE}, 1, 30) ELSE '—' END AS malformed FROM customer""",
+    "manifest_scan": """
+SELECT concat('docs/', p_partkey, '.md') AS doc_path, p_size AS version, CASE WHEN p_partkey % 4 = 0 THEN '—' ELSE concat('src/', p_partkey, '.ts') END AS path,
+  CASE WHEN p_partkey % 4 = 0 THEN '—' ELSE concat('a', p_size) END AS commit_sha
+FROM part WHERE CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 3 <> 0 ELSE p_partkey % 20 <> 5 END""",
+    "manifest_scan_errors": f"""
+WITH l AS ({MANIFEST_LINES_SQL}), n AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY entry) AS line_no FROM l)
+SELECT cast(line_no AS int) AS line_no, value AS text FROM n WHERE part % 2 = 0 AND entry % 3 = 0
+UNION ALL SELECT 0, regexp_replace(string_agg(value, chr(10) ORDER BY entry), '\\s+$', '') FROM l WHERE part = 5 GROUP BY part""",
     "documentable_nodes": r"SELECT path, type FROM fx_repo_tree WHERE type = 'dir' OR regexp_matches(path, '(?i)\.(jsx?|tsx?|mdx?)$')",
     "repository_page": f"""
 SELECT id, full_name, has_more FROM (SELECT *, (count(*) OVER ()) = 4 AS has_more FROM (SELECT * FROM ({REPOS_SQL}) ORDER BY updated_at DESC, full_name LIMIT 4 OFFSET 4))
-WHERE contains(lower(full_name), 'org1')""",
+WHERE contains(lower(full_name), 'org')""",
+    "repository_first_page": f"""
+SELECT id, full_name, has_more FROM (SELECT *, (count(*) OVER ()) = 50 AS has_more FROM (SELECT * FROM ({REPOS_SQL}) ORDER BY updated_at DESC, full_name LIMIT 50))
+WHERE contains(lower(full_name), '1/')""",
+    "packed_export": f"SELECT doc_id, {_slug('title')} AS slug, sha256(coalesce(content, '')) AS content_sha FROM fx_documents",
+    "packed_documents": "SELECT doc_id, length(coalesce(content, '')) AS n_chars, sha256(coalesce(content, '')) AS content_sha FROM fx_documents WHERE doc_id IN (SELECT c_custkey FROM customer)",
     "repository_search": f"SELECT id, full_name, false AS has_more FROM ({REPOS_SQL}) WHERE contains(lower(name), '1') OR contains(lower(coalesce(description, '')), '1')",
     "manifest_sources": """
 SELECT p_partkey AS manifest_id, 0 AS entry_no, concat('docs/', lower(p_brand), '.md') AS doc_path, concat('src/', p_partkey, '.ts') AS path, concat('a', p_size) AS commit_sha, p_size AS version

@@ -44,6 +44,38 @@ def streamed_versions(spark, sf):
     return J.read_versions(spark, store).select("doc_id", "event_id", "version_no", "source", "message")
 
 
+# Fixed dates that cut the given tables' years and month.
+SAVE_CUTS = ("1994-06-01", "1996-06-01")
+FEEDBACK_CUT = "2024-01-15"
+
+
+def streamed_version_batches(spark, sf):
+    """The same log in three batches, each arriving when the one before is stored."""
+    saves = _saves(spark.read.parquet(f"{sf}/orders.parquet"))
+    folder, store, log = (new_path(spark, n) for n in ("saves-in", "versions", "versions-log"))
+    at, bounds, own = F.col("saved_at").cast("timestamp"), (None, *SAVE_CUTS, None), stream_session(spark)
+    for low, high in zip(bounds, bounds[1:]):
+        part = saves.filter((F.lit(low is None) | (at >= F.lit(low).cast("timestamp"))) & (F.lit(high is None) | (at < F.lit(high).cast("timestamp"))))
+        part.write.mode("append").parquet(folder)
+        J.stream_versions(own.readStream.schema(saves.schema).parquet(folder), store, log).awaitTermination()
+    return J.read_versions(spark, store).select("doc_id", "event_id", "version_no", "source", "message")
+
+
+def streamed_windows(spark, sf):
+    """Closed windows over two batches. The second brings some rows of the first half again under new ids, too late for all days
+    but the last of that half: the watermark leaves them out."""
+    events = _feedback(spark.read.parquet(f"{sf}/events.parquet")).withColumn("at", F.col("at").cast("timestamp"))
+    first = F.col("at") < F.lit(FEEDBACK_CUT).cast("timestamp")
+    again = events.filter(first & (F.col("event_id") % 7 == 0)).withColumn("event_id", -F.col("event_id") - 1)
+    folder, store, log = (new_path(spark, n) for n in ("feedback-in", "windows", "windows-log"))
+    own = stream_session(spark)
+    for part in (events.filter(first), events.filter(~first).unionByName(again)):
+        part.write.mode("append").parquet(folder)
+        J.stream_windows(own.readStream.schema(events.schema).parquet(folder), store, log).awaitTermination()
+    closed = spark.read.schema("window_start timestamp, doc_id bigint, count bigint, average double").parquet(store)
+    return closed.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "doc_id", "count", "average")
+
+
 def streamed_drift(spark, sf):
     """Every part is a push of the file it names."""
     f = (F.col("p_partkey") % 97)
@@ -74,9 +106,18 @@ def feedback_windows(spark, sf):
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "doc_id", "count", "average")
 
 
-QUERIES = {f.__name__: f for f in (streamed_versions, streamed_drift, streamed_feedback, feedback_windows)}
+QUERIES = {f.__name__: f for f in (streamed_versions, streamed_version_batches, streamed_drift, streamed_feedback, streamed_windows, feedback_windows)}
+_NUMBERED_SQL = "SELECT doc_id, event_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY saved_at, event_id) AS int) AS version_no, source, message FROM fx_saves"
 ORACLES = {
-    "streamed_versions": "SELECT doc_id, event_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY saved_at, event_id) AS int) AS version_no, source, message FROM fx_saves",
+    "streamed_version_batches": _NUMBERED_SQL,
+    "streamed_windows": f"""
+WITH timed AS (SELECT doc_id, event_id, rating, cast("at" AS timestamp) AS t, date_trunc('day', cast("at" AS timestamp)) AS d FROM fx_feedback),
+first_half AS (SELECT * FROM timed WHERE t < TIMESTAMP '{FEEDBACK_CUT}'),
+in_time AS (SELECT * FROM first_half WHERE event_id % 7 = 0 AND d + INTERVAL 1 DAY > (SELECT max(t) - INTERVAL 1 HOUR FROM first_half)),
+seen AS (SELECT * FROM timed UNION ALL SELECT * FROM in_time)
+SELECT strftime(d, '%Y-%m-%d') AS day, doc_id, count(*) AS count, round(avg(rating), 2) AS average FROM seen
+WHERE d + INTERVAL 1 DAY <= (SELECT max(t) - INTERVAL 1 HOUR FROM timed) GROUP BY ALL""",
+    "streamed_versions": _NUMBERED_SQL,
     "streamed_drift": DR._STATES + "SELECT * FROM docs",
     "streamed_feedback": "SELECT doc_id, count(*) AS count, round(avg(rating), 2) AS average FROM fx_feedback GROUP BY doc_id",
     "feedback_windows": "SELECT strftime(\"at\", '%Y-%m-%d') AS day, doc_id, count(*) AS count, round(avg(rating), 2) AS average FROM fx_feedback GROUP BY ALL",

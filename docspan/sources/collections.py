@@ -16,16 +16,33 @@ def load(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> Dat
     return spark.read.format(fmt).schema(schema(name)).load(path)
 
 
+#: Column of a scan that holds the text of records that could not be read.
+MALFORMED = "malformed_record"
+
+
+def scan(spark: SparkSession, name: str, path: str, glob: str = "*", fmt: str = "json") -> DataFrame:
+    """Records of a collection in text files (JSON lines or CSV) under a folder, under its declared schema, with the file's path,
+    size and time of change. A record that does not fit has nulls and its text in ``malformed_record``; empty files have no
+    records. Files and folders are chosen by name before any is opened."""
+    columns = schema(name).add(MALFORMED, "string")
+    read = spark.read.format(fmt).schema(columns).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
+    files = read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return files.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"),
+                        F.col("_metadata.file_modification_time").alias("file_changed_at"))
+
+
 def file_type(name: Column) -> Column:
     """Text after the last dot; the whole name when there is none."""
     return F.element_at(F.split(name, r"\.", -1), -1)
 
 
 def read_source_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row per text file under a folder."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
-    return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
-                        file_type(F.col("_metadata.file_name")).alias("file_type"), F.col("value").alias("content"))
+    """One row per text file under a folder that has any text: Spark's listing leaves empty files out. Names and sizes alone
+    are listed without reading a file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.col("path").alias("file_path"), name.alias("file_name"), file_type(name).alias("file_type"),
+                        F.decode("content", "UTF-8").alias("content"), F.col("length").alias("file_size"))
 
 
 def documentable(tree: DataFrame) -> DataFrame:

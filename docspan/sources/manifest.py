@@ -12,9 +12,13 @@ from docspan.schemas import MANIFEST_DDL
 GENERATOR = "docspan"
 
 
+def _is_array(text: Column) -> Column:
+    return text.rlike(r"\A\s*\[")
+
+
 def parse_manifest(json: Column) -> Column:
     """ARRAY of entries; anything that is not a JSON array has none."""
-    return F.when(F.ltrim(json).startswith("["), F.from_json(json, MANIFEST_DDL, {"mode": "PERMISSIVE"}))
+    return F.when(_is_array(json), F.from_json(json, MANIFEST_DDL, {"mode": "PERMISSIVE"}))
 
 
 def flatten(manifests: DataFrame, column: str = "json") -> DataFrame:
@@ -25,12 +29,40 @@ def flatten(manifests: DataFrame, column: str = "json") -> DataFrame:
                           F.explode_outer("e.sources").alias("s")).select("*", "s.*").drop("s")
 
 
-def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Entries of every file under ``path``: one JSON array a file, or with ``lines`` what ``write_manifest`` writes."""
-    json = F.col("value")
-    if lines:
-        json = F.concat(F.lit("["), F.regexp_replace(F.regexp_replace(json, r"\s+\z", ""), r"\r?\n", ","), F.lit("]"))
-    return flatten(spark.read.text(path, wholetext=True).select(json.alias("json")))
+def _line_entries(text: Column) -> Column:
+    """ARRAY<STRUCT<line_no, line, e>>: an entry for every line that holds one, null ``e`` for a line that cannot be read."""
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    filled = F.filter(lines, lambda x: x["line"].rlike(r"\S"))
+    # parsed as an array of one: a line that is cut off gives no entry
+    return F.transform(filled, lambda x: F.struct(x["line_no"], x["line"], F.when(x["line"].rlike(r'"doc_path"\s*:\s*"'), F.get(
+        F.from_json(F.concat(F.lit("["), x["line"], F.lit("]")), MANIFEST_DDL, {"mode": "PERMISSIVE"}), F.lit(0))).alias("e")))
+
+
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """file_path and text of every file; the text says which form the file has."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+
+
+def read_manifest(spark: SparkSession, path: str, lines: bool | None = None, glob: str = "*.*") -> DataFrame:
+    """Entries of every file under ``path``, with its ``file_path``: a file that begins with a bracket is one JSON array, any other
+    holds one entry a line, as ``write_manifest`` writes them. ``lines`` takes all files in that form."""
+    as_lines = ~_is_array(F.col("text")) if lines is None else F.lit(lines)
+    array = F.transform(parse_manifest(F.col("text")), lambda e, i: F.struct((i + 1).alias("line_no"), e.alias("e")))
+    listed = F.transform(_line_entries(F.col("text")), lambda x: F.struct(x["line_no"], x["e"]))
+    rows = with_position(_files(spark, path, glob), ["file_path"], F.when(as_lines, listed).otherwise(array), "x").filter("x.e.doc_path IS NOT NULL")
+    return rows.select("file_path", (F.col("x.line_no") - 1).alias("entry_no"), "x.e.doc_path", "x.e.generated_at", "x.e.generator", "x.e.author_login",
+                       "x.e.version", F.explode_outer("x.e.sources").alias("s")).select("*", "s.*").drop("s")
+
+
+def manifest_errors(spark: SparkSession, path: str, glob: str = "*.*") -> DataFrame:
+    """file_path, line_no and text of what cannot be read: lines without an entry, and whole files (line 0) that are a broken array."""
+    files = _files(spark, path, glob)
+    whole = F.array(F.struct(F.lit(0).alias("line_no"), F.col("text").alias("line")))
+    bad_lines = F.transform(F.filter(_line_entries(F.col("text")), lambda x: x["e"]["doc_path"].isNull()), lambda x: F.struct(x["line_no"], x["line"]))
+    none = F.array().cast("array<struct<line_no:int,line:string>>")
+    broken = F.when(_is_array(F.col("text")), F.when(F.size(F.coalesce(parse_manifest(F.col("text")), F.array().cast(MANIFEST_DDL))) == 0, whole).otherwise(none)).otherwise(bad_lines)
+    return with_position(files, ["file_path"], broken, "x").select("file_path", "x.line_no", F.col("x.line").alias("text"))
 
 
 def manifest_entries(docs: DataFrame, users: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docspan.operators.drift import drift_files, worst_drift
 from docspan.operators.storage import stored
+from docspan.streaming import heads as H
 from docspan.operators.versions import number_versions
 
 VERSIONS = "doc_id bigint, event_id bigint, saved_at timestamp, source string, content string, message string, version_no int, batch bigint"
@@ -35,9 +36,10 @@ def read_versions(spark: SparkSession, store: str) -> DataFrame:
     return _read(spark, store, VERSIONS).drop("batch")
 
 
-def stream_versions(saves: DataFrame, store: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
+def stream_versions(saves: DataFrame, store: str, checkpoint: str, delay: str = "1 hour", buckets: int = H.BUCKETS) -> StreamingQuery:
     """Number save events after the last stored version of their document. Repeated events are dropped by id
-    within the watermark; numbers of a batch build on the batches before it, never on itself."""
+    within the watermark; numbers of a batch build on the batches before it, never on itself. The last numbers are kept
+    beside the log in a table of buckets, of which a batch reads and rewrites those it touches: the log itself is never read."""
     unique = saves.withColumn("saved_at", F.col("saved_at").cast("timestamp")).withWatermark("saved_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
     def save(batch_df: DataFrame, batch: int) -> None:
@@ -45,12 +47,17 @@ def stream_versions(saves: DataFrame, store: str, checkpoint: str, delay: str =
         # numbering reads its input more than once; the stateful part of the batch must run once
         unique_saves = stored(batch_df, "saves")
         fresh = number_versions(unique_saves.select("doc_id", "event_id", "saved_at", "source", "content", "message"))
-        if _has_batches(spark, store):
-            # only key columns of the log are read
-            earlier = _read(spark, store, VERSIONS).filter(F.col("batch") < batch).groupBy("doc_id").agg(F.max("version_no").alias("_last"))
-            fresh = fresh.join(earlier, "doc_id", "left").withColumn(
-                "version_no", (F.coalesce("_last", F.lit(0)) + F.col("version_no")).cast("int")).drop("_last")
+        heads = f"{store}/heads"
+        if batch and not H.exists(spark, heads) and _has_batches(spark, store):  # a log from before there were heads
+            earlier = _read(spark, store, VERSIONS).filter(F.col("batch") < batch)
+            H.write(H.newest(earlier.select("doc_id", F.col("version_no").alias("last"))), heads, -1, buckets)
+        touched = H.touched(unique_saves, buckets)
+        before = H.read(spark, heads, touched, batch)
+        fresh = fresh.join(before, "doc_id", "left").withColumn("version_no", (F.coalesce("last", F.lit(0)) + F.col("version_no")).cast("int")).drop("last")
         _write_batch(fresh, store, batch)
+        written = spark.read.schema(VERSIONS).parquet(f"{store}/batch={batch}").select("doc_id", F.col("version_no").alias("last"))
+        H.write(H.newest(before.unionByName(written)), heads, batch, buckets)
+        H.forget(spark, heads, touched, batch)
 
     return unique.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

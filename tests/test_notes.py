@@ -1,3 +1,5 @@
+import pytest
+
 from docspan.functions.notes import RULES, required_literal
 from docspan.operators import notes as N
 
@@ -87,3 +89,47 @@ def test_brackets_close_in_order(spark):
 
     for text, good in (("", True), ("f(a[0]) { g() }", True), ("x ) (", False), ("((", False), ("}{", False), ("plain", True)):
         assert spark.range(1).select(balanced(F.lit(text))).first()[0] is good, text
+
+
+def test_rules_as_a_table(spark):
+    """The fixed rules, read as rows, choose as the fixed expressions do; a user's rules need no plain patterns."""
+    from docspan.functions.notes import RULES
+    from docspan.operators import notes as N
+    from docspan.operators import rules as R
+
+    texts = ["Purpose: this service provides x", "PATCH /v2/a accepts", "TODO later", "", "plain", "what is a known issue", "foo() returns\n```\nuse\n```", "unknown issues doesn't e.g. run", "ENV_KEY .env"]
+    notes = spark.createDataFrame(list(enumerate(texts)), "note_id int, content string")
+    blocks = N.segment_notes(notes)
+    want = {(r.note_id, r.block_no): (r.section_id, round(r.confidence, 9)) for r in N.classify_notes(blocks).collect()}
+    got = R.classify_by_rules(blocks, R.as_table(spark, RULES)).collect()
+    assert {(r.note_id, r.block_no): (r.section_id, round(r.confidence, 9)) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize(("pattern", "needed"), [
+    ("billing|ledger", ""), (r"\bv\d{1,3}\b", "v"), ("((foo|npm) )+install", "install"), ("(abc){2,}", "abc"), ("(abc)?de", "de"), (r"a\.env\b", "a.env"),
+    ("x*yz[ab]", "yz"), ("(?:long)er", "longer"), ("ab(?=cdef)", "ab"), ("(?i:abc)d", "d"), (r"\Qabc\E", ""), ("[", ""), ("straße", ""),
+])
+def test_text_that_every_match_holds(pattern, needed):
+    from docspan.operators.rules import required_text
+
+    assert required_text(pattern, True) == needed
+
+
+def test_points_are_exact_and_limits_are_checked(spark, monkeypatch):
+    from decimal import Decimal
+
+    from docspan.operators import rules as R
+
+    blocks = spark.createDataFrame([(1, 1, "alpha beta 77", False), (1, 2, "code", True), (1, 3, "", False), (2, 1, "beta", False)], "note_id int, block_no int, text string, is_code boolean")
+    rows = [("a", "A", 1, Decimal("0.001"), ["alpha", "alpha", None, "pha be"], [(r"\d{2}", False)]), ("b", "B", 2, Decimal("0.0005"), ["beta"], [("al|be", True), ("bet+a", False)]),
+            ("c", "C", 3, Decimal("0.002"), ["beta"], [(None, False)]), ("d", "D", 4, None, ["beta"], None)]
+    rules = spark.createDataFrame(rows, R.SCHEMA)
+    scores = {(r.note_id, r.block_no, r.rule_id): r.score for r in R.rule_scores(blocks, R.prepared(rules)).collect()}
+    assert scores[1, 1, "a"] == Decimal("0.0035") and scores[2, 1, "b"] == Decimal("0.002") and scores[2, 1, "c"] == Decimal("0.002")
+    got = {(r.note_id, r.block_no): (r.section_id, r.section_title, r.confidence) for r in R.classify_by_rules(blocks, rules).collect()}
+    assert got[1, 1][0] == "a" and got[2, 1] == ("b", "B", 0.002 / 3) and got[1, 2] == ("a", "A", 0.6) and got[1, 3] == ("a", "A", 0.0)
+    monkeypatch.setattr(R, "MOST_LOOSE", 0)
+    with pytest.raises(ValueError, match="fixed text"):
+        R.prepared(rules)
+    with pytest.raises(ValueError, match="unique"):
+        R.prepared(rules.union(rules))

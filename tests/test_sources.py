@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from docspan.functions import text as X
 from docspan.operators import validation as C
 from docspan.sources import collections as S
+from docspan.operators.storage import new_path
 from docspan.sources import manifest as M
 
 
@@ -86,3 +87,51 @@ def test_written_manifest_is_read_again(spark, tmp_path):
     write_manifest(entries, f"{tmp_path}/m")
     rows = read_manifest(spark, f"{tmp_path}/m", lines=True).select("doc_path", "path", "author_login").collect()
     assert sorted(map(tuple, rows)) == [(f"docs/{i}.md", "src/a.ts", "line\nend") for i in range(3)]
+
+
+def test_packs_are_read_by_byte_ranges(spark):
+    from docspan.sources import packed as P
+
+    texts = ["# é\n🙂 one\n", "", None, "x" * 5000, "no end", "tab\tand\r\nreturn", "same", "same"]
+    rows = [(i if i < 7 else 6, f"Title {i}", t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, title string, content string").repartition(3)
+    for packs in (1, 3):
+        path = new_path(spark, "packed")
+        P.export_packed(docs, path, packs)
+        got = sorted((r.doc_id, r.slug, r.content) for r in P.read_packed(spark, path).collect())
+        assert got == sorted((i, f"title-{t[-1]}", c or "") for i, t, c in rows)
+        assert P.read_document(spark, path, 0) == [texts[0]] and P.read_document(spark, path, 3) == [texts[3]]
+        assert P.read_document(spark, path, 6) == ["same", "same"] and P.read_document(spark, path, 99) == []
+        some = spark.createDataFrame([(4,), (4,), (77,)], "doc_id bigint")
+        assert [tuple(r) for r in P.read_packed(spark, path, some).collect()] == [(4, "title-4", "no end")]
+    path = new_path(spark, "packed")
+    P.export_packed(docs.filter("false"), path)
+    assert P.read_index(spark, path).count() == 0
+
+
+def test_scans_of_broken_and_empty_files(spark, tmp_path):
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u" / "a.json").write_text('{"user_id": "1", "email": "a@b.c"}\n{"user_id": "2", "ema\n\n[1]\n')
+    (tmp_path / "u" / "empty.json").write_text("")
+    (tmp_path / "u" / "other.txt").write_text('{"user_id": "9"}\n')
+    rows = S.scan(spark, "users", str(tmp_path / "u"), "*.json").collect()
+    assert sorted((r.user_id or "", r.malformed_record or "") for r in rows) == [("", '[1]'), ("", '{"user_id": "2", "ema'), ("1", "")]
+    assert all(r.file_path.endswith("a.json") and r.file_size == 62 and r.file_changed_at for r in rows)
+    assert {r.file_name: r.content for r in S.read_source_files(spark, str(tmp_path / "u"), "*.txt").collect()} == {"other.txt": '{"user_id": "9"}\n'}
+    assert S.read_source_files(spark, str(tmp_path / "u"), "e*").count() == 0  # an empty file is no row
+
+
+def test_manifests_of_both_forms_and_their_errors(spark, tmp_path):
+    entry = json.dumps({"doc_path": "a.md", "sources": [], "version": 1})
+    other = json.dumps({"doc_path": "b.md", "sources": [{"path": "x.ts"}], "version": 2})
+    (tmp_path / "lines.json").write_text(f"{entry}\n\n{entry[:9]}\r\n{other}")
+    (tmp_path / "array.json").write_text(f"  \n[{entry},\n{other}]")
+    (tmp_path / "cut.json").write_text(f"[{entry}, ")
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "object.json").write_text('{"doc_path": null}')
+    rows = M.read_manifest(spark, str(tmp_path), glob="*.json").collect()
+    assert sorted((r.file_path.split("/")[-1], r.entry_no, r.doc_path, r.path or "") for r in rows) == [
+        ("array.json", 0, "a.md", ""), ("array.json", 1, "b.md", "x.ts"), ("lines.json", 0, "a.md", ""), ("lines.json", 3, "b.md", "x.ts")]
+    bad = M.manifest_errors(spark, str(tmp_path), "*.json").collect()
+    assert sorted((r.file_path.split("/")[-1], r.line_no, r.text) for r in bad) == [
+        ("cut.json", 0, f"[{entry}, "), ("lines.json", 3, entry[:9]), ("object.json", 1, '{"doc_path": null}')]

@@ -65,3 +65,40 @@ def test_drift_follows_the_newest_push(spark):
         J.stream_drift(pushes, bindings, old, new, store, log).awaitTermination()
         seen.append({r.doc_id: r.worst_state for r in J.read_drift(spark, store, docs).collect()})
     assert seen == [{7: "signature_changed", 8: "current"}, {7: "current", 8: "current"}]
+
+
+def test_a_batch_reads_its_buckets_and_never_the_log(spark):
+    """The log of earlier batches is taken away; numbers go on, also when a batch is repeated, and few generations stay."""
+    from docspan.streaming import heads as H
+
+    folder, store, log = (new_path(spark, n) for n in ("in", "store", "log"))
+    expected, last = {}, {}
+    for hour in range(1, 6):
+        ids = range(10 * hour, 10 * hour + 4 + hour)
+        save_rows(spark, ids, hour).coalesce(1).write.mode("append").parquet(folder)
+        J.stream_versions(spark.readStream.schema(SAVES).parquet(folder), store, log, buckets=5).awaitTermination()
+        for i in ids:
+            last[i % 3] = last.get(i % 3, 0) + 1
+            expected[i] = last[i % 3]
+        rows = J.read_versions(spark, store).collect()
+        assert {r.event_id: r.version_no for r in rows} == {i: expected[i] for i in ids}
+        for path in H._files(spark, f"{store}/batch=*")[1]:
+            spark.createDataFrame([], J.VERSIONS).drop("batch").write.mode("overwrite").parquet(path.toString())
+    kept = H._generations(spark, f"{store}/heads")
+    newest = max(g for gs in kept.values() for g in gs)
+    assert all(len(gs) <= 2 for gs in kept.values())
+    at = lambda batch: {r.doc_id: r.last for r in H.read(spark, f"{store}/heads", [0, 1, 2, 3, 4], batch).collect()}
+    assert at(newest + 1) == last
+    assert at(newest) == {d: n - sum(i % 3 == d for i in range(50, 59)) for d, n in last.items()}  # what a repetition would find
+
+
+def test_heads_are_made_from_an_older_log(spark):
+    folder, store, log = (new_path(spark, n) for n in ("in", "store", "log"))
+    stream = lambda: spark.readStream.schema(SAVES).parquet(folder)
+    save_rows(spark, [1, 2, 3, 4], 1).coalesce(1).write.parquet(folder)
+    J.stream_versions(stream(), store, log).awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/heads")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    save_rows(spark, [7, 8], 3).coalesce(1).write.mode("append").parquet(folder)
+    J.stream_versions(stream(), store, log).awaitTermination()
+    assert {r.event_id: r.version_no for r in J.read_versions(spark, store).collect()} == {1: 1, 4: 2, 7: 3, 2: 1, 8: 2, 3: 1}
