@@ -50,7 +50,7 @@ SELECT p_partkey AS record_id, CASE p_partkey % 7 WHEN 0 THEN '  ' WHEN 1 THEN r
 VERSION_ROWS_SQL = "SELECT o_orderkey AS record_id, CASE o_orderkey % 9 WHEN 0 THEN repeat('m', 281) WHEN 1 THEN concat(repeat('m', 279), '  ') WHEN 2 THEN NULL ELSE o_orderpriority END AS message FROM orders"
 DOCUMENT_ROWS_SQL = "SELECT doc_id AS record_id, CASE doc_id % 3 WHEN 0 THEN title ELSE concat(' ', title, ' ') END AS title FROM fx_documents"
 COMMIT_ROWS_SQL = """
-SELECT l_orderkey * 10 + l_linenumber AS record_id, CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE l_shipmode END AS branch,
+SELECT l_orderkey * 10 + l_linenumber AS record_id, CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('b', l_returnflag) END AS branch,
   CASE l_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN repeat('c', 281) ELSE l_returnflag END AS message FROM lineitem"""
 LEAVERS_SQL = "SELECT c_custkey AS user_id FROM customer WHERE c_mktsegment = 'BUILDING'"
 STAGED_SQL = "SELECT p_type AS file_key, p_partkey AS seq, p_name AS name, p_size AS size FROM part"
