@@ -38,18 +38,32 @@ FROM m"""
 
 
 def licence_scan_sql() -> str:
-    identifier = " ".join(f"WHEN regexp_matches(norm, {_quoted(rule)}) THEN {_quoted(name)}" for name, rule in licences.SENTENCES)
+    """Rows of ``licence_scan`` from the rule tables alone: every sentence of every document goes through all rules."""
+    laid = "coalesce(text, '')"
+    for pattern, replacement in licences.LAYOUT:
+        laid = f"regexp_replace({laid}, {_quoted(pattern)}, {_quoted(replacement.replace('$1', chr(92) + '1'))}, 'g')"
+    identifier = " ".join(f"WHEN regexp_full_match(f, {_quoted(rule)}) THEN {_quoted(name)}" for name, rule, _ in licences.SENTENCES)
+    spdx = " ".join(f"WHEN {_quoted(name)} THEN {_quoted('spdx-' + full.lower())}" for name, full in licences.SPDX_NAMES.items())
     licence = " ".join(f"WHEN regexp_full_match(x, {_quoted(licences.rule_pattern(parts))}) THEN {_quoted(name)}" for name, parts in licences.LICENCES)
+    beside = ", ".join(map(_quoted, licences.BESIDE))
     return rf"""
-WITH s AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {_quoted(licences.SENTENCE_END)}), lambda x: regexp_matches(x, '\S')) AS cut FROM documents),
+WITH s AS (SELECT doc_id, list_filter(string_split_regex({laid}, {_quoted(licences.SENTENCE_END)}), lambda x: regexp_matches(x, {_quoted(licences.WORDED)})) AS cut FROM documents),
 e AS (SELECT doc_id, unnest(range(len(cut))) AS place, unnest(cut) AS sentence FROM s),
-h AS (SELECT doc_id, place, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(sentence), 'licence', 'license'), '[^a-z0-9.]+', ' ', 'g'),
-  '([a-z])\.|\.([^0-9]|$)', '\1 \2', 'g'), ' +', ' ', 'g')) AS norm FROM e WHERE regexp_matches(lower(sentence), {_quoted(licences.HINT)})),
-i AS (SELECT doc_id, place, CASE {identifier} ELSE '{licences.UNKNOWN}' END AS id FROM h),
-g AS (SELECT doc_id, string_agg(id, ' ' ORDER BY place) AS sequence, string_agg('<' || id || '>', '' ORDER BY place) AS marked,
-  string_agg(CAST(place AS VARCHAR), ' ' ORDER BY place) AS places, CAST(sum(CASE WHEN id = '{licences.UNKNOWN}' THEN 1 ELSE 0 END) AS BIGINT) AS n_unknown FROM i GROUP BY doc_id),
-fits AS (SELECT doc_id, unnest(f) AS x, unnest(range(len(f))) AS k FROM (SELECT doc_id, regexp_extract_all(marked, {_quoted(licences.any_rule())}, 1) AS f FROM g)),
-named AS (SELECT doc_id, k, CASE {licence} END AS licence FROM fits),
+h AS (SELECT doc_id, place, contains(lower(sentence), '{licences.SPDX_LINE}') AS is_spdx, sentence, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(sentence), 'licence', 'license'),
+  '[^a-z0-9.]+', ' ', 'g'), '([a-z])\.|\.([^0-9]|$)', '\1 \2', 'g'), ' +', ' ', 'g')) AS norm FROM e),
+fit AS (SELECT *, CASE WHEN is_spdx THEN regexp_extract_all(regexp_extract(lower(sentence), '{licences.SPDX_LINE}(.*)', 1), '{licences.SPDX_WORD}')
+  ELSE regexp_extract_all(norm, {_quoted(licences.any_sentence())}, 1) END AS fits FROM h),
+told AS (SELECT *, CASE WHEN NOT is_spdx AND len(fits) = 0 AND contains(norm, 'license') THEN ['{licences.UNKNOWN}'] ELSE fits END AS found FROM fit),
+each AS (SELECT doc_id, place, is_spdx, unnest(found) AS f, unnest(range(len(found))) AS k FROM told WHERE len(found) > 0),
+i AS (SELECT doc_id, place, k, CASE WHEN is_spdx THEN CASE f {spdx} END WHEN f = '{licences.UNKNOWN}' THEN f ELSE CASE {identifier} END END AS id FROM each),
+ids AS (SELECT * FROM i WHERE id IS NOT NULL),
+g AS (SELECT doc_id, string_agg(id, ' ' ORDER BY place, k) AS sequence, string_agg(CAST(place AS VARCHAR), ' ' ORDER BY place, k) AS places,
+  CAST(count(*) FILTER (WHERE id = '{licences.UNKNOWN}') AS BIGINT) AS n_unknown, bool_or(id = 'all-rights') AS reserved FROM ids GROUP BY doc_id),
+l AS (SELECT *, place - lag(place) OVER (PARTITION BY doc_id ORDER BY place, k) > {licences.MOST_APART} AS far FROM ids WHERE id NOT IN ({beside})),
+marked AS (SELECT doc_id, string_agg(CASE WHEN far THEN '|' ELSE '' END || '<' || id || '>', '' ORDER BY place, k) AS marked FROM l GROUP BY doc_id),
+fits AS (SELECT doc_id, unnest(f) AS x, unnest(range(len(f))) AS k FROM (SELECT doc_id, regexp_extract_all(marked, {_quoted(licences.any_rule())}, 1) AS f FROM marked)),
+of_rules AS (SELECT doc_id, k, CASE {licence} END AS licence FROM fits),
+named AS (SELECT * FROM of_rules UNION ALL SELECT doc_id, 0, '{licences.RESERVED}' FROM g WHERE reserved AND doc_id NOT IN (SELECT doc_id FROM of_rules)),
 firsts AS (SELECT doc_id, licence, min(k) AS k FROM named GROUP BY doc_id, licence),
 every AS (SELECT doc_id, string_agg(licence, ' ' ORDER BY k) AS licences FROM named GROUP BY doc_id),
 different AS (SELECT doc_id, string_agg(licence, ' AND ' ORDER BY k) AS licence FROM firsts GROUP BY doc_id)

@@ -122,7 +122,7 @@ def test_single_document_follows_itself(spark, no_docs):
     ("under the GNU General Public License, version 3 of the License; or (at your option) any later version.", "GPL-3.0-or-later", "gpl3 later-option"),
     ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only", "gpl3"),
     ("Licensed under CC BY-NC 4.0. Released under the MIT License. Released under the MIT License.", "CC-BY-NC-4.0 AND MIT", "cc-by-nc-4 mit mit"),
-    ("# SPDX-License-Identifier: BSD-3-Clause\ncode", "BSD-3-Clause", "spdx-bsd3"),
+    ("# SPDX-License-Identifier: BSD-3-Clause\ncode", "BSD-3-Clause", "spdx-bsd-3-clause"),
     ("A licence of some kind applies.", "", "unknown"),
     ("the warrior liked his islands", "", ""), ("", "", ""), (None, "", ""),
 ])
