@@ -32,7 +32,7 @@ MAX_BITS = 4
 SEED = 42
 BYTES = 8
 #: Fingerprints that one task posts under all choices.
-POSTED_ROWS = 50_000
+POSTED_ROWS = 10_000
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 
