@@ -76,20 +76,34 @@ def streamed_windows(spark, sf):
     return closed.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "doc_id", "count", "average")
 
 
-def streamed_drift(spark, sf):
+def _pushes(parts: DataFrame) -> DataFrame:
     """Every part is a push of the file it names."""
     f = (F.col("p_partkey") % 97)
-    own = stream_session(spark)
-    pushes = source(own, sf, "part").select(
+    return parts.select(
         F.concat(F.lit("src/f"), f.cast("string"), F.lit(".ts")).alias("path"),
         F.when(f % 5 == 0, F.concat(F.lit("a"), f.cast("string"))).when(f % 17 == 0, F.lit(None)).otherwise(F.concat(F.lit("b"), f.cast("string"))).alias("snapshot_sha"),
         F.timestamp_seconds(F.col("p_size")).alias("pushed_at"), F.col("p_partkey").alias("push_id"))
-    store = new_path(spark, "drift")
-    J.stream_drift(pushes, DR._hashed(own, sf), fixture(own, sf, "fx_entries_old"), fixture(own, sf, "fx_entries_new"), store,
+
+
+def streamed_drift(spark, sf):
+    own, store = stream_session(spark), new_path(spark, "drift")
+    J.stream_drift(_pushes(source(own, sf, "part")), DR._hashed(own, sf), fixture(own, sf, "fx_entries_old"), fixture(own, sf, "fx_entries_new"), store,
                    new_path(spark, "drift-log")).awaitTermination()
     return J.read_drift(spark, store, sql_input(spark, sf, DR.DOCS_SQL))
 
 
+def streamed_drift_batches(spark, sf):
+    """The same pushes in three batches, in no order of time; the state of the newest push counts."""
+    pushes = _pushes(spark.read.parquet(f"{sf}/part.parquet"))
+    folder, store, log = (new_path(spark, n) for n in ("pushes-in", "drift", "drift-log"))
+    own = stream_session(spark)
+    for third in range(3):
+        pushes.filter(F.col("push_id") % 3 == third).write.mode("append").parquet(folder)
+        stream = own.readStream.schema(pushes.schema).parquet(folder)
+        J.stream_drift(stream, DR._hashed(own, sf), fixture(own, sf, "fx_entries_old"), fixture(own, sf, "fx_entries_new"), store, log).awaitTermination()
+    return J.read_drift(spark, store, sql_input(spark, sf, DR.DOCS_SQL))
+
+
 def _feedback(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("doc_id"), "event_id", (F.col("event_id") % 5 + 1).cast("int").alias("rating"), F.col("ts").alias("at"))
 
@@ -106,7 +120,7 @@ def feedback_windows(spark, sf):
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "doc_id", "count", "average")
 
 
-QUERIES = {f.__name__: f for f in (streamed_versions, streamed_version_batches, streamed_drift, streamed_feedback, streamed_windows, feedback_windows)}
+QUERIES = {f.__name__: f for f in (streamed_versions, streamed_version_batches, streamed_drift, streamed_drift_batches, streamed_feedback, streamed_windows, feedback_windows)}
 _NUMBERED_SQL = "SELECT doc_id, event_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY saved_at, event_id) AS int) AS version_no, source, message FROM fx_saves"
 ORACLES = {
     "streamed_version_batches": _NUMBERED_SQL,
@@ -119,6 +133,7 @@ SELECT strftime(d, '%Y-%m-%d') AS day, doc_id, count(*) AS count, round(avg(rati
 WHERE d + INTERVAL 1 DAY <= (SELECT max(t) - INTERVAL 1 HOUR FROM timed) GROUP BY ALL""",
     "streamed_versions": _NUMBERED_SQL,
     "streamed_drift": DR._STATES + "SELECT * FROM docs",
+    "streamed_drift_batches": DR._STATES + "SELECT * FROM docs",
     "streamed_feedback": "SELECT doc_id, count(*) AS count, round(avg(rating), 2) AS average FROM fx_feedback GROUP BY doc_id",
     "feedback_windows": "SELECT strftime(\"at\", '%Y-%m-%d') AS day, doc_id, count(*) AS count, round(avg(rating), 2) AS average FROM fx_feedback GROUP BY ALL",
 }

@@ -15,7 +15,7 @@ from docspan.streaming import heads as H
 from docspan.operators.versions import number_versions
 
 VERSIONS = "doc_id bigint, event_id bigint, saved_at timestamp, source string, content string, message string, version_no int, batch bigint"
-DRIFTED = "doc_id bigint, path string, new_sha string, drift_state string, changed_functions array<string>, pushed_at timestamp, push_id bigint, batch bigint"
+DRIFTED = "doc_id bigint, path string, new_sha string, drift_state string, changed_functions array<string>, pushed_at timestamp, push_id bigint"
 
 
 def _write_batch(df: DataFrame, store: str, batch: int) -> None:
@@ -62,9 +62,18 @@ def stream_versions(saves: DataFrame, store: str, checkpoint: str, delay: str =
     return unique.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_drift(pushes: DataFrame, bindings: DataFrame, old_entries: DataFrame, new_entries: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+def _latest(states: DataFrame) -> DataFrame:
+    """The state of the newest push of every binding."""
+    rest = [c for c in states.columns if c not in ("doc_id", "path")]
+    return states.groupBy("doc_id", "path").agg(F.max_by(F.struct(*rest), F.struct("pushed_at", "push_id")).alias("r")).select("doc_id", "path", "r.*")
+
+
+def stream_drift(
+    pushes: DataFrame, bindings: DataFrame, old_entries: DataFrame, new_entries: DataFrame, store: str, checkpoint: str, buckets: int = H.BUCKETS
+) -> StreamingQuery:
     """Judge pushed files (path, snapshot_sha, pushed_at, push_id) against the bindings; the static side is joined
-    in the stream, and each batch's states are stored."""
+    in the stream. Each batch's states are a folder of their own, and are merged into the latest state of every binding,
+    of which a batch rewrites the buckets it touches."""
     bound = bindings.drop("snapshot_sha")
     joined = pushes.join(bound, "path")
 
@@ -78,15 +87,18 @@ def stream_drift(pushes: DataFrame, bindings: DataFrame, old_entries: DataFrame,
             *keys, F.coalesce("new_sha", "snapshot_sha").alias("new_sha"), F.coalesce("drift_state", F.lit("current")).alias("drift_state"),
             "changed_functions", "pushed_at", "push_id")
         _write_batch(out, store, batch)
+        spark, states = batch_df.sparkSession, f"{store}/states"
+        fresh = spark.read.schema(DRIFTED).parquet(f"{store}/batch={batch}")
+        of = H.touched(fresh, buckets, ("doc_id", "path"))
+        H.write(_latest(H.read(spark, states, of, batch, DRIFTED).unionByName(fresh)), states, batch, buckets, ("doc_id", "path"))
+        H.forget(spark, states, of, batch)
 
     return joined.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_drift(spark: SparkSession, store: str, docs: DataFrame) -> DataFrame:
-    """Latest state of every pushed file, folded to the worst state per document."""
-    rows = _read(spark, store, DRIFTED)
-    latest = rows.groupBy("doc_id", "path").agg(F.max_by("drift_state", F.struct("pushed_at", "push_id")).alias("drift_state"))
-    return worst_drift(docs, latest.filter("drift_state <> 'current'"))
+    """Latest state of every pushed file, folded to the worst state per document: reads the merged states, not the batches."""
+    return worst_drift(docs, H.read(spark, f"{store}/states", schema=DRIFTED).select("doc_id", "path", "drift_state").filter("drift_state <> 'current'"))
 
 
 def running_feedback(feedback: DataFrame) -> DataFrame:

@@ -64,6 +64,11 @@ def test_drift_follows_the_newest_push(spark):
         pushes = spark.readStream.schema("path string, snapshot_sha string, push_id bigint, pushed_at timestamp").parquet(folder)
         J.stream_drift(pushes, bindings, old, new, store, log).awaitTermination()
         seen.append({r.doc_id: r.worst_state for r in J.read_drift(spark, store, docs).collect()})
+        # the batches' own folders are not read: only the merged states are
+        from docspan.streaming import heads as H
+        for path in H._files(spark, f"{store}/batch=*")[1]:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        assert H.read(spark, f"{store}/states", schema=J.DRIFTED).count() == 1
     assert seen == [{7: "signature_changed", 8: "current"}, {7: "current", 8: "current"}]
 
 
