@@ -117,6 +117,11 @@ def spans(marked: Column) -> Column:
 
 def also_named(marked: Column) -> Column:
     """The text with a sign before the second and later names of a list of declarations whose values are functions."""
+    listed = marked.rlike(rf",(?:\s|{MARK}[0-9]+{MARK})*+{NAME}(?:\s*:[^=;\n]+?)?\s*=\s*(?:async\s+)?(?:function\b|[<(]|{NAME}\s*=>)")
+    return F.when(listed, _signed(marked)).otherwise(marked)
+
+
+def _signed(marked: Column) -> Column:
     commas = F.regexp_replace(marked, LISTED, f"$1{ALSO}")
     at_names = F.regexp_replace(commas, rf"{ALSO}((?:\s|{MARK}[0-9]+{MARK})*+)(?={_NAMED_FUNCTION})", f"$1{ALSO}")
     return F.regexp_replace(at_names, rf"{ALSO}(?!{_NAMED_FUNCTION})", "")
