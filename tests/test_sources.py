@@ -109,6 +109,25 @@ def test_packs_are_read_by_byte_ranges(spark):
     assert P.read_index(spark, path).count() == 0
 
 
+def test_many_documents_of_one_pack_are_cut_from_small_pieces(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from docspan.sources import packed as P
+
+    rows = [(i // 2, f"T{i}", f"é{i}\n" * (i % 7)) for i in range(400)] + [(None, "T", "none"), (500, "T", "long" * 900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, title string, content string").repartition(4)
+    P.export_packed(docs, str(tmp_path / "p"), 1, piece_bytes=1000)
+    index = P.read_index(spark, str(tmp_path / "p"))
+    sizes = index.groupBy("piece").agg(F.sum(F.col("n_bytes") + 1 + P.ENTRY_BYTES).alias("n"), F.max("n_bytes").alias("most")).collect()
+    assert len(sizes) > 30 and all(r.n <= 1000 + r.most + 1 + P.ENTRY_BYTES for r in sizes)
+    got = P.read_packed(spark, str(tmp_path / "p"))
+    assert sorted((r.doc_id or -1, r.slug, r.content) for r in got.collect()) == sorted((i or -1, t.lower(), c) for i, t, c in rows)
+    # bytes and documents meet one row a piece, not one a document
+    pieces = spark.read.format("binaryFile").load(str(tmp_path / "p" / "packs")).count()
+    assert pieces == len(sizes)
+    assert P.read_document(spark, str(tmp_path / "p"), 3) == [c for i, _, c in rows if i == 3]
+
+
 def test_scans_of_broken_and_empty_files(spark, tmp_path):
     (tmp_path / "u").mkdir()
     (tmp_path / "u" / "a.json").write_text('{"user_id": "1", "email": "a@b.c"}\n{"user_id": "2", "ema\n\n[1]\n')
