@@ -18,6 +18,8 @@ COMMENT = r"(?://[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)"
 BEFORE_VALUE = r"(?<=(?:\A|[=(\[{,;:!?&|+*%~^-]|=>|(?<![\w$.])(?:return|typeof|case|in|of|do|else|void|delete|throw|yield|await))\s{0,40})"
 PATTERN = rf"(?:{BEFORE_VALUE}/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*+\]|[^/\\\[\n])++/[A-Za-z]*+)"
 TOKEN = rf"""{STRING}|{COMMENT}|{PATTERN}|[^"'`/]++|[\s\S]"""
+#: Brackets outside strings, comments and patterns are its group; all else is matched without one.
+BRACKET = rf"""(?:{STRING}|{COMMENT}|{PATTERN}|[^"'`/(){{}}\[\]]++|["'`/])|([(){{}}\[\]]++)"""
 MARK, CUT, HEAD_END = "\x02", "\x01", "\x07"
 OPEN, OPENED, SHUT, CLOSED = "\x03", "\x04", "\x05", "\x06"
 #: Stand for braces that do not count: those in strings, and those below the levels that ``shallow`` keeps.
@@ -172,9 +174,9 @@ def clean_code(marked: Column) -> Column:
     return F.regexp_replace(marked, f"{MARK}[0-9]+{MARK}", "")
 
 
-def masked_code(toks: Column) -> Column:
-    """The text without comments, patterns and string contents, for counting brackets."""
-    return F.array_join(F.transform(toks, lambda t: F.when(is_comment(t) | is_pattern(t) | t.rlike(rf"\A{STRING}\z"), "").otherwise(t)), "")
+def brackets(content: Column) -> Column:
+    """The brackets of a text outside comments, patterns and strings, in order: one pass, without an array of tokens."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(content, F.lit("")), "\r\n", "\n"), BRACKET, "$1")
 
 
 def comment_value(raw: Column) -> Column:
@@ -219,18 +221,23 @@ def json_string(literal: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(inner, r"\\'", "'"), r'(?<!\\)"', r'\\"'), F.lit('"'))
 
 
-def balanced(masked: Column) -> Column:
-    """Every bracket kind closes as often as it opens, and never before."""
-    def pairs(opening: str, closing: str) -> Column:
-        marks = F.regexp_replace(masked, rf"[^\{opening}\{closing}]+", "")
-        depths = F.aggregate(
-            F.split(marks, ""), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least")),
-            lambda s, c: F.struct(
-                (s["depth"] + F.when(c == opening, 1).when(c == closing, -1).otherwise(0)).alias("depth"),
-                F.least(s["least"], s["depth"] - (c == closing).cast("int")).alias("least"),
-            ),
-            lambda s: (s["depth"] == 0) & (s["least"] == 0),
-        )
-        return (marks == "") | depths
-
-    return pairs("(", ")") & pairs("[", "]") & pairs("{", "}")
+def balanced(marks: Column) -> Column:
+    """Every bracket kind of a text of brackets closes as often as it opens, and never before. Each kind is looked at by itself;
+    pairs of a few levels are taken out first, which changes neither, and only what is left is counted."""
+    def pairs(text: Column, others: str, opening: str, closing: str) -> Column:
+        o, c = f"\\{opening}", f"\\{closing}"
+        paired = rf"{o}(?:{o}(?:{o}(?:{o}{c})*+{c})*+{c})*+{c}"
+        left = F.regexp_replace(F.translate(text, others, ""), paired, "")
+
+        def depths(own: Column) -> Column:
+            return F.aggregate(
+                F.split(own, ""), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least")),
+                lambda s, x: F.struct(
+                    (s["depth"] + F.when(x == opening, 1).when(x == closing, -1).otherwise(0)).alias("depth"),
+                    F.least(s["least"], s["depth"] - (x == closing).cast("int")).alias("least"),
+                ),
+                lambda s: (s["depth"] == 0) & (s["least"] == 0),
+            )
+        return bind(left, lambda own: (own == "") | depths(own))
+
+    return bind(marks, lambda text: pairs(text, "[]{}", "(", ")") & pairs(text, "(){}", "[", "]") & pairs(text, "()[]", "{", "}"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspan.functions import source as S
-from docspan.operators.code import SIGNATURE_FACTS, code_facts, with_signatures
+from docspan.operators.code import SIGNATURE_FACTS, code_facts, quarantine, with_signatures
 from docspan.operators.signatures import change_label, compare_names, diff_signatures, signature_hash
 
 # States in order of severity and the texts that stand in for unknown differences.
@@ -71,7 +70,7 @@ def content_drift(bindings: DataFrame, contents: DataFrame, blobs: DataFrame) ->
             F.struct("file_id", F.lit(n).alias("side")).alias("file_id"), "file_name", "content", F.col("file_id").alias("_id"))
 
     texts = side(blobs, 0).unionByName(side(contents, 1)).join(changed.select(F.col("file_id").alias("_id")).distinct(), "_id", "left_semi")
-    readable = texts.filter(S.balanced(S.masked_code(S.tokens(F.col("content")))))
+    readable, _ = quarantine(texts)
     entries = with_signatures(code_facts(readable, SIGNATURE_FACTS)).select(
         "file_id.file_id", "file_id.side", F.when(F.col("file_id.side") == 1, F.col("signature_hash")).alias("new_hash"), F.posexplode_outer("entries").alias("pos", "e")
     ).select("file_id", "side", "new_hash", "pos", "e.name", "e.sig")

@@ -53,7 +53,7 @@ def document_footers(spark, sf):
 
 
 def document_error_notes(spark, sf):
-    return A.error_rows(A._keyed_facts(sql_input(spark, sf, FILES_SQL))[1]).select("doc_id", "ord1", "text")
+    return A.error_rows(A._keyed_facts(spread(sql_input(spark, sf, FILES_SQL)))[1]).select("doc_id", "ord1", "text")
 
 
 def unit_payloads(spark, sf):

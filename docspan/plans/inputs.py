@@ -14,10 +14,11 @@ _WORD = re.compile(r"[a-z_]+")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Split an input of fewer partitions than cores: one small file would otherwise be one task. Inputs of a
-    cluster's size already have more partitions than that and are left alone."""
+    """Split an input of fewer partitions than twice the cores: a small file would otherwise be one task, and splits of a file
+    that has fewer row groups than splits are empty. Inputs of a cluster's size already have more partitions than that and
+    are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def sql_input(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -279,3 +279,26 @@ def test_tags_are_no_patterns(spark):
     text = "export function View() {\n  return <A\n    b={1}\n  /> && <B c={x / 2} /><C /> && <i>it</i>;\n}\nexport function next(a) { return a; }\n"
     row = of_text(spark, text, "v.tsx")
     assert [f.name for f in row.functions] == ["View", "next"] and set(row.jsx_elements) >= {"A", "B", "C", "i"}
+
+
+def test_files_are_judged_after_they_are_spread(spark):
+    files = spark.createDataFrame([(1, "a.js", "f(1)"), (2, "b.js", "f(1"), (3, "c.js", None)], "file_id int, file_name string, content string").repartition(5)
+    for side in C.quarantine(files):
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Filter") < plan.index("Repartition"), plan  # a filter below the exchange runs in the tasks of the scan
+    good, bad = C.quarantine(files)
+    assert good.columns == files.columns and sorted(r.file_id for r in good.collect()) == [1, 3]
+    assert [tuple(r) for r in bad.collect()] == [(2, "b.js", "Unbalanced brackets")]
+
+
+def test_brackets_outside_strings_comments_and_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from docspan.functions.source import balanced, brackets
+
+    cases = [("f(a[0]) { g() }", "([]){()}", True), ("x = ')' + \"(\" + `{`", "", True), ("a // (\r\n/* [ */ b)", ")", False), ("r = /[(]{2}/g; s = a / (b)", "()", True),
+             ("'it (", "(", False), ("/* open (", "(", False), ("}{", "}{", False), ("([)]", "([)]", True), ("((((((()))))))" * 3, "((((((()))))))" * 3, True), ("(()", "(()", False),
+             ("", "", True), (None, "", True)]
+    rows = spark.createDataFrame([(n, c) for n, (c, _, _) in enumerate(cases)], "n int, c string")
+    got = rows.select("n", brackets(F.col("c")).alias("b"), balanced(brackets(F.col("c"))).alias("ok")).orderBy("n").collect()
+    assert [(r.b, r.ok) for r in got] == [(b, ok) for _, b, ok in cases]
