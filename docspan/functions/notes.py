@@ -92,9 +92,15 @@ LITERALS = {pattern: required_literal(pattern) for rule in RULES for pattern, _
 
 
 def pattern_hit(line: Column, lower: Column, pattern: str, ignore_case: bool) -> Column:
-    """Pattern test behind a plain substring test, which most lines fail at a fraction of the cost."""
-    hit = line.rlike(("(?i)" if ignore_case else "") + ascii_edges(pattern))
-    literal = LITERALS.get(pattern)  # rules of a user's own have no such test
+    """Pattern test behind cheaper tests, which most lines fail at a fraction of the cost."""
+    def test(p: str) -> Column:
+        return line.rlike(("(?i)" if ignore_case else "") + ascii_edges(p))
+
+    hit, literal = test(pattern), LITERALS.get(pattern)
+    if literal is None:  # rules of a user's own have no such test
+        return hit
+    if r"\b" in pattern and (not literal or "|" in pattern):  # the pattern without its edges matches wherever it does
+        hit = test(pattern.replace(r"\b", "")) & hit
     if not literal:
         return hit
     return F.contains(lower if ignore_case else line, F.lit(literal.lower() if ignore_case else literal)) & hit
@@ -117,6 +123,12 @@ def words_of(lower: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
+def keywords_in(lower: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The words of a line that are a keyword of some rule, so that each rule looks at a few words and not at the whole line."""
+    single = sorted({k for r in rules for k in r.keywords if " " not in k})
+    return F.array_intersect(words_of(lower), F.array(*[F.lit(k) for k in single])) if single else F.array().cast("array<string>")
+
+
 def best_rule(text: Column, lower: Column, words: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """STRUCT<score, neg_order, rule_id, title>: the highest score, the earliest rule on ties."""
     return F.array_max(F.array(*[

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspan.functions.notes import RULES, Rule, best_rule, note_blocks, section_of, words_of
+from docspan.functions.notes import RULES, Rule, best_rule, keywords_in, note_blocks, section_of
 from docspan.operators.rows import with_position
 
 
@@ -21,7 +21,7 @@ def classify_notes(blocks: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
     """Blocks with the section each belongs to and the confidence. Each step is used more than once by the
     next, so it stays a projection of its own and is computed once."""
     lowered = blocks.withColumn("lower", F.lower("text"))
-    worded = lowered.withColumn("words", words_of(F.col("lower")))
+    worded = lowered.withColumn("words", keywords_in(F.col("lower"), rules))
     scored = worded.select(*blocks.columns, best_rule(F.col("text"), F.col("lower"), F.col("words"), rules).alias("best"))
     return scored.select(*blocks.columns, section_of(F.col("is_code"), F.col("best"), rules).alias("s")).select(
         *blocks.columns, "s.section_id", "s.section_title", "s.section_order", "s.confidence")
@@ -31,7 +31,7 @@ def classified_array(content: Column, rules: tuple[Rule, ...] = RULES) -> Column
     """The same for a whole note inside its row: ARRAY<STRUCT<block_no, text, is_code, s>>."""
     lowered = F.transform(note_blocks(content), lambda b, i: F.struct(
         (i + 1).alias("block_no"), b["text"].alias("text"), b["is_code"].alias("is_code"), F.lower(b["text"]).alias("lower")))
-    worded = F.transform(lowered, lambda b: F.struct(b.alias("b"), words_of(b["lower"]).alias("words")))
+    worded = F.transform(lowered, lambda b: F.struct(b.alias("b"), keywords_in(b["lower"], rules).alias("words")))
     scored = F.transform(worded, lambda x: F.struct(
         x["b"].alias("b"), best_rule(x["b"]["text"], x["b"]["lower"], x["words"], rules).alias("best")))
     return F.transform(scored, lambda x: F.struct(

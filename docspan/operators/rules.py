@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from docspan.functions.notes import CODE_CONFIDENCE, CODE_SECTION, FULL_CONFIDENCE_SCORE, PATTERN_FACTOR, words_of
 from docspan.functions.text import ascii_edges
+from docspan.operators.rows import elements
 
 #: rule_id, title, rule_order, weight, keywords and patterns, as a table of rules has them.
 SCHEMA = ("rule_id string, title string, rule_order int, weight decimal(18,6), keywords array<string>, "
@@ -28,6 +29,8 @@ MOST_ENTRIES = 200_000
 MOST_LOOSE = 200
 _POINTS = "decimal(28,8)"
 _GRAM = 3
+#: Kinds of entries.
+WORD, PHRASE, PATTERN, LOOSE = range(4)
 
 
 def required_text(pattern: str, ignore_case: bool) -> str:
@@ -68,10 +71,12 @@ class RuleTables:
     """Keyed tables of a rules table; points are exact decimals."""
 
     rules: DataFrame
-    words: DataFrame
-    phrases: DataFrame
-    patterns: DataFrame
-    loose: tuple[tuple[str, str, Decimal], ...]
+    #: kind, key, test, rule_id and points of all keywords, phrases and patterns.
+    entries: DataFrame
+    has_words: bool
+    phrase_keys: tuple[str, ...]
+    pattern_keys: tuple[str, ...]
+    loose: tuple[str, ...]
     fallback: str
     code: str
 
@@ -119,41 +124,63 @@ def prepared(rules: DataFrame) -> RuleTables:
     first = min(rows, key=lambda r: (r.rule_order, r.rule_id)).rule_id
     code = CODE_SECTION if any(r.rule_id == CODE_SECTION for r in rows) else first
     table = lambda data, ddl: spark.createDataFrame(data, ddl)
+    entries = [(WORD, word, None, rule, points) for word, rule, points in words]
+    entries += [(PHRASE, *row) for row in phrases] + [(PATTERN, *row) for row in patterns]
+    entries += [(LOOSE, str(n), None, rule, points) for n, (_, rule, points) in enumerate(loose)]
     return RuleTables(
         table([(r.rule_id, r.title, r.rule_order) for r in rows], "rule_id string, title string, rule_order int"),
-        table(words, f"word string, rule_id string, points {_POINTS}"), table(phrases, f"gram string, phrase string, rule_id string, points {_POINTS}"),
-        table(patterns, f"gram string, pattern string, rule_id string, points {_POINTS}"), tuple(loose), first, code,
+        table(entries, f"kind int, key string, test string, rule_id string, points {_POINTS}"), bool(words), tuple(sorted({r[0] for r in phrases})),
+        tuple(sorted({r[0] for r in patterns})), tuple(p for p, _, _ in loose), first, code,
     )
 
 
-def _grams(lower: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(lower) - (_GRAM - 1), F.lit(1))), lambda k: F.substr(lower, k, F.lit(_GRAM))))
+def any_of(keys: tuple[str, ...]) -> str:
+    """A pattern whose first group is the key that begins at a place, where one does; keys have equal lengths. It takes no text, so
+    keys may overlap."""
+    def sign(c: str) -> str:
+        return f"\\x{{{ord(c):x}}}"
+
+    def branches(tails: set[str]) -> str:
+        heads = sorted({t[0] for t in tails})
+        if all(len(t) == 1 for t in tails):
+            return f"[{''.join(map(sign, heads))}]"
+        return "(?:" + "|".join(sign(h) + branches({t[1:] for t in tails if t[0] == h}) for h in heads) + ")"
+
+    return f"(?=[{''.join(map(sign, sorted({k[0] for k in keys})))}])(?=({branches(set(keys))}))"
+
+
+def _candidates(lines: DataFrame, tables: RuleTables) -> Column | None:
+    """What a line (text, lower) is looked up by: kind, key and the text that a phrase or pattern is tested on."""
+    def kind(number: int, keys: Column, text: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(number).alias("kind"), k.alias("key"), text.cast("string").alias("tested")))
+
+    def met(keys: tuple[str, ...]) -> Column:
+        return F.array_distinct(F.regexp_extract_all("lower", F.lit(any_of(keys)), F.lit(1)))
+
+    found = []
+    if tables.has_words:
+        found.append(kind(WORD, F.array_distinct(words_of(F.col("lower"))), F.lit(None)))
+    if tables.phrase_keys:
+        found.append(kind(PHRASE, met(tables.phrase_keys), F.col("lower")))
+    if tables.pattern_keys:
+        found.append(kind(PATTERN, met(tables.pattern_keys), F.col("text")))
+    if tables.loose:
+        hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(str(n))) for n, p in enumerate(tables.loose)]))
+        found.append(kind(LOOSE, hits, F.lit(None)))
+    return F.concat(*found) if found else None
 
 
 def rule_scores(blocks: DataFrame, tables: RuleTables) -> DataFrame:
     """note_id, block_no, rule_id and score (exact) of the rules that hit a block which is no code."""
     keys = ["note_id", "block_no"]
     lines = blocks.filter("NOT is_code").select(*keys, "text", F.lower("text").alias("lower"))
-    found = []
-    if not tables.words.isEmpty():
-        said = lines.select(*keys, F.explode(F.array_distinct(words_of(F.col("lower")))).alias("word"))
-        found.append(said.join(F.broadcast(tables.words), "word").select(*keys, "rule_id", "points"))
-    if not tables.phrases.isEmpty():
-        spaces = lines.select(*keys, "lower", F.explode(F.array_distinct(F.filter(_grams(F.col("lower")), lambda g: F.substr(g, F.lit(2), F.lit(1)) == " "))).alias("gram"))
-        found.append(spaces.join(F.broadcast(tables.phrases), "gram").filter(F.contains("lower", "phrase")).select(*keys, "rule_id", "points"))
-    if not tables.patterns.isEmpty():
-        pieces = lines.select(*keys, "text", F.explode(_grams(F.col("lower"))).alias("gram"))
-        found.append(pieces.join(F.broadcast(tables.patterns), "gram").filter("text RLIKE pattern").select(*keys, "rule_id", "points"))
-    if tables.loose:
-        tests = [F.when(F.col("text").rlike(p), F.struct(F.lit(rule).alias("rule_id"), F.lit(points).cast(_POINTS).alias("points"))) for p, rule, points in tables.loose]
-        hits = lines.select(*keys, F.explode(F.array_compact(F.array(*tests))).alias("hit"))
-        found.append(hits.select(*keys, "hit.*"))
-    if not found:
+    candidates = _candidates(lines, tables)
+    if candidates is None:
         return lines.select(*keys, F.lit("").alias("rule_id"), F.lit(0).cast("decimal(38,8)").alias("score")).limit(0)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.groupBy(*keys, "rule_id").agg(F.sum("points").alias("score"))
+    # the text goes with phrases and patterns only; lines are read once for all kinds
+    met = elements(lines, keys, candidates, "c").select(*keys, "c.*").join(F.broadcast(tables.entries), ["kind", "key"])
+    holds = F.when(F.col("kind") == PHRASE, F.contains("tested", "test")).when(F.col("kind") == PATTERN, F.expr("tested RLIKE test")).otherwise(True)
+    return met.filter(holds).groupBy(*keys, "rule_id").agg(F.sum("points").alias("score"))
 
 
 def classify_by_rules(blocks: DataFrame, rules: DataFrame) -> DataFrame:

@@ -133,3 +133,20 @@ def test_points_are_exact_and_limits_are_checked(spark, monkeypatch):
         R.prepared(rules)
     with pytest.raises(ValueError, match="unique"):
         R.prepared(rules.union(rules))
+
+
+def test_keys_of_phrases_and_patterns_are_found_without_all_pieces_of_a_line(spark):
+    from pyspark.sql import functions as F
+
+    from docspan.operators import rules as R
+
+    keys = ("npm", "ins", "nst", "s a", "é b", "🙂 x", "a.b", "[-^", "aaa")
+    lines = ["npm install", "aaaa", "this allé b", "🙂 x 🙂🙂 x", "a.b axb [-^ ^-[", "", "xy"]
+    found = spark.createDataFrame(list(enumerate(lines)), "n int, t string").select("n", F.sort_array(F.array_distinct(F.regexp_extract_all("t", F.lit(R.any_of(keys)), F.lit(1)))).alias("k"))
+    assert [r.k for r in found.orderBy("n").collect()] == [sorted(k for k in keys if k in t) for t in lines]
+    rules = spark.createDataFrame([("a", "A", 1, 1, ["of the", "word"], [("instal+", True)])], "rule_id string, title string, rule_order int, weight int, keywords array<string>, patterns array<struct<pattern:string,ignore_case:boolean>>")
+    blocks = spark.createDataFrame([(1, 1, "End of the INSTALL " + "prose " * 20000 + "word", False)], "note_id int, block_no int, text string, is_code boolean")
+    scores = R.rule_scores(blocks, R.prepared(rules.withColumn("weight", F.col("weight").cast("decimal(18,6)"))))
+    assert [(r.rule_id, float(r.score)) for r in scores.collect()] == [("a", 3.5)]
+    assert "lower" not in scores._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # lines are read once for all kinds
