@@ -302,3 +302,12 @@ def test_brackets_outside_strings_comments_and_patterns(spark):
     rows = spark.createDataFrame([(n, c) for n, (c, _, _) in enumerate(cases)], "n int, c string")
     got = rows.select("n", brackets(F.col("c")).alias("b"), balanced(brackets(F.col("c"))).alias("ok")).orderBy("n").collect()
     assert [(r.b, r.ok) for r in got] == [(b, ok) for _, b, ok in cases]
+
+
+def test_errors_are_judged_once(spark):
+    from docspan.operators import assembly as A
+
+    files = spark.createDataFrame([(1, 5, 7, "a.ts", "f("), (1, 6, 8, "b.ts", "f()"), (2, 7, 9, "c.ts", "]")], "doc_id int, file_no int, file_id int, file_name string, content string")
+    rows = A.error_rows(A._keyed_facts(files)[1])
+    assert "Scan parquet" in rows._jdf.queryExecution().executedPlan().toString() and "content" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.ord1) for r in rows.collect()) == [(1, -1), (1, 5), (1, 1 << 40), (2, -1), (2, 7), (2, 1 << 40)]
