@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docspan.functions.source import (ALSO, ANGLE, CLOSED, CURLY, CUT, EDGE, HEAD_END, MARK, NAME, OPEN, OPENED, ROUND, SHUT, SQUARE, STRING, bind, block,
+from docspan.functions.source import (ALSO, ANGLE, CLOSED, CURLY, CUT, EDGE, HEAD_END, MARK, NAME, OPEN, OPENED, ROUND, SHUT, SQUARE, STRING, WHOLE_NAME, bind, block,
                                       extract_all, having, inside, json_string, leading_comment, leveled, leveled_piece, missing, newlines,
-                                      pieces, plain, said, shallow, trim)
+                                      pieces, plain, run, said, shallow, trim)
 from docspan.functions.types import type_name
 
 RETURNS = rf"(?:\s*:\s*((?:[^{{}}<>=;\n]|{ANGLE}|{CURLY})+?))?"
@@ -17,19 +17,20 @@ _FUNCTION = rf"function\s*\*?\s*(?:{NAME}\s*)?{GENERIC}{ROUND}{PLAIN_RETURNS}\s*
 _ARROW = rf"(?:{GENERIC}{ROUND}{PLAIN_RETURNS}|{NAME})\s*=>"
 _VALUE = rf"(?:async\s+)?(?:{_FUNCTION}|{_ARROW})"
 _WRAPPED = rf"(?:[\w$.]+\(\s*(?:[^()]*?,\s*)?)?{_VALUE}"
+#: The first characters are looked at before all else: few places pass.
 HEAD = (
-    rf"{EDGE}(?:(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*\{{"
+    rf"(?=[acdeflmv{ALSO}]){EDGE}(?:(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*\{{"
     rf"|(?:(?:export\s+)?(?:const|let|var)\s+|{ALSO}){NAME}(?:\s*:\s*[^=;\n]+?)?\s*=\s*{_VALUE}"
     rf"|(?<![^\n])(?:module\.)?exports\.{NAME}\s*=\s*{_WRAPPED})"
 )
 _NAMED_FUNCTION = rf"{NAME}(?:\s*:\s*[^=;\n]+?)?\s*=\s*{_VALUE}"
 #: A name and value of a list of declarations, up to the comma; it goes on where the last one ended.
-LISTED = rf"((?:\G(?<=,)|{EDGE}(?:const|let|var)\s)(?:=>|{STRING}|{ROUND}|{CURLY}|{SQUARE}|{ANGLE}|[^,;(){{}}\[\]<>])*+,)"
+LISTED = rf"((?:\G(?<=,)|{EDGE}(?:const|let|var)\s)(?:{run(',;')}|=>|{STRING}|{ROUND}|{CURLY}|{SQUARE}|{ANGLE}|[^,;(){{}}\[\]<>])*+,)"
 HEAD_NAME = rf"\A{ALSO}?(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+|(?:module\.)?exports\.|(?:async\s+)?function\s*\*?\s*)?({NAME})"
 PARAM_TAIL = rf"({ROUND}){RETURNS}\s*(?:\{{|=>)\z"
 
 # A function inside another one, in leveled text: an arrow, or a name (or "function") with parameters, and a block.
-NESTED = (rf"(?:=>[\s{HEAD_END}]*|{EDGE}(?!(?:if|for|while|switch|catch|with|await)\b){NAME}\s*\*?\s*{GENERIC}{ROUND}"
+NESTED = (rf"(?:=>[\s{HEAD_END}]*|{EDGE}(?!(?:if|for|while|switch|catch|with|await)\b){WHOLE_NAME}\s*\*?\s*{GENERIC}{ROUND}"
           rf"(?:\s*:[^{OPEN};=\n]+)?[\s{HEAD_END}]*){block(1)}")
 
 EMPTY_PROPERTIES = "array<struct<name:string,type:string,optional:boolean>>"
@@ -107,7 +108,8 @@ def throws(body: Column) -> Column:
 
 def own_throws(text: Column) -> Column:
     """Labels of the throw statements of a leveled function text, without those of functions inside it."""
-    return throws(_unmarked(plain(F.regexp_replace(text, NESTED, " "))))
+    # a mark may stand for a comment inside the word
+    return throws(_unmarked(plain(F.regexp_replace(having(text, "throw", MARK), NESTED, " "))))
 
 
 def spans(marked: Column) -> Column:
@@ -134,33 +136,56 @@ def span_lines(parts: Column) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["at"])
 
 
-def _of_span(x: Column, toks: Column) -> Column:
-    head, after = plain(x["head"]), x["after"]
+#: Fields of a function, and those of them that are read from its text rather than from its head.
+FUNCTION_FIELDS = ("name", "kind", "is_async", "exported", "line", "params", "return_type", "throws", "raw_doc", "body", "inner_comments")
+TEXT_FIELDS = ("throws", "body", "inner_comments")
+
+
+def _chosen(fields: dict, wanted: tuple[str, ...]) -> Column:
+    """The wanted fields, in the order of ``fields``; the others are not built."""
+    return F.struct(*[build().alias(n) for n, build in fields.items() if n in wanted])
+
+
+def _of_span(x: Column, toks: Column, wanted: tuple[str, ...]) -> Column:
+    head = plain(x["head"])
+    if not set(TEXT_FIELDS) & set(wanted):
+        return bind(head, lambda h: _function(x, h, F.lit(""), toks, wanted))
+    after = x["after"]
     opened = F.regexp_extract(x["head"], rf"{OPEN}\d+{OPENED}\z", 0)
     # from the brace of the body on, where there is one; the body ends at the next closing brace of its height
-    start = F.concat(opened, after)
-    height = F.regexp_extract(start, rf"\A\s*{OPEN}(\d+){OPENED}", 1)
-    end = F.concat(F.lit(SHUT), height, F.lit(CLOSED))
-    text = (F.when(height != "", F.concat(F.call_function("substring_index", start, end, F.lit(1)), end))
-            .when(head.endswith("{"), after)
-            .otherwise(F.coalesce(missing(F.regexp_extract(after, rf"\A{leveled_piece(f';,{ALSO}')}", 0)), after)))
-    return bind(F.struct(head.alias("head"), text.alias("text")), lambda y: _function(x, y["head"], y["text"], toks))
-
-
-def _function(x: Column, head: Column, text: Column, toks: Column) -> Column:
-    tail = F.regexp_extract(head, PARAM_TAIL, 1)
-    between = F.when(tail != "", F.regexp_replace(tail, r"\A\(|\)\z", "")).otherwise(F.regexp_extract(head, rf"({NAME})\s*=>\z", 1))
-    return F.struct(
-        F.regexp_extract(head, HEAD_NAME, 1).alias("name"),
-        F.when(head.endswith("=>"), "arrow").otherwise("function").alias("kind"),
-        head.rlike(r"(?:\A|[\s=(:,])async[\s(]").alias("is_async"),
-        (head.startswith("export") | head.startswith("module.") | x["in_object"]).alias("exported"),
-        x["line"].alias("line"), params(between).alias("params"),
-        type_name(F.regexp_extract(head, PARAM_TAIL, 2)).alias("return_type"),
-        own_throws(text).alias("throws"),
+
+    def ended(y: Column) -> Column:
+        start, height = y["start"], y["height"]
+        end = F.concat(F.lit(SHUT), height, F.lit(CLOSED))
+        return (F.when(height != "", F.concat(F.call_function("substring_index", start, end, F.lit(1)), end))
+                .when(y["head"].endswith("{"), after)
+                .otherwise(F.coalesce(missing(F.regexp_extract(after, rf"\A{leveled_piece(f';,{ALSO}')}", 0)), after)))
+
+    begun = bind(F.concat(opened, after), lambda s: F.struct(
+        head.alias("head"), s.alias("start"), F.regexp_extract(s, rf"\A\s*{OPEN}(\d+){OPENED}", 1).alias("height")))
+    return bind(bind(begun, lambda y: F.struct(y["head"].alias("head"), ended(y).alias("text"))),
+                lambda y: _function(x, y["head"], y["text"], toks, wanted))
+
+
+def _function(x: Column, head: Column, text: Column, toks: Column, wanted: tuple[str, ...]) -> Column:
+    def between() -> Column:
+        return bind(F.regexp_extract(head, PARAM_TAIL, 1), lambda tail: F.when(
+            tail != "", F.regexp_replace(tail, r"\A\(|\)\z", "")).otherwise(F.regexp_extract(head, rf"({NAME})\s*=>\z", 1)))
+
+    return _chosen({
+        "name": lambda: F.regexp_extract(head, HEAD_NAME, 1),
+        "kind": lambda: F.when(head.endswith("=>"), "arrow").otherwise("function"),
+        "is_async": lambda: head.rlike(r"(?:\A|[\s=(:,])async[\s(]"),
+        "exported": lambda: head.startswith("export") | head.startswith("module.") | x["in_object"],
+        "line": lambda: x["line"],
+        "params": lambda: params(between()),
+        "return_type": lambda: type_name(F.regexp_extract(head, PARAM_TAIL, 2)),
+        "throws": lambda: own_throws(text),
         # a comment above "export default" belongs to the export, not to what is exported
-        F.when(~head.rlike(r"\Aexport\s+default\b"), leading_comment(x["before"], toks)).alias("raw_doc"), _unmarked(plain(text)).alias("body"),
-        _marked_comments(F.regexp_replace(text, rf"(?:{MARK}[0-9]+{MARK}\s*)+\z", ""), toks).alias("inner_comments"))
+        "raw_doc": lambda: F.when(~head.rlike(r"\Aexport\s+default\b"), leading_comment(x["before"], toks)),
+        "body": lambda: _unmarked(plain(text)),
+        "inner_comments": lambda: _marked_comments(F.regexp_replace(text, rf"(?:{MARK}[0-9]+{MARK}\s*)+\z", ""), toks),
+    }, wanted)
 
 
 def _cut_span(span: Column) -> tuple[Column, Column]:
@@ -169,11 +194,11 @@ def _cut_span(span: Column) -> tuple[Column, Column]:
     return head, F.substr(span, F.length(head) + 2)
 
 
-def _span_rows(parts: Column) -> Column:
+def _span_rows(parts: Column, with_text: bool) -> Column:
     def row(s: Column, i: Column, at: Column) -> Column:
         head, rest = _cut_span(s)
         later = F.array_join(F.slice(parts, i + 3, F.greatest(F.size(parts) - i - 2, F.lit(0))), "")
-        return F.struct(head.alias("head"), F.concat(rest, later).alias("after"), F.get(at, i + 1).alias("line"),
+        return F.struct(head.alias("head"), (F.concat(rest, later) if with_text else F.lit("")).alias("after"), F.get(at, i + 1).alias("line"),
                         F.get(parts, i).alias("before"), F.lit(False).alias("in_object"))
 
     return bind(span_lines(parts), lambda at: F.transform(
@@ -198,10 +223,12 @@ def cjs_items(code: Column) -> Column:
     return F.transform(pieces(shallow(inside(body))), plain)
 
 
-def function_list(parts: Column, code: Column, toks: Column) -> Column:
+def function_list(parts: Column, code: Column, toks: Column, wanted: tuple[str, ...] = FUNCTION_FIELDS) -> Column:
     """ARRAY<STRUCT<name, kind, is_async, exported, line, params, return_type, throws, raw_doc, body, inner_comments>>
-    in line order. ``exported`` is the keyword or CommonJS form only; export lists are applied by the caller."""
-    return F.transform(F.concat(_span_rows(parts), _object_rows(code)), lambda x: _of_span(x, toks))
+    in line order, of which the ``wanted`` fields are built. ``exported`` is the keyword or CommonJS form only; export lists are
+    applied by the caller."""
+    rows = F.concat(_span_rows(parts, bool(set(TEXT_FIELDS) & set(wanted))), _object_rows(code))
+    return F.transform(rows, lambda x: _of_span(x, toks, wanted))
 
 
 # ---- imports and exports -------------------------------------------------------------------------------
@@ -226,11 +253,11 @@ def imports(code: Column) -> Column:
 CJS_ONE = rf"(?<![^\n])(?:module\.)?exports\.{NAME}\s*=(?!=)\s*{_WRAPPED}"
 CJS_OBJECT = rf"(?<![^\n])module\.exports\s*=\s*{CURLY}"
 EXPORT = (
-    rf"{EDGE}export\s+default\s+(?:(?:async\s+)?function\s*\*?\s*[\w$]*|(?:abstract\s+)?class\b\s*[\w$]*|[^\n]*)"
+    rf"(?=export|module)(?:{EDGE}export\s+default\s+(?:(?:async\s+)?function\s*\*?\s*[\w$]*|(?:abstract\s+)?class\b\s*[\w$]*|[^\n]*)"
     rf"|{EDGE}export\s+(?:declare\s+|abstract\s+|async\s+)*(?:function\s*\*?\s*|class\s+|interface\s+|type\s+|enum\s+){NAME}"
-    rf"|{EDGE}export\s+(?:const|let|var)\s+(?:,\s*+|=>|{STRING}|{ROUND}|{CURLY}|{SQUARE}|{ANGLE}|[^;\n(){{}}\[\]<>]|[<>])*+"
+    rf"|{EDGE}export\s+(?:const|let|var)\s+(?:{run(',;\\n')}|,\s*+|=>|{STRING}|{ROUND}|{CURLY}|{SQUARE}|{ANGLE}|[^;\n(){{}}\[\]<>]|[<>])*+"
     rf"|{EDGE}export\s*(?:type\s*)?\{{[^}}]*\}}"
-    rf"|{CJS_ONE}|{CJS_OBJECT}"
+    rf"|{CJS_ONE}|{CJS_OBJECT})"
 )
 # Node names under which default exports are listed.
 DEFAULT_KINDS = (
@@ -253,13 +280,16 @@ def _exports_of(s: Column) -> Column:
     """The exports one statement makes."""
     word = F.regexp_extract(s, rf"\Aexport\s+(?:declare\s+|abstract\s+|async\s+)*(function|class|interface|type)\b", 1)
     name = F.regexp_extract(s, rf"({NAME})\z", 1)
-    value = F.regexp_replace(s, r"\Aexport\s+default\s+", "")
-    kind = None
-    for pattern, label in DEFAULT_KINDS:
-        kind = F.when(value.rlike(pattern), label) if kind is None else kind.when(value.rlike(pattern), label)
-    default_name = F.coalesce(missing(F.regexp_extract(
-        value, rf"\A(?:(?:async\s+)?function\s*\*?\s*|(?:abstract\s+)?class\s+)({NAME})\z|\A({NAME})\s*;?\s*\z", 1)),
-        missing(F.regexp_extract(value, rf"\A(?!function\b|class\b|async\b)({NAME})\s*;?\s*\z", 1)), F.lit("default"))
+
+    def default(value: Column) -> Column:
+        kind = None
+        for pattern, label in DEFAULT_KINDS:
+            kind = F.when(value.rlike(pattern), label) if kind is None else kind.when(value.rlike(pattern), label)
+        default_name = F.coalesce(missing(F.regexp_extract(
+            value, rf"\A(?:(?:async\s+)?function\s*\*?\s*|(?:abstract\s+)?class\s+)({NAME})\z|\A({NAME})\s*;?\s*\z", 1)),
+            missing(F.regexp_extract(value, rf"\A(?!function\b|class\b|async\b)({NAME})\s*;?\s*\z", 1)), F.lit("default"))
+        return F.array(_item(default_name, kind.otherwise("Expression"), True))
+
     declared = F.transform(
         F.filter(pieces(F.regexp_replace(s, r"\Aexport\s+(?:const|let|var)\s+", "")), lambda p: p.rlike(rf"\A{NAME}\s*(?::[^=]+)?=(?![=>])")),
         lambda p: _item(F.regexp_extract(p, rf"\A({NAME})", 1), F.lit("variable")))
@@ -268,7 +298,7 @@ def _exports_of(s: Column) -> Column:
     cjs_items = F.transform(
         F.filter(pieces(F.regexp_extract(s, r"\{([\s\S]*)\}\z", 1)), lambda p: p.rlike(rf"\A{NAME}\s*(?:\z|:\s*(?:{NAME}\s*\z|{_WRAPPED}))")),
         lambda p: _item(F.regexp_extract(p, rf"\A({NAME})", 1), F.when(p.rlike(rf"\A{NAME}\s*(?:\z|:\s*{NAME}\s*\z)"), "reference").otherwise("variable")))
-    return (F.when(s.rlike(r"\Aexport\s+default\s"), F.array(_item(default_name, kind.otherwise("Expression"), True)))
+    return (F.when(s.rlike(r"\Aexport\s+default\s"), bind(F.regexp_replace(s, r"\Aexport\s+default\s+", ""), default))
             .when(s.rlike(r"\Aexport\s+(?:const|let|var)\s"), declared)
             .when(s.rlike(r"\Aexport\s*(?:type\s*)?\{"), listed)
             .when(word != "", F.array(_item(name, word)))
@@ -304,9 +334,9 @@ MARKS = rf"(?:{MARK}[0-9]+{MARK}\s*)*"
 CLASS = (rf"({MARKS}){EDGE}((?:export\s+)?(?:default\s+)?)(?:abstract\s+)?class\s+({NAME})\s*{GENERIC}"
          rf"(?:extends\s+([\w$.]+)\s*{GENERIC}(?:{ROUND}\s*)?)?(?:implements\s+[^{OPEN}]+)?({block(6)})")
 _MODIFIERS = r"(?:(?:public|private|protected|static|async|override|abstract|readonly|declare|get|set)\s+)*"
-METHOD_HEAD = rf"{_MODIFIERS}\*?\s*{NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*\{{"
-METHOD = rf"{_MODIFIERS}\*?\s*{NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*{CURLY}"
-FIELD = rf"{_MODIFIERS}{NAME}\s*[?!]?\s*(?::\s*(?:[^=;\n{{}}]|=>|{CURLY})+)?(?:=\s*(?:{CURLY}|{ROUND}|{STRING}|[^;\n])*+)?(?:;|\n|\z)"
+METHOD_HEAD = rf"{_MODIFIERS}\*?\s*{WHOLE_NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*\{{"
+METHOD = rf"{_MODIFIERS}\*?\s*{WHOLE_NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*{CURLY}"
+FIELD = rf"{_MODIFIERS}{WHOLE_NAME}\s*[?!]?\s*(?::\s*(?:[^=;\n{{}}]|=>|{CURLY})+)?(?:=\s*(?:{run(';\\n')}|{CURLY}|{ROUND}|{STRING}|[^;\n])*+)?(?:;|\n|\z)"
 
 
 def _unmarked(text: Column) -> Column:
@@ -317,19 +347,30 @@ def _marked_comments(text: Column, toks: Column) -> Column:
     return F.transform(extract_all(text, rf"{MARK}([0-9]+){MARK}", 1), lambda n: F.get(toks, n.cast("int")))
 
 
-def class_list(marked: Column, toks: Column) -> Column:
-    """ARRAY<STRUCT<name, super_class, raw_doc, methods, properties>>; methods have the shape of ``function_list``."""
+CLASS_FIELDS = ("name", "super_class", "raw_doc", "methods", "properties")
+
+
+def class_list(marked: Column, toks: Column, wanted: tuple[str, ...] = CLASS_FIELDS, of_methods: tuple[str, ...] = FUNCTION_FIELDS) -> Column:
+    """ARRAY<STRUCT<name, super_class, raw_doc, methods, properties>>, of which the ``wanted`` fields are built; methods have the
+    shape of ``function_list``."""
     def method(m: Column) -> Column:
-        text = F.regexp_replace(m, rf"\A{MARKS}", "")
-        shown = F.regexp_extract(text, rf"\A{METHOD_HEAD}", 0)
-        head, body = plain(shown), leveled(plain(F.substr(text, F.length(shown))))
-        return F.struct(
-            F.regexp_extract(head, rf"\A{_MODIFIERS}\*?\s*({NAME})", 1).alias("name"), F.lit("method").alias("kind"),
-            head.rlike(r"\A(?:\w+\s+)*?async\s").alias("is_async"), F.lit(False).alias("exported"), F.lit(None).cast("int").alias("line"),
-            params(F.regexp_replace(F.regexp_extract(head, PARAM_TAIL, 1), r"\A\(|\)\z", "")).alias("params"),
-            type_name(F.regexp_extract(head, PARAM_TAIL, 2)).alias("return_type"), own_throws(body).alias("throws"),
-            leading_comment(F.regexp_extract(m, rf"\A{MARKS}", 0), toks).alias("raw_doc"), plain(_unmarked(text)).alias("body"),
-            _marked_comments(text, toks).alias("inner_comments"))
+        return bind(F.regexp_replace(m, rf"\A{MARKS}", ""), lambda text: bind(F.regexp_extract(text, rf"\A{METHOD_HEAD}", 0), lambda shown: bind(
+            plain(shown), lambda head: parted(m, text, shown, head))))
+
+    def parted(m: Column, text: Column, shown: Column, head: Column) -> Column:
+        return _chosen({
+            "name": lambda: F.regexp_extract(head, rf"\A{_MODIFIERS}\*?\s*({NAME})", 1),
+            "kind": lambda: F.lit("method"),
+            "is_async": lambda: head.rlike(r"\A(?:\w+\s+)*?async\s"),
+            "exported": lambda: F.lit(False),
+            "line": lambda: F.lit(None).cast("int"),
+            "params": lambda: params(F.regexp_replace(F.regexp_extract(head, PARAM_TAIL, 1), r"\A\(|\)\z", "")),
+            "return_type": lambda: type_name(F.regexp_extract(head, PARAM_TAIL, 2)),
+            "throws": lambda: own_throws(leveled(plain(F.substr(text, F.length(shown))))),
+            "raw_doc": lambda: leading_comment(F.regexp_extract(m, rf"\A{MARKS}", 0), toks),
+            "body": lambda: plain(_unmarked(text)),
+            "inner_comments": lambda: _marked_comments(text, toks),
+        }, of_methods)
 
     def field(f: Column) -> Column:
         return F.struct(
@@ -341,10 +382,17 @@ def class_list(marked: Column, toks: Column) -> Column:
         members = extract_all(shallow(inside(r["b"])), rf"(?<![\w$.#@]){MARKS}(?:{METHOD}|{FIELD})")
         is_method = lambda m: m.rlike(rf"\A{MARKS}{METHOD}\z")
         fields = lambda ms: F.transform(F.filter(ms, lambda m: ~is_method(m)), lambda m: plain(trim(_unmarked(m))))
-        return bind(F.transform(members, trim), lambda ms: F.struct(
-            r["n"].alias("name"), F.when(r["p"].rlike(rf"\A{NAME}\z"), r["p"]).alias("super_class"),
-            F.when(~F.contains(r["e"], F.lit("default")), leading_comment(r["c"], toks)).alias("raw_doc"), F.transform(F.filter(ms, is_method), method).alias("methods"),
-            F.transform(F.filter(fields(ms), lambda f: f.rlike(rf"\A{FIELD}\z")), field).alias("properties")))
+
+        def built(ms: Column) -> Column:
+            return _chosen({
+                "name": lambda: r["n"],
+                "super_class": lambda: F.when(r["p"].rlike(rf"\A{NAME}\z"), r["p"]),
+                "raw_doc": lambda: F.when(~F.contains(r["e"], F.lit("default")), leading_comment(r["c"], toks)),
+                "methods": lambda: F.transform(F.filter(ms, is_method), method),
+                "properties": lambda: F.transform(F.filter(fields(ms), lambda f: f.rlike(rf"\A{FIELD}\z")), field),
+            }, wanted)
+
+        return bind(F.transform(members, trim), built) if {"methods", "properties"} & set(wanted) else built(F.array())
 
     def groups(text: Column) -> Column:
         return F.struct(*[F.regexp_extract(text, CLASS, g).alias(n) for g, n in ((1, "c"), (2, "e"), (3, "n"), (4, "p"), (5, "b"))])
@@ -427,9 +475,10 @@ SHAPE_CAP = 120
 
 
 def is_handler(ps: Column) -> Column:
-    names = F.transform(ps, lambda p: F.lower(p["name"]))
-    return ((F.get(names, F.lit(0)) == "req") & (F.get(names, F.lit(1)) == "res")
-            & ((F.size(ps) == 2) | ((F.size(ps) == 3) & (F.get(names, F.lit(2)) == "next"))))
+    def name(i: int) -> Column:
+        return F.lower(F.get(ps, F.lit(i))["name"])
+
+    return ((name(0) == "req") & (name(1) == "res") & ((F.size(ps) == 2) | ((F.size(ps) == 3) & (name(2) == "next"))))
 
 
 def request_fields(body: Column, part: str) -> Column:

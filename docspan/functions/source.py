@@ -10,16 +10,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAME = r"[A-Za-z_$][\w$]*"
+#: For a name that no word character may follow: shorter names are not tried.
+WHOLE_NAME = rf"{NAME}+"
 EDGE = r"(?<![\w$.])"
 STRING = r"""(?:"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\[\s\S]|[^`\\])*+`)"""
 COMMENT = r"(?://[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)"
 #: A slash begins a pattern where a value may stand: after an operator, an opening bracket, a comma, or one of these words. After a
 #: name, a number or a closing bracket it divides; after an angle bracket it belongs to a tag.
 BEFORE_VALUE = r"(?<=(?:\A|[=(\[{,;:!?&|+*%~^-]|=>|(?<![\w$.])(?:return|typeof|case|in|of|do|else|void|delete|throw|yield|await))\s{0,40})"
-PATTERN = rf"(?:{BEFORE_VALUE}/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*+\]|[^/\\\[\n])++/[A-Za-z]*+)"
-TOKEN = rf"""{STRING}|{COMMENT}|{PATTERN}|[^"'`/]++|[\s\S]"""
+#: Only a slash is worth the look back.
+PATTERN = rf"(?:(?=/){BEFORE_VALUE}/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*+\]|[^/\\\[\n])++/[A-Za-z]*+)"
+TOKEN = rf"""[^"'`/]++|{STRING}|{COMMENT}|{PATTERN}|[\s\S]"""
 #: Brackets outside strings, comments and patterns are its group; all else is matched without one.
-BRACKET = rf"""(?:{STRING}|{COMMENT}|{PATTERN}|[^"'`/(){{}}\[\]]++|["'`/])|([(){{}}\[\]]++)"""
+BRACKET = rf"""([(){{}}\[\]]++)|(?:[^"'`/(){{}}\[\]]++|{STRING}|{COMMENT}|{PATTERN}|["'`/])++"""
 MARK, CUT, HEAD_END = "\x02", "\x01", "\x07"
 OPEN, OPENED, SHUT, CLOSED = "\x03", "\x04", "\x05", "\x06"
 #: Stand for braces that do not count: those in strings, and those below the levels that ``shallow`` keeps.
@@ -49,9 +52,14 @@ SQUARE = rf"\[{nested(r'\[', r'\]')}\]"
 ANGLE = rf"<{nested('<', '>')}>"
 
 
+def run(but: str) -> str:
+    """Characters that begin neither a string nor an arrow nor a bracket, nor are among ``but``: they are taken at once."""
+    return rf"""[^{but}(){{}}\[\]<>"'`=]++"""
+
+
 def piece(separators: str) -> str:
     """A run up to a separator outside brackets and strings."""
-    return rf"(?:=>|{STRING}|{ROUND}|{CURLY}|{SQUARE}|{ANGLE}|[^{separators}(){{}}\[\]<>])++"
+    return rf"(?:{run(separators)}|=>|{STRING}|{ROUND}|{CURLY}|{SQUARE}|{ANGLE}|[^{separators}(){{}}\[\]<>])++"
 
 
 def block(group: int) -> str:
@@ -61,7 +69,7 @@ def block(group: int) -> str:
 
 def leveled_piece(separators: str) -> str:
     """``piece`` for leveled text; its first group is taken."""
-    return rf"(?:=>|{STRING}|{ROUND}|{block(1)}|{SQUARE}|{ANGLE}|[^{separators}(){{}}\[\]<>{OPEN}{SHUT}])++"
+    return rf"(?:{run(separators + OPEN + SHUT)}|=>|{STRING}|{ROUND}|{block(1)}|{SQUARE}|{ANGLE}|[^{separators}(){{}}\[\]<>{OPEN}{SHUT}])++"
 
 
 def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -90,7 +98,7 @@ def pieces(text: Column, separators: str = ",") -> Column:
 def leveled(text: Column) -> Column:
     """The text with heights at its braces: a block without blocks in it has height 1. Each step writes the heights of all
     blocks whose inner blocks have theirs, so there are as many steps as levels. Braces without a partner stay plain."""
-    strings = extract_all(text, rf"""{STRING}|[^"'`]++|["'`]""")
+    strings = extract_all(text, rf"""[^"'`]++|{STRING}|["'`]""")
     quiet = F.array_join(F.transform(strings, lambda t: F.when(t.rlike(r"""\A["'`]"""), F.translate(t, "{}", QUIET)).otherwise(t)), "")
 
     def deepest(t: Column) -> Column:
@@ -148,7 +156,7 @@ def said(text: Column) -> Column:
 
 def tokens(content: Column) -> Column:
     """Strings, comments, patterns and the text between them, in order."""
-    return extract_all(F.regexp_replace(F.coalesce(content, F.lit("")), "\r\n", "\n"), TOKEN)
+    return extract_all(F.replace(F.coalesce(content, F.lit("")), F.lit("\r\n"), F.lit("\n")), TOKEN)
 
 
 def is_comment(token: Column) -> Column:
@@ -176,7 +184,7 @@ def clean_code(marked: Column) -> Column:
 
 def brackets(content: Column) -> Column:
     """The brackets of a text outside comments, patterns and strings, in order: one pass, without an array of tokens."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(content, F.lit("")), "\r\n", "\n"), BRACKET, "$1")
+    return F.regexp_replace(F.replace(F.coalesce(content, F.lit("")), F.lit("\r\n"), F.lit("\n")), BRACKET, "$1")
 
 
 def comment_value(raw: Column) -> Column:

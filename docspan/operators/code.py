@@ -28,30 +28,56 @@ def code_texts(files: DataFrame) -> DataFrame:
             .withColumn("marked", S.marked_code(F.col("tokens"))).withColumn("code", S.clean_code(F.col("marked"))))
 
 
-def _finished(fn: Column, names: Column) -> Column:
-    """A function with exports applied, its documentation parsed and its request surface read."""
-    doc = doc_tags(fn["raw_doc"])
-    inner = F.filter(fn["inner_comments"], lambda c: ~F.coalesce(F.contains(fn["raw_doc"], S.trim(S.comment_value(c))), F.lit(False)))
-    notes = F.filter(F.transform(inner, S.cleaned_comment), lambda c: c != "")
-    api = F.when(D.is_handler(fn["params"]), F.struct(
-        D.request_fields(fn["body"], "body").alias("body_fields"), D.request_fields(fn["body"], "params").alias("route_params"),
-        D.request_fields(fn["body"], "query").alias("query_params"), D.responses(fn["body"]).alias("responses")))
-    return S.bind(F.struct(fn.alias("fn"), doc.alias("doc")), lambda x: F.struct(
-        x["fn"]["name"].alias("name"), x["fn"]["kind"].alias("kind"), x["fn"]["is_async"].alias("is_async"),
-        (x["fn"]["exported"] | F.array_contains(names, x["fn"]["name"])).alias("exported"), x["fn"]["line"].alias("line"),
-        x["fn"]["params"].alias("params"), x["fn"]["return_type"].alias("return_type"), x["fn"]["throws"].alias("throws"),
-        x["doc"].alias("tags"), F.coalesce(x["doc"]["description"], comment_description(x["fn"]["raw_doc"])).alias("doc"),
-        notes.alias("notes"), api.alias("api")))
+#: Fields of a finished function and what each is made from.
+FIELD_SOURCES = {
+    "name": ("name",), "kind": ("kind",), "is_async": ("is_async",), "exported": ("exported", "name"), "line": ("line",), "params": ("params",),
+    "return_type": ("return_type",), "throws": ("throws",), "tags": ("raw_doc",), "doc": ("raw_doc",), "notes": ("raw_doc", "inner_comments"),
+    "api": ("params", "body"),
+}
+FIELDS = tuple(FIELD_SOURCES)
+CLASS_FIELDS = ("name", "super_class", "methods", "properties", "doc")
+SIGNATURE_FIELDS, SIGNATURE_CLASS_FIELDS = ("name", "exported", "params", "return_type"), ("name", "methods")
+ROLE_FIELDS, COUNTED = ("name", "exported", "params"), ("name",)
+
+
+def _sources(fields: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(s for s in D.FUNCTION_FIELDS if any(s in FIELD_SOURCES[f] for f in fields))
+
+
+def _finished(fn: Column, names: Column, fields: tuple[str, ...] = FIELDS) -> Column:
+    """A function with exports applied, its documentation parsed and its request surface read, as far as ``fields`` asks for them."""
+    def notes() -> Column:
+        inner = F.filter(fn["inner_comments"], lambda c: ~F.coalesce(F.contains(fn["raw_doc"], S.trim(S.comment_value(c))), F.lit(False)))
+        return F.filter(F.transform(inner, S.cleaned_comment), lambda c: c != "")
+
+    def api() -> Column:
+        return F.when(D.is_handler(fn["params"]), F.struct(
+            D.request_fields(fn["body"], "body").alias("body_fields"), D.request_fields(fn["body"], "params").alias("route_params"),
+            D.request_fields(fn["body"], "query").alias("query_params"), D.responses(fn["body"]).alias("responses")))
+
+    def built(doc: Column | None) -> Column:
+        made = {
+            "exported": lambda: fn["exported"] | F.array_contains(names, fn["name"]), "tags": lambda: doc,
+            "doc": lambda: F.coalesce(doc["description"], comment_description(fn["raw_doc"])), "notes": notes, "api": api,
+        }
+        return F.struct(*[made.get(f, lambda f=f: fn[f])().alias(f) for f in FIELDS if f in fields])
+
+    return S.bind(doc_tags(fn["raw_doc"]), built) if {"tags", "doc"} & set(fields) else built(None)
 
 
 def _description(raw: Column) -> Column:
     return F.coalesce(doc_tags(raw)["description"], comment_description(raw))
 
 
-def _finished_class(c: Column) -> Column:
+def _classes(fields: tuple[str, ...], of_methods: tuple[str, ...]) -> Column:
     none = F.array().cast("array<string>")
-    return F.struct(c["name"].alias("name"), c["super_class"].alias("super_class"), F.transform(c["methods"], lambda m: _finished(m, none)).alias("methods"),
-                    c["properties"].alias("properties"), _description(c["raw_doc"]).alias("doc"))
+    raw = tuple("raw_doc" if f == "doc" else f for f in fields)
+
+    def finished(c: Column) -> Column:
+        made = {"methods": lambda: F.transform(c["methods"], lambda m: _finished(m, none, of_methods)), "doc": lambda: _description(c["raw_doc"])}
+        return F.struct(*[made.get(f, lambda f=f: c[f])().alias(f) for f in CLASS_FIELDS if f in fields])
+
+    return F.transform(D.class_list(F.col("marked"), F.col("tokens"), raw, _sources(of_methods)), finished)
 
 
 def _finished_interface(i: Column) -> Column:
@@ -59,16 +85,16 @@ def _finished_interface(i: Column) -> Column:
 
 
 # How each fact column follows from the text columns. The expressions are large and do not depend on the
-# table, so each is built once per Spark context and used again.
+# table, so each is built once per Spark context and choice of fields and used again.
 _EXPRESSIONS = {
     "language": lambda: language(F.col("file_name"), F.col("content")),
     "directives": lambda: S.directives(F.col("code")),
     "imports": lambda: D.imports(F.col("code")),
     "exports": lambda: D.exports(F.col("code")),
-    "raw_functions": lambda: D.function_list(F.col("parts"), F.col("code"), F.col("tokens")),
+    "raw_functions": lambda fields, _: D.function_list(F.col("parts"), F.col("code"), F.col("tokens"), _sources(fields)),
     # bound, or the optimiser would move the export list into the lambda and read it once per function
-    "functions": lambda: S.bind(D.marking_names(F.col("exports")), lambda names: F.transform("raw_functions", lambda f: _finished(f, names))),
-    "classes": lambda: F.transform(D.class_list(F.col("marked"), F.col("tokens")), _finished_class),
+    "functions": lambda fields, _: S.bind(D.marking_names(F.col("exports")), lambda names: F.transform("raw_functions", lambda f: _finished(f, names, fields))),
+    "classes": lambda fields, class_fields: _classes(class_fields, fields),
     "interfaces": lambda: F.transform(D.interface_list(F.col("marked"), F.col("tokens")), _finished_interface),
     "comments": lambda: S.comments(F.col("tokens")),
     "hooks": lambda: D.hooks(F.col("code")),
@@ -84,20 +110,24 @@ SIGNATURE_FACTS = ("exports", "functions", "classes", "interfaces")
 
 
 @lru_cache(maxsize=None)
-def _built(name: str, context_id: str) -> Column:
-    return _EXPRESSIONS[name]()
+def _built(name: str, context_id: str, *fields: tuple[str, ...]) -> Column:
+    return _EXPRESSIONS[name](*fields)
+
 
+def code_facts(files: DataFrame, wanted: tuple[str, ...] = FACTS, fields: tuple[str, ...] = FIELDS, class_fields: tuple[str, ...] = CLASS_FIELDS) -> DataFrame:
+    """One row per file with the wanted fact arrays, beside file_id, file_name and content.
 
-def code_facts(files: DataFrame, wanted: tuple[str, ...] = FACTS) -> DataFrame:
-    """One row per file with the wanted fact arrays, beside file_id, file_name and content."""
+    ``fields`` are those of a function or method and ``class_fields`` those of a class that the caller reads: the optimiser cannot
+    leave a field out of a struct that is built inside an array."""
     context_id = files.sparkSession.sparkContext.applicationId
     df = code_texts(files)
     if {"functions", "exports"} & set(wanted):
         df = df.withColumn("exports", _built("exports", context_id))
     if "functions" in wanted:
-        df = df.withColumn("parts", D.spans(F.col("marked"))).withColumn("raw_functions", _built("raw_functions", context_id))
+        df = df.withColumn("parts", D.spans(F.col("marked"))).withColumn("raw_functions", _built("raw_functions", context_id, fields, class_fields))
+    own = {"functions": (fields, class_fields), "classes": (fields, class_fields)}
     return df.select("file_id", "file_name", "content", *[
-        F.col("exports") if w == "exports" else _built(w, context_id).alias(w) for w in wanted])
+        F.col("exports") if w == "exports" else _built(w, context_id, *own.get(w, ())).alias(w) for w in wanted])
 
 
 def quarantine(files: DataFrame) -> tuple[DataFrame, DataFrame]:

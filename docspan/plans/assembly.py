@@ -64,7 +64,8 @@ def unit_payloads(spark, sf):
 
 
 def declaration_summaries(spark, sf):
-    s = A.declaration_summary(C.file_roles(C.code_facts(C.quarantine(spread(fixture(spark, sf, "fx_modules")))[0])))
+    facts = C.code_facts(C.quarantine(spread(fixture(spark, sf, "fx_modules")))[0], C.FACTS, ("name", "exported", "params", "doc"), ("name", "doc"))
+    s = A.declaration_summary(C.file_roles(facts))
     field = lambda path: F.coalesce(F.get_json_object("summary", path), F.lit("—"))
     return s.select("file_id", field("$.role").alias("role"), field("$.declarations[0].kind").alias("kind"), field("$.declarations[0].name").alias("name"),
                     field("$.declarations[0].purpose").alias("purpose"), field("$.imports[0]").alias("import"))

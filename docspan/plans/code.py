@@ -22,8 +22,8 @@ def _facts(spark, sf, *wanted, name="fx_source_files"):
     return C.code_facts(spread(fixture(spark, sf, name)), wanted or C.FACTS)
 
 
-def _modules(spark, sf, *wanted):
-    return C.code_facts(C.quarantine(spread(fixture(spark, sf, "fx_modules")))[0], wanted or C.FACTS)
+def _modules(spark, sf, *wanted, fields=C.FIELDS, class_fields=C.CLASS_FIELDS):
+    return C.code_facts(C.quarantine(spread(fixture(spark, sf, "fx_modules")))[0], wanted or C.FACTS, fields, class_fields)
 
 
 def _text(c: Column) -> Column:
@@ -59,7 +59,8 @@ def function_catalogue(spark, sf):
 
 
 def module_functions(spark, sf):
-    return C.function_catalogue(_modules(spark, sf, "functions")).select(
+    fields = ("name", "kind", "is_async", "exported", "params", "throws", "notes")
+    return C.function_catalogue(_modules(spark, sf, "functions", fields=fields)).select(
         "file_id", "name", "kind", "is_async", "exported", _params(F.col("params")).alias("params"), F.array_join("throws", ",").alias("throws"),
         F.array_join("notes", ",").alias("notes"))
 
@@ -69,7 +70,7 @@ def normalised_types(spark, sf):
 
 
 def class_catalogue(spark, sf):
-    c = C.class_catalogue(_modules(spark, sf, "classes"))
+    c = C.class_catalogue(_modules(spark, sf, "classes", fields=("name", "params", "return_type", "throws"), class_fields=("name", "super_class", "methods", "properties")))
     return c.select("file_id", "name", "super_class", F.array_join(F.transform("methods", lambda m: F.concat(
         m["name"], F.lit("("), _params(m["params"]), F.lit("):"), m["return_type"], F.lit(" throws "), F.array_join(m["throws"], ","))), ";").alias("methods"),
         F.array_join(F.transform("properties", lambda p: F.concat(F.when(p["static"], "static ").otherwise(""), p["name"], F.lit(":"), p["type"])), ";").alias("properties"))
@@ -93,18 +94,18 @@ def throw_inventory(spark, sf):
 
 
 def handler_surface(spark, sf):
-    return C.handler_surface(_modules(spark, sf, "functions")).select(
+    return C.handler_surface(_modules(spark, sf, "functions", fields=("name", "api"))).select(
         "file_id", "function_name", *[F.array_join(c, ",").alias(c) for c in ("body_fields", "route_params", "query_params")],
         F.array_join(F.transform("responses", lambda r: F.concat(r["status"].cast("string"), F.lit(" "), r["shape"])), " | ").alias("responses"))
 
 
 def response_shapes(spark, sf):
-    rows = with_position(C.handler_surface(_modules(spark, sf, "functions")), ["file_id", "function_name"], F.col("responses"), "r")
+    rows = with_position(C.handler_surface(_modules(spark, sf, "functions", fields=("name", "api"))), ["file_id", "function_name"], F.col("responses"), "r")
     return C.response_shapes(rows.select("file_id", "function_name", "pos", "r.status", "r.shape"))
 
 
 def doc_tag_catalogue(spark, sf):
-    return C.doc_tag_catalogue(_modules(spark, sf, "functions")).select(
+    return C.doc_tag_catalogue(_modules(spark, sf, "functions", fields=("name", "tags"))).select(
         "file_id", "function_name", "description", _text(F.col("route.method")).alias("method"), _text(F.col("route.path")).alias("path"), _text(F.col("access")).alias("access"))
 
 
@@ -129,7 +130,7 @@ def file_roles(spark, sf):
 
 
 def module_roles(spark, sf):
-    return C.file_roles(_modules(spark, sf, *C.ROLE_FACTS)).select("file_id", "role", F.array_join("signals", "; ").alias("signals"))
+    return C.file_roles(_modules(spark, sf, *C.ROLE_FACTS, fields=C.ROLE_FIELDS, class_fields=C.COUNTED)).select("file_id", "role", F.array_join("signals", "; ").alias("signals"))
 
 
 def role_histogram(spark, sf):
@@ -141,7 +142,7 @@ def signature_entries(spark, sf):
 
 
 def module_signatures(spark, sf):
-    return C.with_signatures(_modules(spark, sf, *C.SIGNATURE_FACTS)).select("file_id", "signature_hash")
+    return C.with_signatures(_modules(spark, sf, *C.SIGNATURE_FACTS, fields=C.SIGNATURE_FIELDS, class_fields=C.SIGNATURE_CLASS_FIELDS)).select("file_id", "signature_hash")
 
 
 def env_inventory(spark, sf):
@@ -153,7 +154,7 @@ def env_totals(spark, sf):
 
 
 def code_totals(spark, sf):
-    f = _modules(spark, sf, "functions", "classes", "interfaces").withColumn("project_id", F.col("file_id") % 25)
+    f = _modules(spark, sf, "functions", "classes", "interfaces", fields=C.COUNTED, class_fields=C.COUNTED).withColumn("project_id", F.col("file_id") % 25)
     return C.code_totals(f, ["project_id"])
 
 
@@ -171,7 +172,7 @@ SELECT p_partkey AS file_id, p_partkey % 50 AS doc_id, concat('src/f', cast(p_pa
 
 def content_drift(spark, sf):
     old = spread(fixture(spark, sf, "fx_source_files"))
-    stored = C.with_signatures(C.code_facts(old, C.SIGNATURE_FACTS)).select("file_id", F.when(F.col("file_id") % 2 == 0, F.col("signature_hash")).alias("signature_hash"))
+    stored = C.with_signatures(C.code_facts(old, C.SIGNATURE_FACTS, C.SIGNATURE_FIELDS, C.SIGNATURE_CLASS_FIELDS)).select("file_id", F.when(F.col("file_id") % 2 == 0, F.col("signature_hash")).alias("signature_hash"))
     bindings = sql_input(spark, sf, FILE_BINDINGS_SQL).join(stored, "file_id", "left")
     out = D.content_drift(bindings, spread(sql_input(spark, sf, NEW_FILES_SQL)), spread(sql_input(spark, sf, OLD_FILES_SQL)))
     return out.withColumn("changed_functions", F.array_join("changed_functions", ","))

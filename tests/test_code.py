@@ -304,6 +304,19 @@ def test_brackets_outside_strings_comments_and_patterns(spark):
     assert [(r.b, r.ok) for r in got] == [(b, ok) for _, b, ok in cases]
 
 
+def test_only_the_fields_that_are_read_are_built(spark):
+    text = DEEP_CLASS + "/** Adds.\n * @access all */\nexport function add(req, res) { throw new E('x'); /* note */ }\nmodule.exports = { sub: (a: number) => a };\n"
+    files = spark.createDataFrame([(1, "a.ts", text), (2, "b.ts", None)], "file_id int, file_name string, content string")
+    whole = {r.file_id: r.asDict(True) for r in C.code_facts(files).collect()}
+    for fields, class_fields in ((C.SIGNATURE_FIELDS, C.SIGNATURE_CLASS_FIELDS), (C.ROLE_FIELDS, C.COUNTED), (("name", "api"), ("doc",)), (("name", "tags", "notes"), ("properties",))):
+        facts = C.code_facts(files, ("functions", "classes"), fields, class_fields)
+        for r in facts.collect():
+            got, all_of = r.asDict(True), whole[r.file_id]
+            assert got["functions"] == [{k: f[k] for k in C.FIELDS if k in fields} for f in all_of["functions"]]
+            assert [{k: v for k, v in c.items() if k != "methods"} for c in got["classes"]] == [
+                {k: c[k] for k in C.CLASS_FIELDS if k in class_fields and k != "methods"} for c in all_of["classes"]]
+
+
 def test_errors_are_judged_once(spark):
     from docspan.operators import assembly as A
 
