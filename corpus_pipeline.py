@@ -14,6 +14,8 @@ from docspan.llm import language, packing, quality_rules, secret_scan, simhash
 from docspan.operators.storage import new_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The stages before packing have left an executor's JVM large, so a worker of it remembers less and cuts fewer texts at a time.
+PACK_REMEMBERED_BYTES, PACK_SLICE_BYTES = 32 << 20, 1 << 20
 #: Documents whose pooled language probability is lower are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
 
@@ -44,7 +46,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed sequences of power-of-two lengths."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=PACK_REMEMBERED_BYTES, slice_bytes=PACK_SLICE_BYTES)
 
 
 STAGES = [("quality rules", quality), ("language id", languages), ("simhash near-dedup", near_duplicates), ("secret scans", secrets), ("packing", pack)]

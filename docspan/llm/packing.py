@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.batches import lists, slices, strings
+from docspan.llm.batches import SLICE_BYTES, lists, slices, strings
 from docspan.llm.tokens import Vocabulary, WordTokens
 
 LONGEST = 2048
@@ -35,22 +35,27 @@ def checksums(values: np.ndarray, lengths: Iterable[int]) -> pa.Array:
     return pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.int64())
 
 
-def pack(docs: DataFrame, path: str, longest: int = LONGEST, end: int = END, digest: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, longest: int = LONGEST, end: int = END, digest: bool = False, remembered: int | None = None, slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): doc_id, start, length, doc_tokens, ids, bucket (log2 of the length),
     sequence_id, offset (always 0: a piece is a whole sequence). With ``digest``, ids_crc32 stands in place of ids: the ids
     of a piece are summed up where they are cut and never leave the worker.
 
     A null text counts as empty: its one id is the end id. Repeated rows and equal ids are packed once per row. A
     sequence_id is unique; it numbers the rows of each task, so a repeated task may give other numbers but no number twice.
-    Other columns of the input are not read. ``path`` names a tokenizers file; no row is exchanged."""
+    Other columns of the input are not read. ``path`` names a tokenizers file; no row is exchanged.
+
+    A worker cuts texts of about ``slice_bytes`` at a time and remembers ids of pieces in two generations of ``remembered``
+    bytes (the module's usual size if none is given): less of either takes less memory and more time, and changes no row."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     vocabulary = Vocabulary.file(docs.sparkSession, path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary.load(WordTokens)
+        tokens = vocabulary.load(WordTokens, remembered)
         last = np.asarray([end], dtype="<u4").tobytes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", slice_bytes):
             ids = [np.frombuffer(own + last, dtype="<u4") for own in tokens.many(strings(batch, "text"))]
             pieces = [piece_lengths(len(x), longest) for x in ids]
             counts = [len(p) for p in pieces]

@@ -23,6 +23,8 @@ REMEMBERED_BYTES = 112 << 20
 MARK = "|"
 #: Pieces that are encoded together.
 TOGETHER = 64
+#: Texts that the library encodes in one call. Beside ids, its results hold tokens, offsets and masks: some hundred bytes an id.
+AT_ONCE = 64
 _LOADED: dict[tuple[str, str], object] = {}
 
 
@@ -42,12 +44,14 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             return Vocabulary.of(spark, f.read())
 
-    def load(self, kind: type):
-        """One instance of ``kind`` per worker process."""
+    def load(self, kind: type, most: int | None = None):
+        """One instance of ``kind`` per worker process; from now on it remembers ``most`` bytes a generation, or the usual number."""
         if (kind.__name__, self.key) not in _LOADED:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
             _LOADED[kind.__name__, self.key] = kind(self.text.value)
-        return _LOADED[kind.__name__, self.key]
+        loaded = _LOADED[kind.__name__, self.key]
+        loaded.most = most
+        return loaded
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -67,17 +71,25 @@ class _Remembered:
         self.table: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
         self.held = 0
+        #: Bytes of a generation, where a caller wants fewer.
+        self.most: int | None = None
         mark = self.tokenizer.encode(" " + MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
+    def results(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text; only the results of ``AT_ONCE`` texts are held at a time."""
+        for at in range(0, len(texts), AT_ONCE):
+            for found in self.tokenizer.encode_batch_fast(texts[at:at + AT_ONCE], add_special_tokens=False):
+                yield found.ids
+
     def encoded(self, texts: list[str]) -> list[bytes]:
-        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [*map(_packed, self.results(texts))]
 
     def learn(self, pieces: set[str]) -> None:
         new = pieces.difference(self.table)
         if not new:
             return
-        if self.held > REMEMBERED_BYTES * self.share:
+        if self.held > (REMEMBERED_BYTES * self.share if self.most is None else self.most):
             self.before, self.table, self.held, new = self.table, {}, 0, pieces
         again = {p: self.before[p] for p in new if p in self.before}
         found = again | dict(self.known([p for p in new if p not in again]))
@@ -92,8 +104,8 @@ class _Remembered:
         plain = [p for p in pieces if MARK not in p] if self.mark is not None else []
         runs = [plain[at:at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
         texts = ["".join(f" {p} {MARK}" for p in run) for run in runs]
-        for run, found in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.asarray(found.ids, dtype="<u4")
+        for run, found in zip(runs, self.results(texts), strict=True):
+            ids = np.asarray(found, dtype="<u4")
             raw, start = ids.tobytes(), 0
             for piece, end in zip(run, np.flatnonzero(ids == self.mark).tolist(), strict=True):
                 yield piece, raw[4 * start:4 * end]

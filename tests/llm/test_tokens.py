@@ -47,6 +47,31 @@ def test_ids_stay_the_same_after_forgetting(word, monkeypatch):
         assert np.frombuffer(word[0].ids(text), "<u4").tolist() == word[1](text)
 
 
+def test_the_library_holds_few_results_at_a_time(word):
+    calls = []
+
+    class Counted:
+        def __init__(self, whole):
+            self.whole = whole
+
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return self.whole.encode_batch_fast(texts, **how)
+
+    tokens = WordTokens(open(WORDS, encoding="utf-8").read())
+    tokens.tokenizer = Counted(tokens.tokenizer)
+    text = " ".join(f"w{k}" + "|" * (k % 9 == 0) for k in range(20_000))
+    assert np.frombuffer(tokens.ids(text), "<u4").tolist() == word[1](text)
+    assert 0 < max(calls) <= 64
+
+
+def test_a_worker_that_remembers_little_packs_the_same(odd_docs):
+    def rows(**how):
+        return sorted(repr((r.doc_id, r.start, r.length, r.doc_tokens, r.ids)) for r in packing.pack(odd_docs, WORDS, **how).collect())
+
+    assert rows(remembered=300, slice_bytes=50) == rows()
+
+
 def test_packing_covers_every_id_once(odd_docs, no_docs, word):
     rows = packing.pack(odd_docs, WORDS).collect()
     per_text = {}
