@@ -194,15 +194,17 @@ def _cut_span(span: Column) -> tuple[Column, Column]:
     return head, F.substr(span, F.length(head) + 2)
 
 
-def _span_rows(parts: Column, with_text: bool) -> Column:
-    def row(s: Column, i: Column, at: Column) -> Column:
+def _span_rows(parts: Column, with_text: bool, with_line: bool) -> Column:
+    def row(s: Column, i: Column, at: Column | None) -> Column:
         head, rest = _cut_span(s)
         later = F.array_join(F.slice(parts, i + 3, F.greatest(F.size(parts) - i - 2, F.lit(0))), "")
-        return F.struct(head.alias("head"), (F.concat(rest, later) if with_text else F.lit("")).alias("after"), F.get(at, i + 1).alias("line"),
-                        F.get(parts, i).alias("before"), F.lit(False).alias("in_object"))
+        return F.struct(head.alias("head"), (F.concat(rest, later) if with_text else F.lit("")).alias("after"),
+                        (F.get(at, i + 1) if with_line else F.lit(None).cast("int")).alias("line"), F.get(parts, i).alias("before"), F.lit(False).alias("in_object"))
 
-    return bind(span_lines(parts), lambda at: F.transform(
-        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s, i: row(s, i, at)))
+    def rows(at: Column | None) -> Column:
+        return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s, i: row(s, i, at))
+
+    return bind(span_lines(parts), rows) if with_line else rows(None)
 
 
 def _object_rows(code: Column) -> Column:
@@ -227,7 +229,7 @@ def function_list(parts: Column, code: Column, toks: Column, wanted: tuple[str,
     """ARRAY<STRUCT<name, kind, is_async, exported, line, params, return_type, throws, raw_doc, body, inner_comments>>
     in line order, of which the ``wanted`` fields are built. ``exported`` is the keyword or CommonJS form only; export lists are
     applied by the caller."""
-    rows = F.concat(_span_rows(parts, bool(set(TEXT_FIELDS) & set(wanted))), _object_rows(code))
+    rows = F.concat(_span_rows(parts, bool(set(TEXT_FIELDS) & set(wanted)), "line" in wanted), _object_rows(code))
     return F.transform(rows, lambda x: _of_span(x, toks, wanted))
 
 
@@ -331,7 +333,8 @@ def marking_names(exported: Column) -> Column:
 # ---- classes and interfaces ----------------------------------------------------------------------------
 
 MARKS = rf"(?:{MARK}[0-9]+{MARK}\s*)*"
-CLASS = (rf"({MARKS}){EDGE}((?:export\s+)?(?:default\s+)?)(?:abstract\s+)?class\s+({NAME})\s*{GENERIC}"
+#: The first character of a declaration is looked at before all else.
+CLASS = (rf"(?=[{MARK}acde])({MARKS}){EDGE}((?:export\s+)?(?:default\s+)?)(?:abstract\s+)?class\s+({NAME})\s*{GENERIC}"
          rf"(?:extends\s+([\w$.]+)\s*{GENERIC}(?:{ROUND}\s*)?)?(?:implements\s+[^{OPEN}]+)?({block(6)})")
 _MODIFIERS = r"(?:(?:public|private|protected|static|async|override|abstract|readonly|declare|get|set)\s+)*"
 METHOD_HEAD = rf"{_MODIFIERS}\*?\s*{WHOLE_NAME}\s*{GENERIC}{ROUND}{PLAIN_RETURNS}\s*\{{"
@@ -378,12 +381,13 @@ def class_list(marked: Column, toks: Column, wanted: tuple[str, ...] = CLASS_FIE
             type_name(F.regexp_extract(f, rf"\A{_MODIFIERS}{NAME}\s*[?!]?\s*:((?:[^=;\n]|=>)+)", 1)).alias("type"),
             f.rlike(r"\A(?:\w+\s+)*?static\s").alias("static"))
 
+    with_members = bool({"methods", "properties"} & set(wanted))
+
     def one(r: Column) -> Column:
-        members = extract_all(shallow(inside(r["b"])), rf"(?<![\w$.#@]){MARKS}(?:{METHOD}|{FIELD})")
         is_method = lambda m: m.rlike(rf"\A{MARKS}{METHOD}\z")
         fields = lambda ms: F.transform(F.filter(ms, lambda m: ~is_method(m)), lambda m: plain(trim(_unmarked(m))))
 
-        def built(ms: Column) -> Column:
+        def built(ms: Column | None) -> Column:
             return _chosen({
                 "name": lambda: r["n"],
                 "super_class": lambda: F.when(r["p"].rlike(rf"\A{NAME}\z"), r["p"]),
@@ -392,20 +396,28 @@ def class_list(marked: Column, toks: Column, wanted: tuple[str, ...] = CLASS_FIE
                 "properties": lambda: F.transform(F.filter(fields(ms), lambda f: f.rlike(rf"\A{FIELD}\z")), field),
             }, wanted)
 
-        return bind(F.transform(members, trim), built) if {"methods", "properties"} & set(wanted) else built(F.array())
+        if not with_members:
+            return built(None)
+        members = extract_all(shallow(inside(r["b"])), rf"(?<![\w$.#@]){MARKS}(?:{METHOD}|{FIELD})")
+        return bind(F.transform(members, trim), built)
+
+    read = {n for w, names in (("name", "n"), ("super_class", "p"), ("raw_doc", "ce")) if w in wanted for n in names} | ({"b"} if with_members else set())
 
     def groups(text: Column) -> Column:
-        return F.struct(*[F.regexp_extract(text, CLASS, g).alias(n) for g, n in ((1, "c"), (2, "e"), (3, "n"), (4, "p"), (5, "b"))])
+        return F.struct(*[F.regexp_extract(text, CLASS, g).alias(n) for g, n in ((1, "c"), (2, "e"), (3, "n"), (4, "p"), (5, "b")) if n in read])
 
     return F.transform(F.transform(extract_all(leveled(having(marked, "class")), CLASS), groups), one)
 
 
 INTERFACE = rf"{EDGE}interface\s+{NAME}\s*{GENERIC}(?:extends\s+[^{OPEN}]+)?{block(3)}|{EDGE}type\s+{NAME}\s*{GENERIC}="
-DOCUMENTED_INTERFACE = rf"({MARKS})(?:export\s+)?(?:default\s+)?(?:declare\s+)?({INTERFACE})"
+DOCUMENTED_INTERFACE = rf"(?=[{MARK}deit])({MARKS})(?:export\s+)?(?:default\s+)?(?:declare\s+)?({INTERFACE})"
+
 
+INTERFACE_FIELDS = ("name", "kind", "members", "raw_doc")
 
-def interface_list(marked: Column, toks: Column) -> Column:
-    """ARRAY<STRUCT<name, kind, members, raw_doc>>; type aliases have no members, members other than plain
+
+def interface_list(marked: Column, toks: Column, wanted: tuple[str, ...] = INTERFACE_FIELDS) -> Column:
+    """ARRAY<STRUCT<name, kind, members, raw_doc>>, of which the ``wanted`` fields are built; type aliases have no members, members other than plain
     properties are called ``member``."""
     def member(m: Column) -> Column:
         named = m.rlike(rf"\A(?:readonly\s+)?{NAME}\??\s*(?::|\z)")
@@ -414,26 +426,31 @@ def interface_list(marked: Column, toks: Column) -> Column:
                         (named & p["optional"]).alias("optional"))
 
     def one(r: Column) -> Column:
-        comment, s = r["c"], r["s"]
-        body = F.regexp_extract(s, rf"({block(2)})\z", 1)
-        members = F.transform(pieces(shallow(inside(body)), r";,\n"), member)
-        return F.struct(
-            F.regexp_extract(s, rf"\A(?:interface|type)\s+({NAME})", 1).alias("name"),
-            F.when(s.startswith("interface"), "interface").otherwise("type").alias("kind"),
-            F.when(s.startswith("interface"), members).otherwise(F.array().cast(EMPTY_PROPERTIES)).alias("members"),
-            leading_comment(comment, toks).alias("raw_doc"))
+        s = r["s"]
+
+        def members() -> Column:
+            body = F.regexp_extract(s, rf"({block(2)})\z", 1)
+            return F.when(s.startswith("interface"), F.transform(pieces(shallow(inside(body)), r";,\n"), member)).otherwise(F.array().cast(EMPTY_PROPERTIES))
+
+        return _chosen({
+            "name": lambda: F.regexp_extract(s, rf"\A(?:interface|type)\s+({NAME})", 1),
+            "kind": lambda: F.when(s.startswith("interface"), "interface").otherwise("type"),
+            "members": members,
+            "raw_doc": lambda: leading_comment(r["c"], toks),
+        }, wanted)
 
     def groups(text: Column) -> Column:
-        return F.struct(F.regexp_extract(text, DOCUMENTED_INTERFACE, 1).alias("c"), _unmarked(F.regexp_extract(text, DOCUMENTED_INTERFACE, 2)).alias("s"))
+        shown = [F.regexp_extract(text, DOCUMENTED_INTERFACE, 1).alias("c")] if "raw_doc" in wanted else []
+        return F.struct(*shown, _unmarked(F.regexp_extract(text, DOCUMENTED_INTERFACE, 2)).alias("s"))
 
     return F.transform(F.transform(extract_all(leveled(having(marked, "interface", "type")), DOCUMENTED_INTERFACE), groups), one)
 
 
 # ---- UI facts ------------------------------------------------------------------------------------------
 
-HOOK = rf"{EDGE}(?<!function\s{{1,4}})(use[A-Z][\w$]*)\s*(?:{ANGLE}\s*)?(?=({ROUND}))"
-ELEMENT = r"(?<![\w$)\]])<((?:[A-Za-z_$][\w$-]*)(?:[.:][\w$-]+)*)(?=[\s/>])(?!>\s*\()"
-HANDLER = rf"(?<![\w$.])(on[A-Z][\w$]*)=(?=({block(3)}))"
+HOOK = rf"(?=use){EDGE}(?<!function\s{{1,4}})(use[A-Z][\w$]*)\s*(?:{ANGLE}\s*)?(?=({ROUND}))"
+ELEMENT = r"(?=<)(?<![\w$)\]])<((?:[A-Za-z_$][\w$-]*)(?:[.:][\w$-]+)*)(?=[\s/>])(?!>\s*\()"
+HANDLER = rf"(?=on)(?<![\w$.])(on[A-Z][\w$]*)=(?=({block(3)}))"
 ARG_CAP = 60
 _KEYWORDS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "new")
 

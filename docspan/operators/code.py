@@ -36,7 +36,8 @@ FIELD_SOURCES = {
 }
 FIELDS = tuple(FIELD_SOURCES)
 CLASS_FIELDS = ("name", "super_class", "methods", "properties", "doc")
-SIGNATURE_FIELDS, SIGNATURE_CLASS_FIELDS = ("name", "exported", "params", "return_type"), ("name", "methods")
+INTERFACE_FIELDS = ("name", "kind", "members", "doc")
+SIGNATURE_FIELDS, SIGNATURE_CLASS_FIELDS, SIGNATURE_INTERFACE_FIELDS = ("name", "exported", "params", "return_type"), ("name", "methods"), ("name", "kind", "members")
 ROLE_FIELDS, COUNTED = ("name", "exported", "params"), ("name",)
 
 
@@ -80,8 +81,21 @@ def _classes(fields: tuple[str, ...], of_methods: tuple[str, ...]) -> Column:
     return F.transform(D.class_list(F.col("marked"), F.col("tokens"), raw, _sources(of_methods)), finished)
 
 
-def _finished_interface(i: Column) -> Column:
-    return F.struct(i["name"].alias("name"), i["kind"].alias("kind"), i["members"].alias("members"), _description(i["raw_doc"]).alias("doc"))
+def _functions(fields: tuple[str, ...]) -> Column:
+    def finished(names: Column) -> Column:
+        return F.transform("raw_functions", lambda f: _finished(f, names, fields))
+
+    # bound, or the optimiser would move the export list into the lambda and read it once per function
+    return S.bind(D.marking_names(F.col("exports")), finished) if "exported" in fields else finished(F.array().cast("array<string>"))
+
+
+def _interfaces(fields: tuple[str, ...]) -> Column:
+    raw = tuple("raw_doc" if f == "doc" else f for f in fields)
+
+    def finished(i: Column) -> Column:
+        return F.struct(*[(_description(i["raw_doc"]) if f == "doc" else i[f]).alias(f) for f in INTERFACE_FIELDS if f in fields])
+
+    return F.transform(D.interface_list(F.col("marked"), F.col("tokens"), raw), finished)
 
 
 # How each fact column follows from the text columns. The expressions are large and do not depend on the
@@ -91,11 +105,10 @@ _EXPRESSIONS = {
     "directives": lambda: S.directives(F.col("code")),
     "imports": lambda: D.imports(F.col("code")),
     "exports": lambda: D.exports(F.col("code")),
-    "raw_functions": lambda fields, _: D.function_list(F.col("parts"), F.col("code"), F.col("tokens"), _sources(fields)),
-    # bound, or the optimiser would move the export list into the lambda and read it once per function
-    "functions": lambda fields, _: S.bind(D.marking_names(F.col("exports")), lambda names: F.transform("raw_functions", lambda f: _finished(f, names, fields))),
+    "raw_functions": lambda fields: D.function_list(F.col("parts"), F.col("code"), F.col("tokens"), _sources(fields)),
+    "functions": lambda fields: _functions(fields),
     "classes": lambda fields, class_fields: _classes(class_fields, fields),
-    "interfaces": lambda: F.transform(D.interface_list(F.col("marked"), F.col("tokens")), _finished_interface),
+    "interfaces": lambda fields: _interfaces(fields),
     "comments": lambda: S.comments(F.col("tokens")),
     "hooks": lambda: D.hooks(F.col("code")),
     "jsx_elements": lambda: D.jsx_elements(F.col("code")),
@@ -114,18 +127,20 @@ def _built(name: str, context_id: str, *fields: tuple[str, ...]) -> Column:
     return _EXPRESSIONS[name](*fields)
 
 
-def code_facts(files: DataFrame, wanted: tuple[str, ...] = FACTS, fields: tuple[str, ...] = FIELDS, class_fields: tuple[str, ...] = CLASS_FIELDS) -> DataFrame:
+def code_facts(files: DataFrame, wanted: tuple[str, ...] = FACTS, fields: tuple[str, ...] = FIELDS, class_fields: tuple[str, ...] = CLASS_FIELDS,
+               interface_fields: tuple[str, ...] = INTERFACE_FIELDS) -> DataFrame:
     """One row per file with the wanted fact arrays, beside file_id, file_name and content.
 
-    ``fields`` are those of a function or method and ``class_fields`` those of a class that the caller reads: the optimiser cannot
-    leave a field out of a struct that is built inside an array."""
+    ``fields`` are those of a function or method, ``class_fields`` those of a class and ``interface_fields`` those of an interface that
+    the caller reads: the optimiser cannot leave a field out of a struct that is built inside an array. Exports are only read
+    where somebody asks for them or for the ``exported`` field."""
     context_id = files.sparkSession.sparkContext.applicationId
     df = code_texts(files)
-    if {"functions", "exports"} & set(wanted):
+    if "exports" in wanted or ("functions" in wanted and "exported" in fields):
         df = df.withColumn("exports", _built("exports", context_id))
     if "functions" in wanted:
-        df = df.withColumn("parts", D.spans(F.col("marked"))).withColumn("raw_functions", _built("raw_functions", context_id, fields, class_fields))
-    own = {"functions": (fields, class_fields), "classes": (fields, class_fields)}
+        df = df.withColumn("parts", D.spans(F.col("marked"))).withColumn("raw_functions", _built("raw_functions", context_id, fields))
+    own = {"functions": (fields,), "classes": (fields, class_fields), "interfaces": (interface_fields,)}
     return df.select("file_id", "file_name", "content", *[
         F.col("exports") if w == "exports" else _built(w, context_id, *own.get(w, ())).alias(w) for w in wanted])
 

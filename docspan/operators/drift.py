@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspan.operators.code import SIGNATURE_CLASS_FIELDS, SIGNATURE_FACTS, SIGNATURE_FIELDS, code_facts, quarantine, with_signatures
+from docspan.operators.code import SIGNATURE_CLASS_FIELDS, SIGNATURE_FACTS, SIGNATURE_FIELDS, SIGNATURE_INTERFACE_FIELDS, code_facts, quarantine, with_signatures
 from docspan.operators.signatures import change_label, compare_names, diff_signatures, signature_hash
 
 # States in order of severity and the texts that stand in for unknown differences.
@@ -71,7 +71,7 @@ def content_drift(bindings: DataFrame, contents: DataFrame, blobs: DataFrame) ->
 
     texts = side(blobs, 0).unionByName(side(contents, 1)).join(changed.select(F.col("file_id").alias("_id")).distinct(), "_id", "left_semi")
     readable, _ = quarantine(texts)
-    entries = with_signatures(code_facts(readable, SIGNATURE_FACTS, SIGNATURE_FIELDS, SIGNATURE_CLASS_FIELDS)).select(
+    entries = with_signatures(code_facts(readable, SIGNATURE_FACTS, SIGNATURE_FIELDS, SIGNATURE_CLASS_FIELDS, SIGNATURE_INTERFACE_FIELDS)).select(
         "file_id.file_id", "file_id.side", F.when(F.col("file_id.side") == 1, F.col("signature_hash")).alias("new_hash"), F.posexplode_outer("entries").alias("pos", "e")
     ).select("file_id", "side", "new_hash", "pos", "e.name", "e.sig")
     per_name = compare_names(entries, F.max("new_hash").alias("new_hash"), F.max(F.col("side") == 0).alias("old_ok"), F.max(F.col("side") == 1).alias("content_ok"))

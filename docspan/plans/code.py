@@ -22,8 +22,8 @@ def _facts(spark, sf, *wanted, name="fx_source_files"):
     return C.code_facts(spread(fixture(spark, sf, name)), wanted or C.FACTS)
 
 
-def _modules(spark, sf, *wanted, fields=C.FIELDS, class_fields=C.CLASS_FIELDS):
-    return C.code_facts(C.quarantine(spread(fixture(spark, sf, "fx_modules")))[0], wanted or C.FACTS, fields, class_fields)
+def _modules(spark, sf, *wanted, fields=C.FIELDS, class_fields=C.CLASS_FIELDS, interface_fields=C.INTERFACE_FIELDS):
+    return C.code_facts(C.quarantine(spread(fixture(spark, sf, "fx_modules")))[0], wanted or C.FACTS, fields, class_fields, interface_fields)
 
 
 def _text(c: Column) -> Column:
@@ -130,7 +130,7 @@ def file_roles(spark, sf):
 
 
 def module_roles(spark, sf):
-    return C.file_roles(_modules(spark, sf, *C.ROLE_FACTS, fields=C.ROLE_FIELDS, class_fields=C.COUNTED)).select("file_id", "role", F.array_join("signals", "; ").alias("signals"))
+    return C.file_roles(_modules(spark, sf, *C.ROLE_FACTS, fields=C.ROLE_FIELDS, class_fields=C.COUNTED, interface_fields=C.COUNTED)).select("file_id", "role", F.array_join("signals", "; ").alias("signals"))
 
 
 def role_histogram(spark, sf):
@@ -142,7 +142,7 @@ def signature_entries(spark, sf):
 
 
 def module_signatures(spark, sf):
-    return C.with_signatures(_modules(spark, sf, *C.SIGNATURE_FACTS, fields=C.SIGNATURE_FIELDS, class_fields=C.SIGNATURE_CLASS_FIELDS)).select("file_id", "signature_hash")
+    return C.with_signatures(_modules(spark, sf, *C.SIGNATURE_FACTS, fields=C.SIGNATURE_FIELDS, class_fields=C.SIGNATURE_CLASS_FIELDS, interface_fields=C.SIGNATURE_INTERFACE_FIELDS)).select("file_id", "signature_hash")
 
 
 def env_inventory(spark, sf):
@@ -154,7 +154,7 @@ def env_totals(spark, sf):
 
 
 def code_totals(spark, sf):
-    f = _modules(spark, sf, "functions", "classes", "interfaces", fields=C.COUNTED, class_fields=C.COUNTED).withColumn("project_id", F.col("file_id") % 25)
+    f = _modules(spark, sf, "functions", "classes", "interfaces", fields=C.COUNTED, class_fields=C.COUNTED, interface_fields=C.COUNTED).withColumn("project_id", F.col("file_id") % 25)
     return C.code_totals(f, ["project_id"])
 
 
@@ -172,7 +172,7 @@ SELECT p_partkey AS file_id, p_partkey % 50 AS doc_id, concat('src/f', cast(p_pa
 
 def content_drift(spark, sf):
     old = spread(fixture(spark, sf, "fx_source_files"))
-    stored = C.with_signatures(C.code_facts(old, C.SIGNATURE_FACTS, C.SIGNATURE_FIELDS, C.SIGNATURE_CLASS_FIELDS)).select("file_id", F.when(F.col("file_id") % 2 == 0, F.col("signature_hash")).alias("signature_hash"))
+    stored = C.with_signatures(C.code_facts(old, C.SIGNATURE_FACTS, C.SIGNATURE_FIELDS, C.SIGNATURE_CLASS_FIELDS, C.SIGNATURE_INTERFACE_FIELDS)).select("file_id", F.when(F.col("file_id") % 2 == 0, F.col("signature_hash")).alias("signature_hash"))
     bindings = sql_input(spark, sf, FILE_BINDINGS_SQL).join(stored, "file_id", "left")
     out = D.content_drift(bindings, spread(sql_input(spark, sf, NEW_FILES_SQL)), spread(sql_input(spark, sf, OLD_FILES_SQL)))
     return out.withColumn("changed_functions", F.array_join("changed_functions", ","))

@@ -1,5 +1,6 @@
 import pytest
 
+from docspan.functions import declarations as D
 from docspan.operators import code as C
 
 LEDGER = '''/**
@@ -317,6 +318,25 @@ def test_only_the_fields_that_are_read_are_built(spark):
                 {k: c[k] for k in C.CLASS_FIELDS if k in class_fields and k != "methods"} for c in all_of["classes"]]
 
 
+def test_exports_and_interfaces_are_read_as_far_as_asked(spark):
+    text = ("/** A shape. */\nexport interface Shape<T> extends Base { id: string; tags?: string[]; run(): void }\ntype Kind = 'a';\nexport default interface Other {}\n"
+            "export class Box { a = 1 }\nexport function add(a) {}\nfunction own() {}\nmodule.exports = { own, sub: (a) => a };\n")
+    files = spark.createDataFrame([(1, "a.ts", text), (2, "b.ts", None)], "file_id int, file_name string, content string")
+    whole = {r.file_id: r.asDict(True) for r in C.code_facts(files).collect()}
+    assert [i["name"] for i in whole[1]["interfaces"]] == ["Shape", "Kind", "Other"]
+    for fields in (("name",), ("name", "members"), ("kind", "doc"), C.INTERFACE_FIELDS):
+        for r in C.code_facts(files, ("interfaces",), interface_fields=fields).collect():
+            assert r.asDict(True)["interfaces"] == [{k: i[k] for k in C.INTERFACE_FIELDS if k in fields} for i in whole[r.file_id]["interfaces"]]
+
+    def plan(*fields):
+        facts = C.code_facts(files, ("functions", "classes", "interfaces"), fields, C.COUNTED, C.COUNTED)
+        for r in facts.collect():
+            assert r.asDict(True)["functions"] == [{k: f[k] for k in C.FIELDS if k in fields} for f in whole[r.file_id]["functions"]]
+        return facts.select("functions", "classes", "interfaces")._jdf.queryExecution().optimizedPlan().toString()
+
+    assert D.EXPORT in plan("name", "exported") and D.EXPORT not in plan("name", "line") and D.EXPORT not in plan("name")
+
+
 def test_errors_are_judged_once(spark):
     from docspan.operators import assembly as A
 
