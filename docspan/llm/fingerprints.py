@@ -35,7 +35,8 @@ def weighted_terms(text: Column) -> Column:
 
 def sample(term: Column, log_weight: Column, number: int) -> Column:
     """One sample's variate and choice as a long whose order is that of the variate: its quantised logarithm in the high half,
-    a hash of the word and its quantised weight in the low half. Null for a null term."""
+    a hash of the word and its quantised weight in the low half. Nothing here is conditional, as Spark shares the hashes and
+    logarithms that occur several times only where they are always needed; a null term gives a number of no meaning."""
     first = F.xxhash64(term, F.lit(number))
     second = F.xxhash64(first)
     unit = lambda bits, size: (bits.cast("double") + 0.5) / float(1 << size)
@@ -49,7 +50,7 @@ def sample(term: Column, log_weight: Column, number: int) -> Column:
     step = F.floor(log_weight / r + u[4])
     log_a = log_c - r * (step - u[4] + 1)
     order = F.least(F.greatest(F.floor((log_a + 400.0) * float(1 << 21)), F.lit(0)), F.lit((1 << 31) - 1))
-    return F.when(term.isNotNull(), F.shiftleft(order, 32).bitwiseOR(F.xxhash64(term, step).bitwiseAND(F.lit(_LOW))))
+    return F.shiftleft(order, 32).bitwiseOR(F.xxhash64(term, step).bitwiseAND(F.lit(_LOW)))
 
 
 def with_samples(df: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
@@ -57,8 +58,9 @@ def with_samples(df: DataFrame, keys: list[str], text: str, samples: int = SAMPL
     differ in ``keys``. If ``df`` is partitioned by some of them, nothing is exchanged; only aggregates of a text's words leave
     its row, so memory is bounded by one text."""
     terms = df.select(*keys, F.inline_outer(weighted_terms(F.col(text)))).select(*keys, "term", F.ln("weight").alias("log_weight"))
-    least = terms.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col("log_weight"), k)).alias(f"sample_{k}") for k in range(samples)))
-    return least.select(*keys, *(F.col(f"sample_{k}").bitwiseAND(F.lit(_LOW)).alias(f"sample_{k}") for k in range(samples)))
+    least = terms.groupBy(*keys).agg(
+        F.count("term").alias("n_terms"), *(F.min(sample(F.col("term"), F.col("log_weight"), k)).alias(f"sample_{k}") for k in range(samples)))
+    return least.select(*keys, *(F.when(F.col("n_terms") > 0, F.col(f"sample_{k}").bitwiseAND(F.lit(_LOW))).alias(f"sample_{k}") for k in range(samples)))
 
 
 def fingerprint_text(samples: int = SAMPLES) -> Column:

@@ -109,6 +109,14 @@ def test_likeness_estimates_weighted_jaccard(spark):
     assert like(4, 5) == 1 and like(4, 0) == 0
 
 
+def test_samples_compute_each_logarithm_once(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, " "), (3, None)], "doc_id long, text string")
+    marks = fingerprints.fingerprints(docs, 2)
+    # below a condition Spark computes a repeated hash or logarithm again wherever it stands
+    assert "min(CASE" not in marks._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: r.fingerprint for r in marks.collect()} == {1: "671e9a3abddfaf86", 2: "empty", 3: "empty"}
+
+
 def test_single_document_follows_itself(spark, no_docs):
     one = spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")
     assert fingerprints.edited_fingerprints(one).first().edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
