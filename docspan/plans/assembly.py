@@ -8,7 +8,7 @@ from docspan.operators import assembly as A
 from docspan.operators import code as C
 from docspan.plans import markdown as MD
 from docspan.plans import notes as NT
-from docspan.plans.inputs import fixture, spread, sql_input
+from docspan.plans.inputs import built_in_tasks, fixture, spread, sql_input
 
 AT = "2024-03-05 06:07:08"
 AT_TEXT = "Tue, 05 Mar 2024 06:07:08 GMT"
@@ -25,7 +25,7 @@ VARIANTS_SQL = "SELECT doc_id, text AS rule_text, CASE WHEN doc_id % 2 = 0 THEN
 
 
 def _compose(spark, sf, **how):
-    return A.compose(sql_input(spark, sf, DOCS_SQL), spread(sql_input(spark, sf, NOTES_SQL)), spread(sql_input(spark, sf, FILES_SQL)),
+    return A.compose(sql_input(spark, sf, DOCS_SQL), spread(sql_input(spark, sf, NOTES_SQL)), built_in_tasks(spark, sf, FILES_SQL),
                      F.lit(AT).cast("timestamp"), **how)
 
 
@@ -38,13 +38,13 @@ def document_note_sections(spark, sf):
 
 
 def document_configuration(spark, sf):
-    files = spread(fixture(spark, sf, "fx_source_files"))
+    files = built_in_tasks(spark, sf, "SELECT * FROM fx_source_files")
     facts = C.code_facts(files, ("env_vars",)).withColumn("doc_id", F.col("file_id") % 97)
     return A.config_rows(facts).select("doc_id", "ord1", "ord2", "text")
 
 
 def document_file_sections(spark, sf):
-    facts, _ = A._keyed_facts(spread(sql_input(spark, sf, FILES_SQL)))
+    facts, _ = A._keyed_facts(built_in_tasks(spark, sf, FILES_SQL))
     return A.file_rows(A.file_sections(facts)).select("doc_id", F.col("ord1").alias("file_no"), "text")
 
 
@@ -53,18 +53,18 @@ def document_footers(spark, sf):
 
 
 def document_error_notes(spark, sf):
-    return A.error_rows(A._keyed_facts(spread(sql_input(spark, sf, FILES_SQL)))[1]).select("doc_id", "ord1", "text")
+    return A.error_rows(A._keyed_facts(built_in_tasks(spark, sf, FILES_SQL))[1]).select("doc_id", "ord1", "text")
 
 
 def unit_payloads(spark, sf):
-    p = A.unit_payloads(C.file_roles(C.code_facts(C.quarantine(spread(fixture(spark, sf, "fx_modules")))[0])))
+    p = A.unit_payloads(C.file_roles(C.code_facts(C.quarantine(built_in_tasks(spark, sf, "SELECT * FROM fx_modules"))[0])))
     field = lambda path: F.coalesce(F.get_json_object("payload", path), F.lit("—"))
     return p.select("file_id", "unit_count", field("$.role").alias("role"), field("$.signals[0]").alias("signal"), field("$.comments.file_level[0]").alias("comment"),
                     field("$.fact_sheet.functions[0].name").alias("first_function"), F.length(field("$.source")).alias("source_length"))
 
 
 def declaration_summaries(spark, sf):
-    facts = C.code_facts(C.quarantine(spread(fixture(spark, sf, "fx_modules")))[0], C.FACTS, ("name", "exported", "params", "doc"), ("name", "doc"), ("name", "kind", "doc"))
+    facts = C.code_facts(C.quarantine(built_in_tasks(spark, sf, "SELECT * FROM fx_modules"))[0], C.FACTS, ("name", "exported", "params", "doc"), ("name", "doc"), ("name", "kind", "doc"))
     s = A.declaration_summary(C.file_roles(facts))
     field = lambda path: F.coalesce(F.get_json_object("summary", path), F.lit("—"))
     return s.select("file_id", field("$.role").alias("role"), field("$.declarations[0].kind").alias("kind"), field("$.declarations[0].name").alias("name"),

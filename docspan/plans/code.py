@@ -10,7 +10,7 @@ from docspan.operators import code as C
 from docspan.operators import drift as D
 from docspan.operators.access import stage
 from docspan.operators.rows import with_position
-from docspan.plans.inputs import fixture, spread, sql_input
+from docspan.plans.inputs import built_in_tasks, fixture, spread, sql_input
 
 TYPES_SQL = """
 SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN 'string' WHEN 1 THEN concat(upper(p_type), '<Map<string, number>>') WHEN 2 THEN 'number[][]' WHEN 3 THEN concat('''', p_type, ''' | null | 3')
@@ -18,12 +18,16 @@ SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN 'string' WHEN 1 THEN concat(up
 FROM part"""
 
 
+def _files(spark, sf, name):
+    return built_in_tasks(spark, sf, f"SELECT * FROM {name}")
+
+
 def _facts(spark, sf, *wanted, name="fx_source_files"):
-    return C.code_facts(spread(fixture(spark, sf, name)), wanted or C.FACTS)
+    return C.code_facts(_files(spark, sf, name), wanted or C.FACTS)
 
 
 def _modules(spark, sf, *wanted, fields=C.FIELDS, class_fields=C.CLASS_FIELDS, interface_fields=C.INTERFACE_FIELDS):
-    return C.code_facts(C.quarantine(spread(fixture(spark, sf, "fx_modules")))[0], wanted or C.FACTS, fields, class_fields, interface_fields)
+    return C.code_facts(C.quarantine(_files(spark, sf, "fx_modules"))[0], wanted or C.FACTS, fields, class_fields, interface_fields)
 
 
 def _text(c: Column) -> Column:
@@ -122,7 +126,7 @@ def duplicate_routes(spark, sf):
 
 
 def error_quarantine(spark, sf):
-    return C.quarantine(spread(fixture(spark, sf, "fx_modules")))[1]
+    return C.quarantine(_files(spark, sf, "fx_modules"))[1]
 
 
 def file_roles(spark, sf):

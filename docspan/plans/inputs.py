@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,14 +22,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
-def sql_input(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Rows of a SQL text over the given tables and the fixtures."""
+def sql_input(spark: SparkSession, sf_dir: str, text: str, read: Callable[[DataFrame], DataFrame] = lambda table: table) -> DataFrame:
+    """Rows of a SQL text over the given tables, each passed through ``read``, and the fixtures."""
     bodies = [text, *(FIXTURES[n] for n in needed(text))]
     used = {w for b in bodies for w in _WORD.findall(b)} & set(TABLES)
     for t in sorted(used):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        read(spark.read.parquet(f"{sf_dir}/{t}.parquet")).createOrReplaceTempView(t)
     return spark.sql(with_fixtures(text))
 
 
+def built_in_tasks(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """``sql_input`` for a text that builds long columns row by row: the tables are spread, not what is built from them. The few
+    tasks of the scan then pass on short rows, and all tasks build."""
+    return sql_input(spark, sf_dir, text, spread)
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sql_input(spark, sf_dir, f"SELECT * FROM {name}")

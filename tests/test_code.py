@@ -344,3 +344,10 @@ def test_errors_are_judged_once(spark):
     rows = A.error_rows(A._keyed_facts(files)[1])
     assert "Scan parquet" in rows._jdf.queryExecution().executedPlan().toString() and "content" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.doc_id, r.ord1) for r in rows.collect()) == [(1, -1), (1, 5), (1, 1 << 40), (2, -1), (2, 7), (2, 1 << 40)]
+
+
+def test_texts_are_built_after_tables_are_spread(spark, sf_dir):
+    from docspan.plans import code as P
+
+    plan = P.error_quarantine(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("lib/broken.ts") < plan.index("Repartition"), plan  # what is built below the exchange is built in the tasks of the scan
