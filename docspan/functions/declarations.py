@@ -194,11 +194,12 @@ def _cut_span(span: Column) -> tuple[Column, Column]:
     return head, F.substr(span, F.length(head) + 2)
 
 
-def _span_rows(parts: Column, with_text: bool, with_line: bool) -> Column:
+def _span_rows(parts: Column, with_text: bool, with_line: bool, asked=None) -> Column:
     def row(s: Column, i: Column, at: Column | None) -> Column:
         head, rest = _cut_span(s)
         later = F.array_join(F.slice(parts, i + 3, F.greatest(F.size(parts) - i - 2, F.lit(0))), "")
-        return F.struct(head.alias("head"), (F.concat(rest, later) if with_text else F.lit("")).alias("after"),
+        after = F.concat(rest, later) if with_text else F.lit("")
+        return F.struct(head.alias("head"), (F.when(asked(head), after) if asked else after).alias("after"),
                         (F.get(at, i + 1) if with_line else F.lit(None).cast("int")).alias("line"), F.get(parts, i).alias("before"), F.lit(False).alias("in_object"))
 
     def rows(at: Column | None) -> Column:
@@ -207,14 +208,15 @@ def _span_rows(parts: Column, with_text: bool, with_line: bool) -> Column:
     return bind(span_lines(parts), rows) if with_line else rows(None)
 
 
-def _object_rows(code: Column) -> Column:
+def _object_rows(code: Column, asked=None) -> Column:
     """Functions written inside ``module.exports = {…}``; their lines are not known."""
     def row(p: Column) -> Column:
         head, rest = _cut_span(p)
         return F.struct(head.alias("head"), rest.alias("after"), F.lit(None).cast("int").alias("line"), F.lit("").alias("before"),
                         F.lit(True).alias("in_object"))
 
-    listed = F.filter(cjs_items(code), lambda p: p.rlike(rf"\A{NAME}\s*:\s*{_WRAPPED}"))
+    items = F.filter(cjs_items(code), asked) if asked else cjs_items(code)
+    listed = F.filter(items, lambda p: p.rlike(rf"\A{NAME}\s*:\s*{_WRAPPED}"))
     cut = F.transform(listed, lambda p: leveled(F.regexp_replace(p, rf"\A({NAME}\s*:\s*{_WRAPPED})", rf"$1{HEAD_END}")))
     return F.transform(cut, row)
 
@@ -225,11 +227,12 @@ def cjs_items(code: Column) -> Column:
     return F.transform(pieces(shallow(inside(body))), plain)
 
 
-def function_list(parts: Column, code: Column, toks: Column, wanted: tuple[str, ...] = FUNCTION_FIELDS) -> Column:
+def function_list(parts: Column, code: Column, toks: Column, wanted: tuple[str, ...] = FUNCTION_FIELDS, asked=None) -> Column:
     """ARRAY<STRUCT<name, kind, is_async, exported, line, params, return_type, throws, raw_doc, body, inner_comments>>
     in line order, of which the ``wanted`` fields are built. ``exported`` is the keyword or CommonJS form only; export lists are
-    applied by the caller."""
-    rows = F.concat(_span_rows(parts, bool(set(TEXT_FIELDS) & set(wanted)), "line" in wanted), _object_rows(code))
+    applied by the caller. With ``asked``, a test of a text, only functions whose head passes are built."""
+    rows = F.concat(_span_rows(parts, bool(set(TEXT_FIELDS) & set(wanted)), "line" in wanted, asked), _object_rows(code, asked))
+    rows = F.filter(rows, lambda x: asked(x["head"])) if asked else rows
     return F.transform(rows, lambda x: _of_span(x, toks, wanted))
 
 
@@ -498,6 +501,13 @@ def is_handler(ps: Column) -> Column:
     return ((name(0) == "req") & (name(1) == "res") & ((F.size(ps) == 2) | ((F.size(ps) == 3) & (name(2) == "next"))))
 
 
+def may_handle(text: Column) -> Column:
+    """Whether a text may hold the head of a handler: the names of its parameters are in it, in either case. The signs that
+    ``plain`` takes out may stand between their letters."""
+    between = f"[{CUT}{HEAD_END}{ALSO}]*+"
+    return text.rlike("(?i)" + between.join("req")) & text.rlike("(?i)" + between.join("res"))
+
+
 def request_fields(body: Column, part: str) -> Column:
     """Fields of ``req.<part>``, destructured or read directly, in order of appearance."""
     found = extract_all(body, rf"(?:const|let|var)\s*\{{[^{{}}]*\}}\s*=\s*req\.{part}(?![\w$.\[(]|\s*(?:\|\||\?\?))|{EDGE}req\.{part}\.{NAME}")

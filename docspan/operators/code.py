@@ -106,6 +106,7 @@ _EXPRESSIONS = {
     "imports": lambda: D.imports(F.col("code")),
     "exports": lambda: D.exports(F.col("code")),
     "raw_functions": lambda fields: D.function_list(F.col("parts"), F.col("code"), F.col("tokens"), _sources(fields)),
+    "raw_handlers": lambda fields: D.function_list(F.col("parts"), F.col("code"), F.col("tokens"), _sources(fields), D.may_handle),
     "functions": lambda fields: _functions(fields),
     "classes": lambda fields, class_fields: _classes(class_fields, fields),
     "interfaces": lambda fields: _interfaces(fields),
@@ -145,6 +146,16 @@ def code_facts(files: DataFrame, wanted: tuple[str, ...] = FACTS, fields: tuple[
         F.col("exports") if w == "exports" else _built(w, context_id, *own.get(w, ())).alias(w) for w in wanted])
 
 
+def handler_facts(files: DataFrame) -> DataFrame:
+    """file_id and functions (name, api) of every file, without functions that cannot be request handlers: nothing is read of a
+    file that names no such parameters, and little of a function that has none."""
+    fields, context_id = ("name", "api"), files.sparkSession.sparkContext.applicationId
+    # a conditional text, not a filter: the optimiser would move a filter into the few tasks of the scan
+    asked = files.withColumn("content", F.when(D.may_handle(F.col("content")), F.col("content")))
+    df = code_texts(asked).withColumn("parts", D.spans(F.col("marked"))).withColumn("raw_functions", _built("raw_handlers", context_id, fields))
+    return df.select("file_id", _built("functions", context_id, fields).alias("functions"))
+
+
 def quarantine(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readable files, error rows): a file whose brackets do not pair up is set aside and the batch goes on.
 

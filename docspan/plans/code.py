@@ -30,6 +30,10 @@ def _modules(spark, sf, *wanted, fields=C.FIELDS, class_fields=C.CLASS_FIELDS, i
     return C.code_facts(C.quarantine(_files(spark, sf, "fx_modules"))[0], wanted or C.FACTS, fields, class_fields, interface_fields)
 
 
+def _handlers(spark, sf):
+    return C.handler_facts(C.quarantine(_files(spark, sf, "fx_modules"))[0])
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit("—"))
 
@@ -98,13 +102,13 @@ def throw_inventory(spark, sf):
 
 
 def handler_surface(spark, sf):
-    return C.handler_surface(_modules(spark, sf, "functions", fields=("name", "api"))).select(
+    return C.handler_surface(_handlers(spark, sf)).select(
         "file_id", "function_name", *[F.array_join(c, ",").alias(c) for c in ("body_fields", "route_params", "query_params")],
         F.array_join(F.transform("responses", lambda r: F.concat(r["status"].cast("string"), F.lit(" "), r["shape"])), " | ").alias("responses"))
 
 
 def response_shapes(spark, sf):
-    rows = with_position(C.handler_surface(_modules(spark, sf, "functions", fields=("name", "api"))), ["file_id", "function_name"], F.col("responses"), "r")
+    rows = with_position(C.handler_surface(_handlers(spark, sf)), ["file_id", "function_name"], F.col("responses"), "r")
     return C.response_shapes(rows.select("file_id", "function_name", "pos", "r.status", "r.shape"))
 
 

@@ -351,3 +351,16 @@ def test_texts_are_built_after_tables_are_spread(spark, sf_dir):
 
     plan = P.error_quarantine(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("lib/broken.ts") < plan.index("Repartition"), plan  # what is built below the exchange is built in the tasks of the scan
+
+
+def test_handlers_are_looked_for_where_their_parameters_stand(spark):
+    texts = ["exports.a = (REQ, Res, next) => { res.json({a: 1}) };\nmodule.exports = { b: async (req, res) => { const {x} = req.body; res.status(404).json({n: x}); }, c: (a) => a };\n"
+             "function d(re\x10q, res) { res.json([1]) }\nfunction e(req, /* c */ res) { return req.query.q }\nconst f = (x) => x, g = function(req, res) { res.json(f(2)) };\n"
+             "export function h({req}, res) {}\nfunction i(q) { const j = (req, res) => res.json({j: req.params.id}); }",
+             None, "function k(rEq, reS) { req.body.z }", "function l(req) { res.json(1) }", "export const m = (a, b) => a + b;", "function n(Req, resp, res) {}"]
+    files = spark.createDataFrame([(k, "a.js", t) for k, t in enumerate(texts)], "file_id int, file_name string, content string")
+    facts = C.handler_facts(files)
+    rows = lambda f: sorted(map(str, C.handler_surface(f).collect()))
+    assert rows(facts) == rows(C.code_facts(files, ("functions",), ("name", "api"))) and len(rows(facts)) == 6
+    assert {r.file_id: [f.name for f in r.functions] for r in facts.collect()} == {
+        0: ["a", "d", "e", "g", "h", "j", "b"], 1: [], 2: ["k"], 3: [], 4: [], 5: ["n"]}
