@@ -146,10 +146,10 @@ def _chosen(fields: dict, wanted: tuple[str, ...]) -> Column:
     return F.struct(*[build().alias(n) for n, build in fields.items() if n in wanted])
 
 
-def _of_span(x: Column, toks: Column, wanted: tuple[str, ...]) -> Column:
+def _of_span(x: Column, toks: Column, wanted: tuple[str, ...], with_params: Column | None = None) -> Column:
     head = plain(x["head"])
     if not set(TEXT_FIELDS) & set(wanted):
-        return bind(head, lambda h: _function(x, h, F.lit(""), toks, wanted))
+        return bind(head, lambda h: _function(x, h, F.lit(""), toks, wanted, with_params))
     after = x["after"]
     opened = F.regexp_extract(x["head"], rf"{OPEN}\d+{OPENED}\z", 0)
     # from the brace of the body on, where there is one; the body ends at the next closing brace of its height
@@ -164,10 +164,10 @@ def _of_span(x: Column, toks: Column, wanted: tuple[str, ...]) -> Column:
     begun = bind(F.concat(opened, after), lambda s: F.struct(
         head.alias("head"), s.alias("start"), F.regexp_extract(s, rf"\A\s*{OPEN}(\d+){OPENED}", 1).alias("height")))
     return bind(bind(begun, lambda y: F.struct(y["head"].alias("head"), ended(y).alias("text"))),
-                lambda y: _function(x, y["head"], y["text"], toks, wanted))
+                lambda y: _function(x, y["head"], y["text"], toks, wanted, with_params))
 
 
-def _function(x: Column, head: Column, text: Column, toks: Column, wanted: tuple[str, ...]) -> Column:
+def _function(x: Column, head: Column, text: Column, toks: Column, wanted: tuple[str, ...], with_params: Column | None = None) -> Column:
     def between() -> Column:
         return bind(F.regexp_extract(head, PARAM_TAIL, 1), lambda tail: F.when(
             tail != "", F.regexp_replace(tail, r"\A\(|\)\z", "")).otherwise(F.regexp_extract(head, rf"({NAME})\s*=>\z", 1)))
@@ -178,7 +178,7 @@ def _function(x: Column, head: Column, text: Column, toks: Column, wanted: tuple
         "is_async": lambda: head.rlike(r"(?:\A|[\s=(:,])async[\s(]"),
         "exported": lambda: head.startswith("export") | head.startswith("module.") | x["in_object"],
         "line": lambda: x["line"],
-        "params": lambda: params(between()),
+        "params": lambda: params(between()) if with_params is None else F.when(with_params, params(between())),
         "return_type": lambda: type_name(F.regexp_extract(head, PARAM_TAIL, 2)),
         "throws": lambda: own_throws(text),
         # a comment above "export default" belongs to the export, not to what is exported
@@ -227,13 +227,14 @@ def cjs_items(code: Column) -> Column:
     return F.transform(pieces(shallow(inside(body))), plain)
 
 
-def function_list(parts: Column, code: Column, toks: Column, wanted: tuple[str, ...] = FUNCTION_FIELDS, asked=None) -> Column:
+def function_list(parts: Column, code: Column, toks: Column, wanted: tuple[str, ...] = FUNCTION_FIELDS, asked=None, with_params: Column | None = None) -> Column:
     """ARRAY<STRUCT<name, kind, is_async, exported, line, params, return_type, throws, raw_doc, body, inner_comments>>
     in line order, of which the ``wanted`` fields are built. ``exported`` is the keyword or CommonJS form only; export lists are
-    applied by the caller. With ``asked``, a test of a text, only functions whose head passes are built."""
+    applied by the caller. With ``asked``, a test of a text, only functions whose head passes are built; where ``with_params`` is
+    not true, params are null."""
     rows = F.concat(_span_rows(parts, bool(set(TEXT_FIELDS) & set(wanted)), "line" in wanted, asked), _object_rows(code, asked))
     rows = F.filter(rows, lambda x: asked(x["head"])) if asked else rows
-    return F.transform(rows, lambda x: _of_span(x, toks, wanted))
+    return F.transform(rows, lambda x: _of_span(x, toks, wanted, with_params))
 
 
 # ---- imports and exports -------------------------------------------------------------------------------

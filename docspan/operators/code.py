@@ -106,6 +106,8 @@ _EXPRESSIONS = {
     "imports": lambda: D.imports(F.col("code")),
     "exports": lambda: D.exports(F.col("code")),
     "raw_functions": lambda fields: D.function_list(F.col("parts"), F.col("code"), F.col("tokens"), _sources(fields)),
+    "raw_functions_for_roles": lambda fields: D.function_list(
+        F.col("parts"), F.col("code"), F.col("tokens"), _sources(fields), with_params=_file_named(_base_name(), "error")),
     "raw_handlers": lambda fields: D.function_list(F.col("parts"), F.col("code"), F.col("tokens"), _sources(fields), D.may_handle),
     "functions": lambda fields: _functions(fields),
     "classes": lambda fields, class_fields: _classes(class_fields, fields),
@@ -129,18 +131,20 @@ def _built(name: str, context_id: str, *fields: tuple[str, ...]) -> Column:
 
 
 def code_facts(files: DataFrame, wanted: tuple[str, ...] = FACTS, fields: tuple[str, ...] = FIELDS, class_fields: tuple[str, ...] = CLASS_FIELDS,
-               interface_fields: tuple[str, ...] = INTERFACE_FIELDS) -> DataFrame:
+               interface_fields: tuple[str, ...] = INTERFACE_FIELDS, role_params: bool = False) -> DataFrame:
     """One row per file with the wanted fact arrays, beside file_id, file_name and content.
 
     ``fields`` are those of a function or method, ``class_fields`` those of a class and ``interface_fields`` those of an interface that
     the caller reads: the optimiser cannot leave a field out of a struct that is built inside an array. Exports are only read
-    where somebody asks for them or for the ``exported`` field."""
+    where somebody asks for them or for the ``exported`` field. With ``role_params`` only ``file_roles`` reads the parameters: those of
+    files whose role cannot depend on them are null."""
     context_id = files.sparkSession.sparkContext.applicationId
     df = code_texts(files)
     if "exports" in wanted or ("functions" in wanted and "exported" in fields):
         df = df.withColumn("exports", _built("exports", context_id))
     if "functions" in wanted:
-        df = df.withColumn("parts", D.spans(F.col("marked"))).withColumn("raw_functions", _built("raw_functions", context_id, fields))
+        raw = _built("raw_functions_for_roles" if role_params else "raw_functions", context_id, fields)
+        df = df.withColumn("parts", D.spans(F.col("marked"))).withColumn("raw_functions", raw)
     own = {"functions": (fields,), "classes": (fields, class_fields), "interfaces": (interface_fields,)}
     return df.select("file_id", "file_name", "content", *[
         F.col("exports") if w == "exports" else _built(w, context_id, *own.get(w, ())).alias(w) for w in wanted])
@@ -247,9 +251,17 @@ def code_totals(facts: DataFrame, by: list[str]) -> DataFrame:
 # ---- roles ---------------------------------------------------------------------------------------------
 
 
+def _base_name() -> Column:
+    return F.lower(F.element_at(F.split("file_name", "/"), -1))
+
+
+def _file_named(base: Column, stem: str) -> Column:
+    return base.rlike(rf"\A{stem}\.(t|j)sx?\z")
+
+
 def file_roles(facts: DataFrame) -> DataFrame:
     """Role and signals per file; the first rule that applies decides."""
-    base = F.lower(F.element_at(F.split("file_name", "/"), -1))
+    base = _base_name()
     verbs = F.filter(F.transform("exports", lambda e: e["name"]), lambda n: n.isin(*HTTP_METHODS))
     hook = F.get(F.filter("functions", lambda f: f["exported"] & f["name"].rlike(r"\Ause[A-Z]")), F.lit(0))["name"]
     pascal = F.exists("functions", lambda f: f["exported"] & f["name"].rlike(r"\A[A-Z]"))
@@ -259,7 +271,7 @@ def file_roles(facts: DataFrame) -> DataFrame:
     n_functions, n_classes = F.size("functions"), F.size("classes")
 
     def named(stem: str) -> Column:
-        return base.rlike(rf"\A{stem}\.(t|j)sx?\z")
+        return _file_named(base, stem)
 
     def signals(*xs) -> Column:
         return F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs])

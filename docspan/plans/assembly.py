@@ -64,7 +64,7 @@ def unit_payloads(spark, sf):
 
 
 def declaration_summaries(spark, sf):
-    facts = C.code_facts(C.quarantine(built_in_tasks(spark, sf, "SELECT * FROM fx_modules"))[0], C.FACTS, ("name", "exported", "params", "doc"), ("name", "doc"), ("name", "kind", "doc"))
+    facts = C.code_facts(C.quarantine(built_in_tasks(spark, sf, "SELECT * FROM fx_modules"))[0], C.FACTS, ("name", "exported", "params", "doc"), ("name", "doc"), ("name", "kind", "doc"), role_params=True)
     s = A.declaration_summary(C.file_roles(facts))
     field = lambda path: F.coalesce(F.get_json_object("summary", path), F.lit("—"))
     return s.select("file_id", field("$.role").alias("role"), field("$.declarations[0].kind").alias("kind"), field("$.declarations[0].name").alias("name"),

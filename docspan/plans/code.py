@@ -26,8 +26,8 @@ def _facts(spark, sf, *wanted, name="fx_source_files"):
     return C.code_facts(_files(spark, sf, name), wanted or C.FACTS)
 
 
-def _modules(spark, sf, *wanted, fields=C.FIELDS, class_fields=C.CLASS_FIELDS, interface_fields=C.INTERFACE_FIELDS):
-    return C.code_facts(C.quarantine(_files(spark, sf, "fx_modules"))[0], wanted or C.FACTS, fields, class_fields, interface_fields)
+def _modules(spark, sf, *wanted, fields=C.FIELDS, class_fields=C.CLASS_FIELDS, interface_fields=C.INTERFACE_FIELDS, role_params=False):
+    return C.code_facts(C.quarantine(_files(spark, sf, "fx_modules"))[0], wanted or C.FACTS, fields, class_fields, interface_fields, role_params)
 
 
 def _handlers(spark, sf):
@@ -138,7 +138,7 @@ def file_roles(spark, sf):
 
 
 def module_roles(spark, sf):
-    return C.file_roles(_modules(spark, sf, *C.ROLE_FACTS, fields=C.ROLE_FIELDS, class_fields=C.COUNTED, interface_fields=C.COUNTED)).select("file_id", "role", F.array_join("signals", "; ").alias("signals"))
+    return C.file_roles(_modules(spark, sf, *C.ROLE_FACTS, fields=C.ROLE_FIELDS, class_fields=C.COUNTED, interface_fields=C.COUNTED, role_params=True)).select("file_id", "role", F.array_join("signals", "; ").alias("signals"))
 
 
 def role_histogram(spark, sf):

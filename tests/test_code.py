@@ -364,3 +364,13 @@ def test_handlers_are_looked_for_where_their_parameters_stand(spark):
     assert rows(facts) == rows(C.code_facts(files, ("functions",), ("name", "api"))) and len(rows(facts)) == 6
     assert {r.file_id: [f.name for f in r.functions] for r in facts.collect()} == {
         0: ["a", "d", "e", "g", "h", "j", "b"], 1: [], 2: ["k"], 3: [], 4: [], 5: ["n"]}
+
+
+def test_roles_need_parameters_of_error_files_only(spark):
+    text = "export default function View({ error, reset }: P) { return <p/>; }\n"
+    names = ["app/Error.tsx", "app/view.tsx", "error.js/x.ts", "error.ts", None]
+    files = spark.createDataFrame([(k, n, text) for k, n in enumerate(names)], "file_id int, file_name string, content string")
+    some, every = (C.code_facts(files, C.ROLE_FACTS, C.ROLE_FIELDS, C.COUNTED, C.COUNTED, role_params=r) for r in (True, False))
+    rows = lambda f: sorted(map(str, C.file_roles(f).select("file_id", "role", "signals").collect()))
+    assert rows(some) == rows(every) and "error-boundary" in rows(some)[0]
+    assert {r.file_id: r.functions[0].params is None for r in some.collect()} == {0: False, 1: True, 2: True, 3: False, 4: True}
