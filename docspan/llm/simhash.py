@@ -33,6 +33,9 @@ SEED = 42
 BYTES = 8
 #: Fingerprints that one task posts under all choices.
 POSTED_ROWS = 10_000
+#: Joins of postings are always sorted and merged. Spark takes postings for as large as the codes they are exploded from, or as their
+#: well compressed files, and would send millions of them through the driver.
+POSTINGS_JOIN = "merge"
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 
@@ -90,7 +93,7 @@ def least_meetings(max_bits: int) -> tuple[int, int]:
 def candidates(left: DataFrame, right: DataFrame, meetings: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs code, code_2 of different roots that meet in at least ``meetings`` lists (choice, kept). Long lists are split."""
     other = right.withColumnsRenamed({"code": "code_2", "root": "root_2"})
-    met = salted_join(left, other, ["choice", "kept"], hot_rows=hot_rows).filter("root < root_2")
+    met = salted_join(left, other, ["choice", "kept"], hot_rows=hot_rows, hint=POSTINGS_JOIN).filter("root < root_2")
     return met.groupBy("code", "root", "code_2", "root_2").agg(F.count("*").alias("met")).filter(F.col("met") >= meetings)
 
 
@@ -102,7 +105,7 @@ def groups(codes: DataFrame, max_bits: int = MAX_BITS, hot_rows: int = HOT_ROWS)
     index = postings(codes.repartition(1 + codes.count() // POSTED_ROWS, "code"), posted)
     lists = index.groupBy("choice", "kept").agg(F.count("*").alias("n"), F.min("code").alias("pivot")).filter("n > 1").drop("n")
     lists = lists.withColumnsRenamed({"choice": "_c", "kept": "_k"})
-    met = stored(index.join(lists, (F.col("choice") == F.col("_c")) & (F.col("kept") == F.col("_k"))).select("choice", "kept", "code", "pivot"), "postings")
+    met = stored(index.join(lists.hint(POSTINGS_JOIN), (F.col("choice") == F.col("_c")) & (F.col("kept") == F.col("_k"))).select("choice", "kept", "code", "pivot"), "postings")
     stars = met.filter(F.col("code") != F.col("pivot")).filter(is_link(F.col("code"), F.col("pivot"), max_bits)).select(F.col("code").alias("a"), F.col("pivot").alias("b"))
     stars = stored(stars.distinct(), "stars")
     first = components(stars)

@@ -58,25 +58,28 @@ def slices_of_hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS,
     return df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("_slices"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS, rows: int | None = None, hint: str | None = None
+) -> DataFrame:
     """Equi-join on columns that have the same names on both sides; ``how`` is inner or left, and ``left`` is the side that may
     be skewed (``rows`` its number of rows, if known).
 
     Rows of hot keys are spread over slices of their key by a hash of all their columns (so no column may be a map), which a
     repeated task finds again, and the right rows of these keys are repeated once per slice. Left
     rows with a null in a key meet nothing: they stay where they are and never go to one task together. Columns beside the keys
-    must have different names."""
+    must have different names. ``hint`` is a join hint for this join, for tables that Spark sizes too low."""
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    hinted = (lambda df: df.hint(hint)) if hint else (lambda df: df)
     whole = left.filter(known)
     hot = slices_of_hot_keys(whole, keys, hot_rows, rows)
     if hot is None:
-        met = whole.join(right, keys, how)
+        met = whole.join(hinted(right), keys, how)
     else:
         hot = F.broadcast(hot)
         spread_left = whole.join(hot, keys, "left").withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_slices")).cast("int"), F.lit(0))).drop("_slices")
         copies = F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)).alias("_slice")
         spread_right = right.join(hot, keys, "left").select(*right.columns, copies)
-        met = spread_left.join(spread_right, [*keys, "_slice"], how).drop("_slice")
+        met = spread_left.join(hinted(spread_right), [*keys, "_slice"], how).drop("_slice")
     return met if how == "inner" else met.unionByName(left.filter(~known), allowMissingColumns=True)

@@ -78,6 +78,24 @@ def test_meetings_are_counted(spark):
         assert {(r.code, r.code_2) for r in simhash.candidates(lists, lists, meetings, hot).collect()} == want
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_never_broadcast(spark, monkeypatch):
+    """Codes are small, their postings are not, whatever size Spark takes them for."""
+    plans, kept = {}, simhash.stored
+
+    def noted(df, name):
+        plans[name] = planned(df)
+        return kept(df, name)
+
+    monkeypatch.setattr(simhash, "stored", noted)
+    simhash.groups(spark.range(40).withColumnRenamed("id", "code"))
+    for name in ("postings", "links"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name], plans[name]
+
+
 def test_near_groups(spark, sf_dir, odd_docs, no_docs):
     for docs in (queries.documents(spark, sf_dir), odd_docs.filter("doc_id IS NOT NULL")):
         texts = {r.doc_id: r.text or "" for r in docs.collect()}

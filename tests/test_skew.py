@@ -16,6 +16,13 @@ def test_sliced_join_equals_a_join(spark, how, hot):
     assert sorted(map(key, got.select("k", "s", "n", "v").collect())) == sorted(map(key, left.join(right, ["k", "s"], how).select("k", "s", "n", "v").collect()))
 
 
+@pytest.mark.parametrize("hot", [1_000_000, 7])
+def test_hinted_join_is_not_broadcast(spark, hot):
+    left, right = spark.range(50).selectExpr("id % 3 AS k", "id"), spark.range(3).selectExpr("id AS k", "id AS v")
+    joined = skew.salted_join(left, right, ["k"], hot_rows=hot, hint="merge")
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 50
+
+
 def test_hot_keys_get_slices_and_nulls_stay(spark):
     left = spark.range(100).selectExpr("CASE WHEN id < 60 THEN 1 WHEN id < 90 THEN NULL ELSE id END AS k", "id")
     hot = {r.k: r._slices for r in skew.slices_of_hot_keys(left.filter("k IS NOT NULL"), ["k"], 10).collect()}
