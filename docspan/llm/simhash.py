@@ -130,7 +130,8 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     rooted = codes.join(found.withColumnRenamed("node", "code"), "code", "left").select("code", F.coalesce("root", "code").alias("root"), "least_doc")
     least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("code").alias("_code"), "component_id")
-    return marks.join(named, F.col("code") == F.col("_code")).select(
+    # every code of marks is in named; a left join keeps Spark from broadcasting the documents, whose file may be well compressed
+    return marks.join(named, F.col("code") == F.col("_code"), "left").select(
         "doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -108,6 +108,12 @@ def test_near_groups(spark, sf_dir, odd_docs, no_docs):
     assert simhash.near_groups(odd_docs).count() == odd_docs.count() and simhash.near_groups(no_docs).count() == 0
 
 
+def test_documents_are_never_broadcast(odd_docs):
+    """The join of all documents with the groups of their fingerprints may send the groups to all tasks, not the documents."""
+    joins = re.findall(r"Join \[code#\d+L\], \[_code#\d+L\].*", planned(simhash.near_groups(odd_docs)))
+    assert joins and not any("BuildLeft" in j for j in joins), joins
+
+
 def test_one_of_each_group_stays(odd_docs):
     kept = [r.doc_id for r in simhash.first_of_groups(odd_docs).collect()]
     assert kept.count(None) == 1 and kept.count(7) == 1 and 3 in kept
